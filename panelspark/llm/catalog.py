@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing
+from . import queries_dedup, queries_mixing, queries_secrets
 
-MODULES = [queries_dedup, queries_mixing]
+MODULES = [queries_dedup, queries_mixing, queries_secrets]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
