@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_secrets, queries_tokens
+from . import queries_dedup, queries_mixing, queries_secrets, queries_tokens, queries_url
 
-MODULES = [queries_dedup, queries_mixing, queries_secrets, queries_tokens]
+MODULES = [queries_dedup, queries_mixing, queries_secrets, queries_tokens, queries_url]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
