@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_quality, queries_secrets, queries_shards_chat, queries_tokens, queries_url
+from . import queries_dedup, queries_mixing, queries_ngram, queries_quality, queries_secrets, queries_shards_chat, queries_tokens, queries_url
 
-MODULES = [queries_dedup, queries_mixing, queries_quality, queries_secrets, queries_shards_chat, queries_tokens, queries_url]
+MODULES = [queries_dedup, queries_mixing, queries_ngram, queries_quality, queries_secrets, queries_shards_chat, queries_tokens, queries_url]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

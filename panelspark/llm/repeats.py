@@ -33,9 +33,10 @@ def positions(hi: np.ndarray, lo: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(hi + np.uint64(i) * step) >> np.uint64(64 - bits.bit_length() + 1) for i in range(HASHES)], axis=1)
 
 
-def build(df: DataFrame, keys: Keys, n_keys: int) -> tuple[object, int]:
+def build(df: DataFrame, keys: Keys, n_keys: int, least: int = 2) -> tuple[object, int]:
     """A broadcast of the bit array in which a bit is set if at least two keys set it, and its size in bits.
 
+    With ``least`` 1 a bit is set if any key sets it, which makes a plain membership filter.
     ``keys`` gives the two 64-bit halves of every key of a record batch. A key that occurs twice finds all its bits
     set; a key that occurs once finds them all set only by chance (0.3 % within the capacity).
     """
@@ -61,7 +62,7 @@ def build(df: DataFrame, keys: Keys, n_keys: int) -> tuple[object, int]:
         now, counts = None, None
 
         def done():
-            return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()), "bitmap": pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()), "bitmap": pa.array([np.packbits(counts >= least).tobytes()], pa.binary())})
 
         for batch in batches:
             for s, at in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
