@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, written
+from .shared import n_words, words, written
 
 #: Fixed weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, shar
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each epoch, and the first words of a document that the cut divides.
+    """``docs`` as the mix takes them: a row for each epoch, and the first words, joined by blanks, of a document that the cut divides.
 
     Documents of size 0 hold no words to mix and are left out. Rows with the same doc_id, source and size are
     interchangeable here: they are numbered, and so are their shares.
@@ -113,7 +113,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     pieces = F.expr("if(__own >= __size, array_repeat(0, cast(__own div __size as int)), array())")
     pieces = F.concat(pieces.cast("array<int>"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = each.withColumn("__part", F.explode(pieces))
-    first_words = F.regexp_extract("text", F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]++){"), F.col("__part").cast("string"), F.lit("}")), 0)
+    first_words = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__part")), " ")
     cut = F.when(F.col("__part") > 0, first_words).otherwise(F.col("text"))
     out = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:
