@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_core
+from .registry import QUERIES, SQL
 
+flagship = q_core.flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "flagship"]
