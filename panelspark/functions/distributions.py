@@ -11,6 +11,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -87,27 +88,27 @@ def _kept(f, *columns: pd.Series) -> pd.Series:
     return out.where(ok, None).astype(object).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return _kept(lambda v: np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in v]), x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     return _kept(lambda v: np.array([_NORMAL.inv_cdf(t) if 0 < t < 1 else np.nan for t in v]), p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|)."""
     return _kept(lambda v, n: beta_i(n / 2, 0.5, n / (n + v * v)), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return _kept(lambda v, n: 1 - gamma_p(n / 2, np.maximum(v, 0) / 2), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _kept(lambda v, m, n: beta_i(n / 2, m / 2, n / (n + m * np.maximum(v, 0))), x, d1, d2)

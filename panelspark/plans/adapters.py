@@ -62,14 +62,14 @@ def factors_monthly(spark: SparkSession, d: str) -> DataFrame:
 def fundamentals(spark: SparkSession, d: str) -> DataFrame:
     ep, day = F.col("l_extendedprice"), F.col("l_shipdate").cast("date")
     q = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("permno"), F.trunc(day, "quarter").alias("q")).agg(
-        F.round(F.sum(ep * (1 - F.col("l_discount"))), 2).alias("revtq"), F.round(0.6 * F.sum(ep), 2).alias("cogsq"), F.round(F.sum(ep) + 1, 2).alias("atq")
+        F.round(F.sum(ep * (1 - F.col("l_discount"))), 5).alias("revtq"), F.round(0.6 * F.sum(ep), 5).alias("cogsq"), F.round(F.sum(ep) + 1, 2).alias("atq")
     )
     q = q.withColumn("datadate", F.last_day(F.add_months("q", 2)))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.select(F.col("s_suppkey").alias("permno"), F.col("n_regionkey").cast("string").alias("gsector"), F.col("n_nationkey").cast("string").alias("ggroup"))
     return q.join(s, "permno").select(
         "permno", F.format_string("G%06d", "permno").alias("gvkey"), F.date_add("datadate", 45).alias("rdq"), "datadate", F.year("q").alias("fyearq"), F.quarter("q").alias("fqtr"),
-        F.round((F.col("revtq") - F.col("cogsq")) / 1e6, 8).alias("epspxq"), F.lit(1.0).alias("ajexq"), "revtq", "cogsq", "atq", "gsector", "ggroup",
+        F.round((F.col("revtq") - F.col("cogsq")) / 1e6, 12).alias("epspxq"), F.lit(1.0).alias("ajexq"), "revtq", "cogsq", "atq", "gsector", "ggroup",
     )
 
 
@@ -134,10 +134,10 @@ SQL = {
        round(coalesce(avg(l_discount) filter (where l_quantity < 25) - avg(l_discount) filter (where not l_quantity < 25), 0), 8) as smb,
        round(coalesce(avg(l_discount) filter (where l_tax < 0.04) - avg(l_discount) filter (where not l_tax < 0.04), 0), 8) as hml, 0.0::double as rf from lineitem group by 1""",
     "fundamentals": """select q.permno, 'G' || lpad(cast(q.permno as varchar), 6, '0') as gvkey, cast(datadate + 45 as date) as rdq, datadate, cast(year(q) as int) as fyearq, cast(quarter(q) as int) as fqtr,
-       round((revtq - cogsq) / 1e6, 8) as epspxq, 1.0::double as ajexq, revtq, cogsq, atq, cast(n_regionkey as varchar) as gsector, cast(n_nationkey as varchar) as ggroup
+       round((revtq - cogsq) / 1e6, 12) as epspxq, 1.0::double as ajexq, revtq, cogsq, atq, cast(n_regionkey as varchar) as gsector, cast(n_nationkey as varchar) as ggroup
        from (select *, last_day(cast(q + interval 2 month as date)) as datadate from (
-         select l_suppkey as permno, date_trunc('quarter', cast(l_shipdate as date)) as q, round(sum(l_extendedprice * (1 - l_discount)), 2) as revtq,
-                round(0.6::double * sum(l_extendedprice), 2) as cogsq, round(sum(l_extendedprice) + 1, 2) as atq from lineitem group by 1, 2)) q
+         select l_suppkey as permno, date_trunc('quarter', cast(l_shipdate as date)) as q, round(sum(l_extendedprice * (1 - l_discount)), 5) as revtq,
+                round(0.6::double * sum(l_extendedprice), 5) as cogsq, round(sum(l_extendedprice) + 1, 2) as atq from lineitem group by 1, 2)) q
        join supplier on s_suppkey = q.permno join nation on s_nationkey = n_nationkey""",
     "names": """select s_suppkey as permno, 'T' || s_suppkey as ticker, lpad(cast(s_suppkey as varchar), 8, '0') || half as ncusip, cast(10 + s_suppkey % 3 as int) as shrcd,
        cast(s_nationkey % 3 + 1 as int) as exchcd, cast(100 + s_suppkey * 37 % 9000 as int) as siccd, namedt, nameenddt

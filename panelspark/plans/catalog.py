@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_core
+from . import q_core, q_panel, q_series  # noqa: F401
 from .registry import QUERIES, SQL
 
 flagship = q_core.flagship
