@@ -117,7 +117,7 @@ def block_replicates(s: DataFrame, block: int, replicates: int, seed: int = 1, k
     own = s.withColumn("i", F.row_number().over(w) - 1)
     size = own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block)
     draws = size.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
-    state = (F.col("replicate") * 1103515 + F.col("k") * 12345 + seed * 7919 + 12820163) % 16777213
+    state = (F.col("replicate").cast("long") * 1103515 + F.col("k").cast("long") * 12345 + seed * 7919 + 12820163) % 16777213
     state = (state * 1140671 + 12820163) % 16777213
     state = (state * 1140671 + 12820163) % 16777213
     draws = draws.withColumn("start", state % (F.col("n") - block + 1))

@@ -21,8 +21,8 @@ def returns_daily(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return t.groupBy(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.round(F.avg("l_discount") - 0.05, 8).alias("ret"), F.round(F.sum("l_quantity"), 2).alias("vol"), F.round(F.avg(unit), 4).alias("prc"),
-        F.round(F.max(unit), 4).alias("high"), F.round(F.min(unit), 4).alias("low"), F.round(F.sum("l_extendedprice"), 2).alias("marketcap"),
+        F.round(F.avg("l_discount") - 0.05, 8).alias("ret"), F.round(F.sum("l_quantity"), 2).alias("vol"), F.round(F.avg(unit), 10).alias("prc"),
+        F.round(F.max(unit), 10).alias("high"), F.round(F.min(unit), 10).alias("low"), F.round(F.sum("l_extendedprice"), 2).alias("marketcap"),
     )
 
 
@@ -126,7 +126,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 #: The same panels for DuckDB, by name; each may use those before it.
 SQL = {
     "returns_daily": """select l_suppkey as permno, cast(l_shipdate as date) as date, round(avg(l_discount) - 0.05, 8) as ret, round(sum(l_quantity), 2) as vol,
-       round(avg(l_extendedprice / l_quantity), 4) as prc, round(max(l_extendedprice / l_quantity), 4) as high, round(min(l_extendedprice / l_quantity), 4) as low,
+       round(avg(l_extendedprice / l_quantity), 10) as prc, round(max(l_extendedprice / l_quantity), 10) as high, round(min(l_extendedprice / l_quantity), 10) as low,
        round(sum(l_extendedprice), 2) as marketcap from lineitem group by 1, 2""",
     "returns_monthly": """select l_suppkey as permno, last_day(cast(l_shipdate as date)) as date, round(avg(l_discount) - 0.05, 8) as ret, round(sum(l_extendedprice), 2) as marketcap
        from lineitem group by 1, 2""",

@@ -183,9 +183,9 @@ def q_fwd(spark, d):
     return R(forward(spark, d))
 
 
-@query("fwd_returns_calendar", f"with {FWD.split('fwd as')[0].rstrip().rstrip(',')}, x as (select g.rebalance_date, g.permno, p.date, p.ret, row_number() over (partition by g.rebalance_date, g.permno order by p.date) as k from grid g join px p on p.permno = g.permno and p.date > g.rebalance_date and p.date <= g.rebalance_date + 33) select rebalance_date, permno, round(exp(sum(ln(1 + ret))) - 1, 9) + 0.0::double as fwd_return, count(*) as n_days from x where k <= 21 group by 1, 2", "month_ends", "returns_daily")
+@query("fwd_returns_calendar", f"with {FWD.split('fwd as')[0].rstrip().rstrip(',')}, x as (select g.rebalance_date, g.permno, p.date, p.ret, row_number() over (partition by g.rebalance_date, g.permno order by p.date) as k from grid g join px p on p.permno = g.permno and p.date > g.rebalance_date and p.date <= g.rebalance_date + 33) select rebalance_date, permno, round(exp(sum(ln(1 + ret))) - 1, 12) + 0.0::double as fwd_return, count(*) as n_days from x where k <= 21 group by 1, 2", "month_ends", "returns_daily")
 def q_fwd_cal(spark, d):
-    return R(portfolio.forward_returns(a.returns_daily(spark, d), a.month_ends(spark, d), HOLD, max_days=1.6), digits=9)
+    return R(portfolio.forward_returns(a.returns_daily(spark, d), a.month_ends(spark, d), HOLD, max_days=1.6), digits=12)
 
 
 LEGS = "legs as (select s.date, s.permno, s.quintile, f.fwd_return, c.marketcap from sorted s join fwd f on f.rebalance_date = s.date and f.permno = s.permno left join caps c on c.date = s.date and c.permno = s.permno)"
@@ -446,10 +446,10 @@ def q_ic(spark, d):
     return R(period_ic(spark, d))
 
 
-@query("ic_summary", f"with {IC} select signal, cast(year(rebalance_date) as int) as year, count(ic_pearson) as n, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson), 6) as std_ic, round(avg(ic_pearson) / (stddev_samp(ic_pearson) / sqrt(count(ic_pearson))), 5) + 0.0::double as t_stat, round(avg(ic_pearson) / stddev_samp(ic_pearson), 6) + 0.0::double as ir, round(avg(case when ic_pearson > 0 then 1.0::double else 0 end), 6) as hit_rate from ic where ic_pearson is not null group by 1, 2", *PANELS)
+@query("ic_summary", f"with {IC} select signal, cast(year(rebalance_date) as int) as year, count(ic_pearson) as n, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson), 6) as std_ic, round(avg(ic_pearson) / (stddev_samp(ic_pearson) / sqrt(count(ic_pearson))), 6) + 0.0::double as t_stat, round(avg(ic_pearson) / stddev_samp(ic_pearson), 6) + 0.0::double as ir, round(avg(case when ic_pearson > 0 then 1.0::double else 0 end), 6) as hit_rate from ic where ic_pearson is not null group by 1, 2", *PANELS)
 def q_ic_summary(spark, d):
     got = series.ic_summary(period_ic(spark, d).withColumn("year", F.year("rebalance_date")), ["signal", "year"])
-    return R(R(got.drop("p_value")), "t_stat", digits=5)
+    return R(got.drop("p_value"))
 
 
 @query("ic_ci", f"with {IC} select signal, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson) / sqrt(count(*)), 6) as se, round(avg(ic_pearson) - 1.96 * stddev_samp(ic_pearson) / sqrt(count(*)), 6) + 0.0::double as low, round(avg(ic_pearson) + 1.96 * stddev_samp(ic_pearson) / sqrt(count(*)), 6) + 0.0::double as high from ic where ic_pearson is not null group by 1", *PANELS)

@@ -103,9 +103,9 @@ def q_dated(spark, d):
 # panels ---------------------------------------------------------------------------------------------------------------
 
 
-@query("adv_trailing", "select m.date, r.permno, round(avg(abs(prc) * vol), 7) as adv from month_ends m join returns_daily r on r.date <= m.date and r.date > m.date - 40 group by 1, 2", "month_ends", "returns_daily")
+@query("adv_trailing", "select m.date, r.permno, round(avg(abs(prc) * vol), 8) as adv from month_ends m join returns_daily r on r.date <= m.date and r.date > m.date - 40 group by 1, 2", "month_ends", "returns_daily")
 def q_adv(spark, d):
-    return R(panel.trailing_adv(a.returns_daily(spark, d), a.month_ends(spark, d)), digits=7)
+    return R(panel.trailing_adv(a.returns_daily(spark, d), a.month_ends(spark, d)), digits=8)
 
 
 @query("validity_join", "select r.permno, r.date, n.ncusip, n.exchcd from returns_daily r join names n on n.permno = r.permno and r.date between n.namedt and n.nameenddt", "returns_daily", "names")
@@ -142,10 +142,10 @@ def q_member(spark, d):
     return panel.members_since(panel.first_snapshot(top_names(spark, d)), a.month_ends(spark, d))
 
 
-@query("returns_panel", "select permno, date, ret, round(abs(prc) / nullif(vol, 0), 9) as prc_adj, round(abs(prc) * vol * 1000, 2) as marketcap, false as is_delisting from returns_daily where ret is not null and date between date '1994-01-01' and date '1996-12-31'", "returns_daily")
+@query("returns_panel", "select permno, date, ret, round(abs(prc) / nullif(vol, 0), 9) as prc_adj, round(abs(prc) * vol * 1000, 1) as marketcap, false as is_delisting from returns_daily where ret is not null and date between date '1994-01-01' and date '1996-12-31'", "returns_daily")
 def q_rpanel(spark, d):
     px = a.returns_daily(spark, d).drop("marketcap").withColumns({"cumfac": F.col("vol"), "shrout": F.col("vol")})
-    got = panel.returns_panel(px, "1994-01-01", "1996-12-31").withColumns({"prc_adj": F.round("prc_adj", 9), "marketcap": F.round("marketcap", 2)})
+    got = panel.returns_panel(px, "1994-01-01", "1996-12-31").withColumns({"prc_adj": F.round("prc_adj", 9), "marketcap": F.round("marketcap", 1)})
     return got.select("permno", "date", "ret", "prc_adj", "marketcap", "is_delisting")
 
 
@@ -292,9 +292,9 @@ def q_ivol(spark, d):
     return R(nan_to_null(signals.idiosyncratic_volatility(a.returns_daily(spark, d), a.factors_daily(spark, d))))
 
 
-@query("monthly_compound", "select permno, date_trunc('month', date) as month, round(product(1 + ret) - 1, 10) + 0.0::double as ret, arg_max(marketcap, date) as marketcap, max(date) as last_date from returns_daily group by 1, 2", "returns_daily")
+@query("monthly_compound", "select permno, date_trunc('month', date) as month, round(product(1 + ret) - 1, 12) + 0.0::double as ret, arg_max(marketcap, date) as marketcap, max(date) as last_date from returns_daily group by 1, 2", "returns_daily")
 def q_monthly(spark, d):
-    return R(signals.monthly(a.returns_daily(spark, d)), "ret", digits=10)
+    return R(signals.monthly(a.returns_daily(spark, d)), "ret", digits=12)
 
 
 RESID = """grp as (select distinct permno, ggroup, gsector from fundamentals),

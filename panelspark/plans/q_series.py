@@ -137,15 +137,15 @@ def q_spread_mean(spark, d):
     return R(costs.rolling_spread(a.returns_daily(spark, d)).select("permno", "date", "spread_mean"))
 
 
-@query("name_stats", f"with {SPREAD} select date, permno, round(spread_bps, 4) as spread_bps, round(adv, 6) as adv, round(sigma, 7) as sigma from st", "returns_daily", "month_ends")
+@query("name_stats", f"with {SPREAD} select date, permno, round(spread_bps, 4) as spread_bps, round(adv, 2) as adv, round(sigma, 8) as sigma from st", "returns_daily", "month_ends")
 def q_stats(spark, d):
     s = costs.name_stats(a.returns_daily(spark, d), a.month_ends(spark, d))
-    return R(R(R(s, "spread_bps", digits=4), "adv"), "sigma", digits=7)
+    return R(R(R(s, "spread_bps", digits=4), "adv", digits=2), "sigma", digits=8)
 
 
-@query("impact_bps", "select permno, date, round(case when vol > 0 then 0.1 * abs(ret) * sqrt(marketcap / (abs(prc) * vol)) * 1e4 else 0 end, 5) as impact from returns_daily", "returns_daily")
+@query("impact_bps", "select permno, date, round(case when vol > 0 then 0.1 * abs(ret) * sqrt(marketcap / (abs(prc) * vol)) * 1e4 else 0 end, 8) as impact from returns_daily", "returns_daily")
 def q_impact(spark, d):
-    return R(a.returns_daily(spark, d).select("permno", "date", costs.impact_bps(F.col("marketcap"), F.abs("prc") * F.col("vol"), F.abs("ret")).alias("impact")), digits=5)
+    return R(a.returns_daily(spark, d).select("permno", "date", costs.impact_bps(F.col("marketcap"), F.abs("prc") * F.col("vol"), F.abs("ret")).alias("impact")), digits=8)
 
 
 @query("short_borrow", "select permno, date, round(case when ret < 0 then -ret * 1e6 * 0.005 / 12 else 0 end, 6) as borrow from returns_monthly", "returns_monthly")
@@ -175,9 +175,9 @@ def q_trades(spark, d):
     return R(costs.trades(weights8(spark, d)).select("date", "permno", "delta"), digits=5)
 
 
-@query("name_cost", f"with {WEIGHTS}, {COSTS} select date, permno, round(commission, 2) as commission, round(half_spread, 2) as half_spread, round(impact, 2) as impact, round(borrow, 2) as borrow from nc", *CPANELS)
+@query("name_cost", f"with {WEIGHTS}, {COSTS} select date, permno, round(commission, 7) as commission, round(half_spread, 7) as half_spread, round(impact, 7) as impact, round(borrow, 7) as borrow from nc", *CPANELS)
 def q_name_cost(spark, d):
-    return R(costed(spark, d).select("date", "permno", "commission", "half_spread", "impact", "borrow"), digits=2)
+    return R(costed(spark, d).select("date", "permno", "commission", "half_spread", "impact", "borrow"), digits=7)
 
 
 @query("period_cost", f"with {WEIGHTS}, {COSTS} select date, round(cost_bps, 4) as cost_bps, n_trades from pc", *CPANELS)

@@ -1,0 +1 @@
+"""No streaming operators: the study that this library rebuilds is made of batch tables."""
