@@ -15,7 +15,7 @@ keeps common passages out of the candidates of documents that only quote them.
 Candidates. Classes that share a signature form a bucket, which is read as a stream. First every class is compared with
 the bucket's first one, by the pair that shares most signatures; then with the other first ones; what is in one
 component by then needs no comparison, and in buckets that still hold several components all pairs across components are
-tested, first by a 1024-bit parity vector (differing bits are a lower bound of d) and then by the sets themselves. So no
+tested, first by their sizes and by parity vectors (differing bits are a lower bound of d), then by the sets themselves. So no
 link is lost, and the pairs that are built follow the links that are missing.
 
 Null, empty and blank texts have empty sets and link with nothing. Rows that repeat a doc_id belong to the same text or
@@ -46,9 +46,11 @@ CELLS = 2
 FREQUENT = 24
 #: Shingles that a task counts together.
 COUNTED = 2_000_000
-PARITY_BITS = 1024
+PARITY_BITS = 512
 #: Members of a bucket that a task of the exhaustive pass holds at a time, and of these the ones paired in one step.
 HELD, BLOCK = 4096, 256
+#: Buckets of at most so many members are paired by a join.
+SMALL = 32
 
 WORD_BASE, SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -178,8 +180,20 @@ def _prefix(of: np.ndarray, token: np.ndarray, common: np.ndarray, n: np.ndarray
 
 
 def parity(own: np.ndarray) -> bytes:
-    bits = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Whether each bit was met oddly often by the elements' hashes; at least two bits an element, a power of two of them."""
+    bits = max(PARITY_BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else PARITY_BITS
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Differing bits of two parities, a lower bound of how many elements differ; the longer one is folded first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -187,33 +201,47 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= LINK * (len(a) + len(b) - both)
 
 
-def _frequent_filter(source: DataFrame):
-    """A membership filter of the frequent shingles, from counts of what tasks met twice or more."""
+FACTS = "doc_id long, n long, cls long, parity binary, shingle long, times long"
+
+
+def facts(source: DataFrame) -> DataFrame:
+    """Two kinds of rows from one reading: doc_id, n, cls, parity of documents, and shingle, times of what tasks met twice or more."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, known = [], 0, set()
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"h": pa.array(found[n > 1].view(np.int64)), "n": pa.array(n[n > 1])})
+            none = pa.nulls(int((n > 1).sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["doc_id", "n", "cls", "parity", "shingle", "times"])
 
         for whole in batches:
             for batch in slices(whole):
                 hashes, at = shingle_sets(batch.column("text"))
-                keys = class_keys(hashes, at).tolist()
-                for i, k in enumerate(keys):
-                    if k not in known:  # copies of a text count once
+                keys = class_keys(hashes, at)
+                own = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                none = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(keys), pa.array([parity(o) for o in own], pa.binary()), none, none], names=["doc_id", "n", "cls", "parity", "shingle", "times"]
+                )
+                for k, o in zip(keys.tolist(), own, strict=True):
+                    if k not in known and len(o):  # copies of a text count once
                         known.add(k)
-                        held.append(hashes[at[i] : at[i + 1]])
-                        size += len(held[-1])
+                        held.append(o)
+                        size += len(o)
                 if size >= COUNTED:
                     yield counted()
                     held, size, known = [], 0, set()
         if held:
             yield counted()
 
-    seen = source.mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).select("h")
-    return _members(written(seen, "frequent"))
+    return written(source.mapInArrow(local, FACTS), "facts")
+
+
+def _frequent_filter(seen: DataFrame):
+    """A membership filter of the frequent shingles."""
+    often = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")).filter(F.col("n") >= FREQUENT).select("shingle")
+    return _members(written(often, "frequent"))
 
 
 def _two(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,41 +285,43 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, p, q, blk, comp, cls) -> pairs of classes of different components, one in block p and one in block q.
+    """Sorted (sig, p, q, blk, comp, cls, n) -> pairs of classes of different components, one in block p and one in block q.
 
-    A bucket's members come in blocks of about ``HELD``, so two blocks are held at a time.
+    A bucket's members come in blocks of about ``HELD``, so two blocks are held at a time. Sizes too far apart to link
+    give no pair.
     """
     key, held = None, []
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        blk, comp, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+        blk, comp, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
         left, right = blk == key[1], blk == key[2]
-        lc, lx, rc, rx = comp[left], cls[left], comp[right], cls[right]
-        for i in range(0, len(lx), BLOCK):
-            part = lc[i : i + BLOCK, None]
-            a, b = np.nonzero(part < rc[None, :] if key[1] == key[2] else part != rc[None, :])
-            low, high = lx[i : i + BLOCK][a], rx[b]
-            if len(low):
+        for i in range(0, int(left.sum()), BLOCK):
+            lc, lx, ln = (v[left][i : i + BLOCK] for v in (comp, cls, n))
+            rc, rn = comp[right][None, :], n[right][None, :]
+            near = (lc[:, None] < rc if key[1] == key[2] else lc[:, None] != rc) & (OF * ln[:, None] >= LINK * rn) & (OF * rn >= LINK * ln[:, None])
+            a, b = np.nonzero(near)
+            if len(a):
+                low, high = lx[a], cls[right][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        s, p, q, k, g, c = (batch.column(i).to_numpy() for i in range(6))
+        s, p, q, k, g, c, n = (batch.column(i).to_numpy() for i in range(7))
         cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(s)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if (s[x], p[x], q[x]) != key:
                 if held:
                     yield from pairs()
                 key, held = (s[x], p[x], q[x]), []
-            held.append((k[x:y], g[x:y], c[x:y]))
+            held.append((k[x:y], g[x:y], c[x:y], n[x:y]))
     if held:
         yield from pairs()
 
 
-def linked_classes(source: DataFrame) -> DataFrame:
+def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
     """u, v: links between classes (keys) that, with all the others, give the components of the link graph."""
-    frequent, frequent_bits = _frequent_filter(source)
+    frequent, frequent_bits = _frequent_filter(seen)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -312,30 +342,33 @@ def linked_classes(source: DataFrame) -> DataFrame:
     live = written(
         source.mapInArrow(sign, "sig long, cls long").repartition(parts, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_star_rows, "sig long, cls long, first long"), "buckets"
     )
-    needed, needed_bits = _members(written(live.select("cls").distinct(), "needed"))
+    wanted = written(live.select("cls").distinct(), "wanted")
+    short = written(
+        seen.filter("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("parity").alias("parity"), F.any_value("n").alias("n")), "parities"
+    )
 
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                hashes, at = shingle_sets(batch.column("text"))
-                keys = class_keys(hashes, at)
-                wanted = repeats.maybe_repeated(needed.value, needed_bits, *_two(keys)) & (np.diff(at) > 0) if len(keys) else np.zeros(0, bool)
-                seen = np.zeros(len(keys), bool)
-                seen[np.unique(keys, return_index=True)[1]] = True
-                rows = np.flatnonzero(wanted & seen).tolist()
-                own = [hashes[at[i] : at[i + 1]] for i in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows]), pa.array([parity(o) for o in own], pa.binary()), pa.array([o.tobytes() for o in own], pa.binary())], names=["cls", "parity", "shingles"]
-                )
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """cls, shingles of the needed classes, from one reading of the texts."""
+        keys, bits = _members(needed)
 
-    sets = written(source.mapInArrow(collect_sets, "cls long, parity binary, shingles binary").groupBy("cls").agg(F.any_value("parity").alias("parity"), F.any_value("shingles").alias("shingles")), "sets")
+        def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole):
+                    hashes, at = shingle_sets(batch.column("text"))
+                    own = class_keys(hashes, at)
+                    hit = repeats.maybe_repeated(keys.value, bits, *_two(own)) & (np.diff(at) > 0) if len(own) else np.zeros(0, bool)
+                    first = np.zeros(len(own), bool)
+                    first[np.unique(own, return_index=True)[1]] = True
+                    rows = np.flatnonzero(hit & first).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], names=["cls", "shingles"])
+
+        return source.mapInArrow(collect_sets, "cls long, shingles binary").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for i in (2, 3))
-            least = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            least = np.array([differing(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
             n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             ok = pa.array((OF + LINK) * least <= (OF - LINK) * n)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
@@ -346,23 +379,29 @@ def linked_classes(source: DataFrame) -> DataFrame:
             ok = pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
-    short = sets.select("cls", "parity", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that sizes and parities allow to be linked."""
+        n = short.select("cls", "n")
+        sized = pairs.join(n.select(F.col("cls").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("cls").alias("v"), F.col("n").alias("nv")), "v")
+        sized = sized.filter((OF * F.least("nu", "nv")) >= LINK * F.greatest("nu", "nv"))
+        b = short.select(F.col("cls").alias("v"), F.col("parity").alias("pv"))
+        a = short.select(F.col("cls").alias("u"), F.col("parity").alias("pu"))
+        return written(sized.join(b, "v").join(a, "u").select("u", "v", "pu", "pv", "nu", "nv").mapInArrow(near, "u long, v long"), "likely")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (u, v)."""
-        a = short.select(F.col("cls").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
-        b = short.select(F.col("cls").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
-        likely = pairs.join(a, "u").join(b, "v").filter((OF * F.least("nu", "nv")) >= LINK * F.greatest("nu", "nv"))
-        likely = written(likely.select("u", "v", "pu", "pv", "nu", "nv").mapInArrow(near, "u long, v long"), "likely")
+        """The links among likely pairs (u, v)."""
+        if pairs.isEmpty():
+            return pairs
+        sets = written(sets_of(written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "needed")), "sets")
         a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("su"))
         b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("sv"))
-        return written(likely.join(b, "v").join(a, "u").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "links")
+        return written(pairs.join(b, "v").join(a, "u").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "links")
 
     shared = written(
         live.filter(F.col("cls") != F.col("first")).groupBy(F.col("first").alias("u"), F.col("cls").alias("v")).agg(F.count(F.lit(1)).alias("n")), "stars"
     )
     best = shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u"))
-    links = tested(best.select("u", "v"))
+    links = tested(likely(best.select("u", "v")))
     labels = written(components(links), "labels")
 
     def across(pairs: DataFrame) -> DataFrame:
@@ -372,32 +411,33 @@ def linked_classes(source: DataFrame) -> DataFrame:
         both = pairs.join(u, "u", "left").join(v, "v", "left")
         return both.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
-    links = links.unionByName(tested(across(shared.join(best, ["u", "v"], "left_anti").select("u", "v"))))
+    links = links.unionByName(tested(likely(across(shared.join(best, ["u", "v"], "left_anti").select("u", "v")))))
     labels = written(components(links), "labels")
     named = live.select("sig", "cls").join(labels.select(F.col("vertex").alias("cls"), "component"), "cls", "left").select("sig", F.coalesce("component", "cls").alias("comp"), "cls")
     several = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter(F.col("low") != F.col("high"))
-    several = several.select("sig", F.ceil(F.col("m") / HELD).cast("int").alias("blocks"))
+    several = several.select("sig", F.col("m"), F.ceil(F.col("m") / HELD).cast("int").alias("blocks"))
+    open_rows = written(named.join(several, "sig").join(short.select("cls", "n"), "cls").select("sig", "m", "blocks", "comp", "cls", "n"), "open")
+    # small buckets: a join of their members; large ones: block by block
+    a = open_rows.filter(F.col("m") <= SMALL).select("sig", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"))
+    b = open_rows.filter(F.col("m") <= SMALL).select("sig", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    fits = (OF * F.least("na", "nb")) >= LINK * F.greatest("na", "nb")
+    rest = a.join(b, "sig").filter((F.col("ca") < F.col("cb")) & fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     blk = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    open_rows = named.join(several, "sig").withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "comp", "cls")
-    dealt = open_rows.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q", "blk", "comp", "cls")
-    rest = dealt.mapInArrow(_cross_rows, "u long, v long").distinct()
+    large = open_rows.filter(F.col("m") > SMALL).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "comp", "cls", "n")
+    dealt = large.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q", "blk", "comp", "cls")
+    rest = rest.unionByName(dealt.mapInArrow(_cross_rows, "u long, v long")).distinct()
     rest = rest.join(shared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    return links.unionByName(tested(rest))
+    return links.unionByName(tested(likely(rest)))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                hashes, at = shingle_sets(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(class_keys(hashes, at))], names=["doc_id", "n_shingles", "cls"])
-
-    rows = written(source.mapInArrow(keyed, "doc_id long, n_shingles long, cls long"), "classes")
-    labels = components(linked_classes(source.select("text")))
+    seen = facts(source)
+    rows = seen.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    labels = written(components(linked_classes(source.select("text"), seen)), "labels")
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
