@@ -48,7 +48,7 @@ FREQUENT = 24
 COUNTED = 2_000_000
 PARITY_BITS = 512
 #: Members of a bucket that a task of the exhaustive pass holds at a time, and of these the ones paired in one step.
-HELD, BLOCK = 4096, 256
+HELD, BLOCK = 4096, 128
 #: Buckets of at most so many members are paired by a join.
 SMALL = 32
 
@@ -196,6 +196,23 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
+FOLD = 64
+
+
+def fold(own: bytes) -> bytes:
+    """A parity folded to 64 bytes."""
+    x = np.frombuffer(own, np.uint8)
+    while len(x) > FOLD:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = pa.array([fold(p) for p in batch.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, own], names=["parity", "cls", "n", "fold"])
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return OF * both >= LINK * (len(a) + len(b) - both)
@@ -285,21 +302,24 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, p, q, blk, comp, cls, n) -> pairs of classes of different components, one in block p and one in block q.
+    """Sorted (sig, p, q, blk, comp, cls, n, fold) -> pairs of classes of different components, one in block p and one in block q.
 
-    A bucket's members come in blocks of about ``HELD``, so two blocks are held at a time. Sizes too far apart to link
-    give no pair.
+    A bucket's members come in blocks of about ``HELD``, so two blocks are held at a time. Sizes too far apart to
+    link give no pair, nor do folded parities that differ in too many bits.
     """
     key, held = None, []
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        blk, comp, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        blk, comp, cls, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         left, right = blk == key[1], blk == key[2]
         for i in range(0, int(left.sum()), BLOCK):
             lc, lx, ln = (v[left][i : i + BLOCK] for v in (comp, cls, n))
             rc, rn = comp[right][None, :], n[right][None, :]
             near = (lc[:, None] < rc if key[1] == key[2] else lc[:, None] != rc) & (OF * ln[:, None] >= LINK * rn) & (OF * rn >= LINK * ln[:, None])
             a, b = np.nonzero(near)
+            least = np.bitwise_count(bits[left][i : i + BLOCK][a] ^ bits[right][b]).sum(axis=1, dtype=np.int64)
+            ok = (OF + LINK) * least <= (OF - LINK) * (ln[a] + n[right][b])
+            a, b = a[ok], b[ok]
             if len(a):
                 low, high = lx[a], cls[right][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["u", "v"])
@@ -308,13 +328,14 @@ def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         s, p, q, k, g, c, n = (batch.column(i).to_numpy() for i in range(7))
+        f = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, FOLD // 8)
         cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(s)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if (s[x], p[x], q[x]) != key:
                 if held:
                     yield from pairs()
                 key, held = (s[x], p[x], q[x]), []
-            held.append((k[x:y], g[x:y], c[x:y], n[x:y]))
+            held.append((k[x:y], g[x:y], c[x:y], n[x:y], f[x:y]))
     if held:
         yield from pairs()
 
@@ -344,7 +365,8 @@ def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
     )
     wanted = written(live.select("cls").distinct(), "wanted")
     short = written(
-        seen.filter("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("parity").alias("parity"), F.any_value("n").alias("n")), "parities"
+        seen.filter("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("parity").alias("parity"), F.any_value("n").alias("n"))
+        .select("parity", "cls", "n").mapInArrow(_folded, "parity binary, cls long, n long, fold binary"), "parities",
     )
 
     def sets_of(needed: DataFrame) -> DataFrame:
@@ -424,7 +446,8 @@ def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
     rest = a.join(b, "sig").filter((F.col("ca") < F.col("cb")) & fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     blk = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     large = open_rows.filter(F.col("m") > SMALL).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "comp", "cls", "n")
+    large = large.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "comp", "cls", "n").join(short.select("cls", "fold"), "cls")
+    large = large.select("sig", "p", "q", "blk", "comp", "cls", "n", "fold")
     dealt = large.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q", "blk", "comp", "cls")
     rest = rest.unionByName(dealt.mapInArrow(_cross_rows, "u long, v long")).distinct()
     rest = rest.join(shared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
