@@ -205,6 +205,25 @@ def test_quality_rejects_planted_outliers(spark):
     assert all(got[i] for i in range(120)) and not any(got[1000 + i] for i in range(5))
 
 
+def test_quality_rejects_menus(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    clean = [(i, "\n".join(" ".join(word() for _ in range(20)) for _ in range(r.randint(4, 20))), "en", "s") for i in range(120)]
+    # one repeated line is no junk, and copies don't make the other texts outliers
+    lines = [(500 + i, t + "\n" + t.split("\n")[0], "en", "s") for i, t, *_ in clean[:6]]
+    copies = [(2000 + i, clean[0][1], "en", "s") for i in range(1500)]
+    menus = [(1000 + i, " | ".join(word() + " " + word() for _ in range(100)), "en", "s") for i in range(6)]
+    got = {g.doc_id: g for g in quality.judge(spark.createDataFrame(clean + lines + copies + menus, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(g.kept for i, g in got.items() if 1000 <= i < 1006)
+    assert all(g.kept and g.distance is not None for i, g in got.items() if not 1000 <= i < 1006)
+    # the share of repeated lines counts
+    uniform = [(i, "\n".join(f"{word()} {word()} {word()}" for _ in range(40)), "en", "s") for i in range(60)]
+    twice = [(1000, "\n".join(line for k in range(20) for line in [f"{word()} {word()} {word()}"] * 2), "en", "s")]
+    rows = spark.createDataFrame(uniform + twice, "doc_id long, text string, lang string, source string")
+    vector = {v.doc_id: v for v in quality._vector(quality.counts(rows)).collect()}
+    assert vector[1000].x_lines == pytest.approx(math.sqrt(0.5)) and vector[0].x_lines == 0
+
+
 def test_url_rules_and_model(spark):
     rows = [(i, f"https://a{i}.example.org/en/{i}") for i in range(100)] + [(200 + i, f"http://b{i}.test.com/de/{i}") for i in range(40)]
     rows += [(300, "HTTP://X.ORG/"), (301, None), (302, "no url"), (303, "http://q.net/en/7"), (304, "http://q.net/de/7"), (305, "http://notexample.org/en/1"), (306, "http://example.org?x"), (300, "HTTP://X.ORG/")]
