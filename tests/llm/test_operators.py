@@ -224,6 +224,22 @@ def test_quality_rejects_menus(spark):
     assert vector[1000].x_lines == pytest.approx(math.sqrt(0.5)) and vector[0].x_lines == 0
 
 
+def test_quality_judges_small_groups(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    text = lambda: " ".join(word() for _ in range(r.randint(80, 400)))
+    junk = lambda: " ".join(word() + "###" for _ in range(200))
+    # many small sources of one language, a rare language, nulls, and a group of many copies of one text
+    rows = [(i, text(), "en", f"s{i % 20}") for i in range(120)] + [(200, text(), "xx", "s0"), (201, text(), None, None), (202, text(), "en", None)]
+    rows += [(300 + i, rows[0][1], "yy", "s0") for i in range(40)]
+    bad = [(1000, junk(), "en", "s3"), (1001, junk(), "xx", "s0"), (1002, junk(), None, None), (1003, junk(), "yy", "s0")]
+    got = {g.doc_id: g for g in quality.judge(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows + bad) and all(g.distance is not None for g in got.values())
+    assert all(g.kept == (i < 1000) for i, g in got.items())
+    few = quality.judge(spark.createDataFrame(rows[:3], "doc_id long, text string, lang string, source string")).collect()
+    assert len(few) == 3 and all(g.kept and g.distance is not None for g in few)
+
+
 def test_url_rules_and_model(spark):
     rows = [(i, f"https://a{i}.example.org/en/{i}") for i in range(100)] + [(200 + i, f"http://b{i}.test.com/de/{i}") for i in range(40)]
     rows += [(300, "HTTP://X.ORG/"), (301, None), (302, "no url"), (303, "http://q.net/en/7"), (304, "http://q.net/de/7"), (305, "http://notexample.org/en/1"), (306, "http://example.org?x"), (300, "HTTP://X.ORG/")]
