@@ -1,9 +1,11 @@
 """Secret scans: three fixed patterns, and sliding-window Shannon entropy per character class.
 
-A candidate is a run of token characters. For each class (hex digits, or the wider key alphabet) a window slides over
-the candidate; its entropy follows from incremental counts, one character in and one out per step. Windows at or above
-the class's threshold are joined to spans. The allow list suppresses candidates that look random but are no secrets:
-identifiers in UUID form, plain words, numbers, and placeholder text.
+A candidate is a run of token characters. For each class (hex digits, letters of one case with digits, or the wider key
+alphabet) a window slides over the candidate's runs of that class's characters; its entropy follows from incremental
+counts, one character in and one out per step. A run shorter than the window is one window, and the threshold shrinks as
+the largest entropy of so many characters does. Windows at or above the threshold are joined to spans, over all classes.
+The allow list suppresses runs that look random but are no secrets: identifiers in UUID form, plain words, numbers, and
+placeholder text.
 
 Texts are scanned whole, and a null text counts as empty: it has no finding. Positions are code points, ends exclusive.
 Repeated rows are scanned each for itself; other columns are not read. An empty table gives an empty result.
@@ -29,7 +31,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Least length of a candidate, and of a class's run in it.
+LEAST_RUN = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 
 
 @dataclass(frozen=True)
@@ -39,12 +43,19 @@ class CharClass:
     window: int
     bits: float
 
+    @property
+    def runs(self) -> re.Pattern:
+        return re.compile(f"[{re.escape(''.join(sorted(self.alphabet)))}]{{{LEAST_RUN},}}")
+
 
 #: Entropy thresholds in bits per character over a window.
 CLASSES = (
     CharClass("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.2),
+    CharClass("lower36", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 24, 3.7),
+    CharClass("upper36", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 24, 3.7),
     CharClass("key", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.05),
 )
+RUNS = tuple((c, c.runs) for c in CLASSES)
 #: What the allow list suppresses.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
@@ -99,15 +110,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, "entropy") of the candidates' windows, by the narrowest class that holds the whole candidate."""
-    found = []
+    """(start, end, "entropy") of the windows of every class over its own runs in the candidates, joined where they overlap."""
+    found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
-        if any(a.fullmatch(m[0]) for a in ALLOW):
-            continue
-        kind = next((c for c in CLASSES if c.alphabet.issuperset(m[0])), None)
-        if kind:
-            found += [(m.start() + a, m.start() + b, "entropy") for a, b in high_entropy(m[0], kind.window, kind.bits)]
-    return found
+        for kind, runs in RUNS:
+            for run in runs.finditer(text, m.start(), m.end()):
+                if any(a.fullmatch(run[0]) for a in ALLOW):
+                    continue
+                size = min(kind.window, len(run[0]))
+                bits = kind.bits * math.log2(size) / math.log2(kind.window)
+                found += [(run.start() + a, run.start() + b) for a, b in high_entropy(run[0], size, bits)]
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return [(a, b, "entropy") for a, b in spans]
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

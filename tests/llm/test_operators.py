@@ -178,6 +178,22 @@ def test_secret_scan(spark):
         assert np.allclose(list(secrets.window_entropies(s, 24)), direct)
 
 
+def test_secret_entropy_per_class():
+    r = random.Random(12)
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hits = Counter()
+    for _ in range(100):
+        for before in ("", "id=", "sess_", "v1/"):
+            for name, token in (("upper hex", draw("0123456789ABCDEF", 40)), ("hex 24", draw("0123456789abcdef", 24)), ("hex 20", draw("0123456789abcdef", 20)), ("lower36", draw(lower, 40)), ("upper36", draw(upper, 40)), ("key 22", draw(lower + upper, 22))):
+                text = f"see {before}{token} here"
+                at = text.index(token)
+                hits[name] += any(a < at + len(token) and b > at for a, b, _ in secrets.entropy_spans(text))
+    assert all(hits[n] >= 360 for n in ("upper hex", "hex 24", "hex 20", "lower36", "upper36", "key 22")), hits
+    for plain in ("11111111111111111111", "12345678901234567890123", "id=11111111111111111111111111", "3f2504e0-4f89-11d3-9a0c-0305e82c3301", "internationalization/of/documents"):
+        assert secrets.entropy_spans(f"a {plain} b") == []
+
+
 def test_quality_counts_and_verdicts(docs, empty):
     got = quality.judge(docs).collect()
     facts = {}
