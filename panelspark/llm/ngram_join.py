@@ -471,6 +471,29 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component; documents with empty sets stay."""
-    gone = written(join(docs, text, doc_id).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near")
-    return docs.join(gone, docs[doc_id].cast("long") == gone["doc_id"], "left_anti").select(*docs.columns)
+    """Exactly one row of ``docs`` of each component, with the smallest doc_id (null last); documents with empty sets stay.
+
+    A row is known by its doc_id and text, so rows that repeat a doc_id, or have none, stay or go as their texts say.
+    """
+    marked = docs.withColumn("__key", F.xxhash64(docs[doc_id].cast("long"), docs[text]))
+    source = marked.select(F.col("__key").alias("doc_id"), marked[text].alias("text"))
+    seen = facts(source)
+    labels = written(components(linked_classes(source.select("text"), seen)), "labels")
+    ids = marked.select(F.col("__key").alias("key"), marked[doc_id].cast("long").alias("id")).distinct()
+    rows = seen.filter("n > 0").groupBy(F.col("doc_id").alias("key"), "cls").agg(F.count(F.lit(1)).alias("times"))
+    rows = written(rows.join(ids, "key"), "rows")
+    firsts = rows.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    named = firsts.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    tops = named.groupBy("component").agg(F.min("first").alias("top"))
+    top = named.join(tops, "component").select("cls", F.col("top.key").alias("top"), F.col("top.id").alias("top_id"))
+    decided = rows.join(top, "cls").withColumn("stays", (F.col("key") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id")))
+    gone = written(decided.filter("not stays").select("key", "id"), "near")
+    # rows equal in doc_id and text, of which one is to stay
+    again = written(decided.filter("stays and times > 1").select("key", "id"), "again")
+
+    def hit(other: DataFrame):
+        return (marked["__key"] == other["key"]) & marked[doc_id].cast("long").eqNullSafe(other["id"])
+
+    left = marked.join(gone, hit(gone), "left_anti")
+    once = marked.join(again, hit(again), "left_semi").dropDuplicates(["__key"])
+    return left.join(again, hit(again), "left_anti").unionByName(once).select(*docs.columns)

@@ -142,6 +142,18 @@ def test_ngram_join(docs, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_one_of_each_repeated_ids(spark):
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(10000)}" for _ in range(80))
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (5, one + " near"), (5, text()), (7, two), (7, two + " near"), (None, three), (None, three + " near"), (None, text()), (9, text()), (9, None), (8, "")]
+    rows += [(11, text())] * 2
+    got = [(g.doc_id, g.text) for g in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert (1, one) in got and (5, one + " near") not in got and rows[2] in got and rows[7] in got
+    assert sum(g[0] == 7 for g in got) == 1 and sum(g[1] in (three, three + " near") for g in got) == 1
+    assert got.count(rows[-1]) == 1 and {rows[8], rows[9], rows[10]} <= set(got) and len(got) == 9
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(100, 105), (105, 103), (200, 200)]
     got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
