@@ -1,26 +1,25 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A document's set holds its distinct 5-word shingles (64-bit hashes of words with A-Z lower-cased); with fewer than five
-words it holds the whole sequence as one. Documents with equal sets form a class, and classes link when
-100 * intersection >= 75 * union.
-
-Signatures. Sets of a size band [2^b, 2^(b+1)) split the hash domain into ``CELLS`` * 2^(b+1) second-level cells, each
-of which is enumerated as a subset of its own; a set's signatures are its non-empty cells with the set's elements
-there. A set that is large enough to link with one of the next band signs there too. If two sets differ in d elements, at
-most d signatures of either are not shared, and linked sets have d <= (|r| + |s|) / 7 <= |r| / 3. So in any global
-order of signatures the first |r| / 3 + 1 of both sets have one in common, unless neither has more than d signatures at
-all; sets with so few sign each shingle too. The order puts signatures last whose elements are all frequent, which
-keeps common passages out of the candidates of documents that only quote them.
-
-Candidates. Classes that share a signature form a bucket, which is read as a stream. First every class is compared with
-the bucket's first one, by the pair that shares most signatures; then with the other first ones; what is in one
-component by then needs no comparison, and in buckets that still hold several components all pairs across components are
-tested, first by their sizes and by parity vectors (differing bits are a lower bound of d), then by the sets themselves. So no
-link is lost, and the pairs that are built follow the links that are missing.
+A document's set holds its distinct 5-word shingles (``shingles``). Documents with equal sets form a class, and classes
+link when 100 * intersection >= 75 * union.
+
+1. Shared elements. A linked class shares three quarters of its elements with another one. The exchange of ``tally``
+   counts the classes that hold each element of half the hash domain, and a class with more than a quarter of its
+   elements alone there links with nothing. This leaves copies and documents that consist of shared passages.
+2. Signatures. The classes left count their elements once more, among themselves, which tells own, rare and
+   frequent ones, and sign by PartEnum (``partenum``): subsets of partitions of the domain, per size band.
+3. Stars. Classes with a common signature form a bucket, read as a sorted stream. Each is paired with the bucket's first
+   one, that with the fewest own and rare elements: of near copies it is the one closest to all. Pairs that the counts
+   allow are tested, by parity vectors first (differing bits are a lower bound of differing elements), then by the sets.
+4. Across components. The signatures are dealt again with the components that the stars gave. In buckets that hold
+   several, each class outside the largest one is paired with those of other components that the counts allow.
+
+So no link between different components is lost, and pairs follow the links that are missing: what is in one component by step 3
+is not paired. Buckets of more than ``HELD`` classes are dealt in pairs of blocks, so no task holds one whole.
 
 Null, empty and blank texts have empty sets and link with nothing. Rows that repeat a doc_id belong to the same text or
 not as their texts say; a null doc_id takes part with its class but never gives it its name. An empty table gives an
-empty result. Set hashes are 64-bit keys of classes.
+empty result. Set hashes are 64-bit keys of classes. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -29,154 +28,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import partenum, repeats, tally
 from .components import components
 from .shared import partitions, written
+from .shingles import class_keys, mixed, shingle_sets
 from .tokens import slices
 
-SHINGLE = 5
 LINK, OF = 75, 100
-CELLS = 2
-#: A shingle is frequent if tasks that met it twice or more met it so often in all.
-FREQUENT = 24
-#: Shingles that a task counts together.
-COUNTED = 2_000_000
 PARITY_BITS = 512
-#: Members of a bucket that a task of the exhaustive pass holds at a time, and of these the ones paired in one step.
-HELD, BLOCK = 4096, 128
-#: Buckets of at most so many members are paired by a join.
+#: Members of a bucket that a task holds at a time.
+HELD = 4096
+#: Buckets of at most so many members are paired by shifts of the sorted rows.
 SMALL = 32
+#: Pairs that a task holds before it sends the distinct ones.
+PAIRS = 500_000
 
-WORD_BASE, SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 11, 12, 13]] = True
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin (one more than texts)."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    at = offsets - offsets[0]
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = ~BLANK[raw]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    edges = at[1:-1][at[1:-1] < len(raw)]
-    first[edges] = solid[edges]  # a text's first character begins a word
-    begins = np.flatnonzero(first)
-    body = LOWER[raw[solid]]
-    order = np.cumsum(solid) - 1
-    starts = order[begins]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    lengths = np.diff(np.append(starts, len(body)))
-    place = np.arange(len(body)) - np.repeat(starts, lengths)
-    power = np.multiply.accumulate(np.full(int(lengths.max()), WORD_BASE))
-    hashes = mixed(np.add.reduceat(BYTES[body] * power[place], starts) + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(begins, at)
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' sets, each in ascending order, flat, and where each begins (one more than texts)."""
-    words, at = word_hashes(texts)
-    n = np.diff(at)
-    many = np.maximum(n - SHINGLE + 1, 0)
-    of = np.repeat(np.arange(len(n)), many)
-    where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[:-1], many)
-    sums = np.zeros(len(where), np.uint64)
-    factor = 1
-    for k in range(SHINGLE):
-        factor = factor * int(SHINGLE_BASE) % (1 << 64)
-        sums += words[where + k] * np.uint64(factor)
-    short = np.flatnonzero((n > 0) & (n < SHINGLE))
-    if len(short):
-        extra = []
-        for i in short.tolist():
-            factor, total = 1, int(n[i])
-            for w in words[at[i] : at[i + 1]].tolist():
-                factor = factor * int(SHINGLE_BASE) % (1 << 64)
-                total = (total + w * factor) % (1 << 64)
-            extra.append(total)
-        of, sums = np.concatenate([of, short]), np.concatenate([sums, np.array(extra, np.uint64)])
-    hashes = mixed(sums)
-    order = np.lexsort((hashes, of))
-    of, hashes = of[order], hashes[order]
-    if len(of):
-        new = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))
-        of, hashes = of[new], hashes[new]
-    return hashes, np.searchsorted(of, np.arange(len(n) + 1))
-
-
-def class_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set."""
-    raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
-    ends = (8 * at).tolist()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64).view(np.int64)
-
-
-def signatures(hashes: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, signature) of all sets. ``frequent`` flags elements."""
-    n = np.diff(at)
-    sets, sigs = [], []
-    size_band = np.zeros(len(n), np.int64)
-    size_band[n > 0] = np.floor(np.log2(n[n > 0])).astype(np.int64)
-    up = (n > 0) & (4 * n >= 3 * (1 << (size_band + 1)))
-    for signing, band in ((n > 0, size_band), (up, size_band + 1)):
-        rows = np.flatnonzero(signing)
-        if not len(rows):
-            continue
-        pick = np.repeat(signing, n)
-        own, rare = hashes[pick], ~frequent[pick]
-        of = np.repeat(rows, n[rows])
-        cells = (CELLS * (1 << (band[of] + 1))).astype(np.uint64)
-        cell = ((own >> np.uint64(32)) * cells) >> np.uint64(32)
-        # ascending hashes give ascending cells, so each cell's elements are neighbours
-        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])))
-        tag = mixed((cell[new] << np.uint64(8)) | band[of[new]].astype(np.uint64))
-        token = mixed(np.add.reduceat(mixed(own + np.uint64(1)), new) ^ tag)
-        common = np.add.reduceat(rare.astype(np.int64), new) == 0
-        s, t, thin = _prefix(of[new], token, common, n)
-        sets.append(s)
-        sigs.append(t)
-        if len(thin):
-            some = np.isin(of, thin)
-            single = mixed(own[some] ^ np.uint64(0x5851F42D4C957F2D))
-            s, t, _ = _prefix(of[some], single, ~rare[some], n)
-            sets.append(s)
-            sigs.append(t)
-    if not sets:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(sets), np.concatenate(sigs)
-
-
-def _prefix(of: np.ndarray, token: np.ndarray, common: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first n // 3 + 1 tokens of each set, rare ones first; and the sets with n // 3 tokens or fewer."""
-    order = np.lexsort((token, common, of))
-    of, token = of[order], token[order]
-    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    count = np.diff(np.append(begin, len(of)))
-    rank = np.arange(len(of)) - np.repeat(begin, count)
-    keep = rank <= n[of] // 3
-    return of[keep], token[keep], of[begin[count <= n[of[begin]] // 3]]
+ALIVE = "cls long, text_key long"
+SETS = "cls long, shingles binary"
+CLASSES = "cls long, facts long, parity binary, shingles binary, kinds binary"
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -196,69 +68,76 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-FOLD = 64
-
-
-def fold(own: bytes) -> bytes:
-    """A parity folded to 64 bytes."""
-    x = np.frombuffer(own, np.uint8)
-    while len(x) > FOLD:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x.tobytes()
-
-
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = pa.array([fold(p) for p in batch.column(0).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, own], names=["parity", "cls", "n", "fold"])
-
-
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return OF * both >= LINK * (len(a) + len(b) - both)
 
 
-FACTS = "doc_id long, n long, cls long, parity binary, shingle long, times long"
-
-
-def facts(source: DataFrame) -> DataFrame:
-    """Two kinds of rows from one reading: doc_id, n, cls, parity of documents, and shingle, times of what tasks met twice or more."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, known = [], 0, set()
-
-        def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            none = pa.nulls(int((n > 1).sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["doc_id", "n", "cls", "parity", "shingle", "times"])
-
-        for whole in batches:
-            for batch in slices(whole):
-                hashes, at = shingle_sets(batch.column("text"))
-                keys = class_keys(hashes, at)
-                own = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                none = pa.nulls(len(keys), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(keys), pa.array([parity(o) for o in own], pa.binary()), none, none], names=["doc_id", "n", "cls", "parity", "shingle", "times"]
-                )
-                for k, o in zip(keys.tolist(), own, strict=True):
-                    if k not in known and len(o):  # copies of a text count once
-                        known.add(k)
-                        held.append(o)
-                        size += len(o)
-                if size >= COUNTED:
-                    yield counted()
-                    held, size, known = [], 0, set()
-        if held:
-            yield counted()
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """(slice of a batch, its sets, where each begins, class keys, first rows of the non-empty classes)."""
+    for whole in batches:
+        for batch in slices(whole):
+            hashes, at = shingle_sets(batch.column("text"))
+            keys = class_keys(hashes, at)
+            first = np.unique(keys, return_index=True)[1] if len(keys) else np.zeros(0, np.int64)
+            yield batch, hashes, at, keys, [i for i in first.tolist() if at[i + 1] > at[i]]
+
+
+def _seen(source: DataFrame, parts: int) -> DataFrame:
+    """doc_id, n, cls of every document, and the answers of the count of elements in half the domain, from one reading."""
+    segments = 2 * tally.segments(source)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, keys, texts, size, known = [], [], [], 0, set()
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate(sets)
+            n = np.array([len(s) for s in sets], np.uint32)
+            of = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+            half = flat < np.uint64(1 << 63)
+            order = np.argsort(flat[half], kind="stable")
+            own, of = flat[half][order], of[half][order]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            cls = np.array(keys, np.int64).tobytes()
+            roster = np.array([len(sets), len(begin)], np.int64).tobytes() + cls + np.array(texts, np.int64).tobytes() + n.tobytes() + of[begin].tobytes()
+            yield from tally.asked(own[begin], np.diff(np.append(begin, len(own))), segments, cls, roster)
+
+        for batch, hashes, at, own, first in _sets(batches):
+            if len(own):
+                yield tally.passed(batch.column("doc_id"), np.diff(at), own)
+            text_key = batch.column("text_key").to_pylist()
+            for i in first:
+                if own[i] not in known:  # copies of a text count once
+                    known.add(own[i])
+                    sets.append(hashes[at[i] : at[i + 1]])
+                    keys.append(own[i])
+                    texts.append(text_key[i])
+                    size += len(sets[-1])
+                if size >= tally.GATHERED or len(sets) >= tally.SETS:
+                    yield from ask()
+                    sets, keys, texts, size, known = [], [], [], 0, set()
+        if sets:
+            yield from ask()
+
+    return written(tally.answered(source.mapInArrow(count, tally.SCHEMA), parts), "seen")
+
+
+def _alive(roster: bytes, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Classes that have no more than a quarter of their elements alone."""
+    m, entries = np.frombuffer(roster, np.int64, 2).tolist()
+    cls, text_key = (np.frombuffer(roster, np.int64, m, 16 + 8 * m * i) for i in range(2))
+    n = np.frombuffer(roster, np.uint32, m, 16 + 16 * m)
+    of = np.frombuffer(roster, np.uint16, entries, 16 + 20 * m)
+    alone = np.bincount(of[counts < 2], minlength=m)
+    stay = (OF - LINK) * n.astype(np.int64) >= OF * alone
+    yield pa.RecordBatch.from_arrays([pa.array(cls[stay]), pa.array(text_key[stay])], names=["cls", "text_key"])
 
-    return written(source.mapInArrow(local, FACTS), "facts")
 
+def _members(keys: DataFrame) -> tuple[object, int]:
+    def two(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _two(batch.column(0).to_numpy())
 
-def _frequent_filter(seen: DataFrame):
-    """A membership filter of the frequent shingles."""
-    often = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")).filter(F.col("n") >= FREQUENT).select("shingle")
-    return _members(written(often, "frequent"))
+    return repeats.build(keys, two, keys.count(), least=1)
 
 
 def _two(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,201 +145,247 @@ def _two(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(keys), mixed(keys ^ np.uint64(0xD6E8FEB86659FD93))
 
 
-def _members(keys: DataFrame) -> tuple[object, int]:
-    return repeats.build(keys, lambda b: _two(b.column(0).to_numpy()), keys.count(), least=1)
+def _live_sets(source: DataFrame, alive: DataFrame) -> DataFrame:
+    """cls, shingles of the classes left: only their texts are read into shingles again."""
+    wanted, bits = _members(alive.select("text_key"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    key = batch.column("text_key").to_numpy()
+                    yield batch.take(pa.array(np.flatnonzero(repeats.maybe_repeated(wanted.value, bits, *_two(key)))))
+
+        for _, hashes, at, keys, first in _sets(some()):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in first], pa.binary())], names=["cls", "shingles"])
+
+    return source.mapInArrow(build, SETS).groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
+
+
+def _classes(sets: DataFrame, parts: int) -> DataFrame:
+    """cls, facts, parity, shingles, kinds of the classes that still have no more than a quarter of own elements."""
+    segments = tally.segments(sets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, size = [], [], 0
 
+        def ask() -> Iterator[pa.RecordBatch]:
+            flat = np.frombuffer(b"".join(held), np.uint64)
+            own, n = np.unique(flat, return_counts=True)
+            cls = np.array(keys, np.int64).tobytes()
+            sizes = np.array([len(h) // 8 for h in held], np.uint32).tobytes()
+            yield from tally.asked(own, n, segments, cls, np.array([len(held)], np.int64).tobytes() + cls + flat.tobytes() + sizes)
 
-def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, cls) -> (sig, cls, first) of the buckets with two classes or more, each class once."""
-    sig, first, last, told = None, None, None, False
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                held.append(own)
+                size += len(own) // 8
+                if size >= tally.GATHERED:
+                    yield from ask()
+                    keys, held, size = [], [], 0
+        if held:
+            yield from ask()
+
+    def mark(roster: bytes, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m = int(np.frombuffer(roster, np.int64, 1)[0])
+        cls = np.frombuffer(roster, np.int64, m, 8)
+        n = np.frombuffer(roster[len(roster) - 4 * m :], np.uint32).astype(np.int64)
+        flat = np.frombuffer(roster, np.uint64, int(n.sum()), 8 + 8 * m)
+        kind = partenum.kinds(counts)[np.unique(flat, return_inverse=True)[1]]
+        told = partenum.facts(n, kind)
+        at = np.append(0, np.cumsum(n))
+        own = np.add.reduceat(kind == partenum.OWN, at[:-1], dtype=np.int64)
+        for i in np.flatnonzero((OF - LINK) * n >= OF * own).tolist():
+            x = flat[at[i] : at[i + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls[i : i + 1]), pa.array(told[i : i + 1]), *(pa.array([v], pa.binary()) for v in (parity(x), x.tobytes(), kind[at[i] : at[i + 1]].tobytes()))], names=["cls", "facts", "parity", "shingles", "kinds"]
+            )
+
+    asked = sets.mapInArrow(count, tally.SCHEMA)
+    return written(tally.returned(tally.answered(asked, parts), mark, CLASSES, parts), "classes")
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, facts, shingles, kinds, ...) -> (sig, cls, facts, ...) of each signature; what follows kinds goes along."""
     for batch in batches:
-        s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(s):
+        if not batch.num_rows:
             continue
-        new = np.append((sig is None) or (s[0] != sig) or (c[0] != last), (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
-        s, c = s[new], c[new]
+        size = np.cumsum(np.array([len(k) for k in batch.column(3).to_pylist()], np.int64))
+        cuts = sorted({0, *(np.searchsorted(size, np.arange(tally.GATHERED, size[-1], tally.GATHERED)) + 1).tolist(), batch.num_rows})
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            kind = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8)
+            flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
+            of, sig = partenum.signatures(flat, np.array([len(k) for k in part.column(3).to_pylist()], np.int64), kind)
+            pick = pa.array(of)
+            rest = [part.column(i).take(pick) for i in (0, 1, *range(4, part.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *rest], names=["sig", "cls", "facts", *part.schema.names[4:]])
+
+
+def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(u), np.concatenate(v)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)]
+    return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new]), pa.nulls(int(new.sum()), pa.int64())], names=["u", "v", "size"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, facts, cls) -> pairs (u, v) of a bucket's first class and each other that may link; and (sig, null, size) of large buckets."""
+    sig, lead, told, size, u, v = None, 0, 0, 0, [], []
+    for batch in batches:
+        s, f, c = (batch.column(i).to_numpy() for i in range(3))
         if not len(s):
             continue
-        begin = np.append((sig is None) or (s[0] != sig), s[1:] != s[:-1])
+        begin = np.append(sig is None or s[0] != sig, s[1:] != s[:-1])
         heads = np.flatnonzero(begin)
         which = np.cumsum(begin) - 1
-        lead = np.where(which >= 0, c[heads[np.maximum(which, 0)]] if len(heads) else 0, 0)
-        if not begin[0]:
-            lead[which < 0] = first
-        follows = ~begin
-        out_s, out_c, out_f = s[follows], c[follows], lead[follows]
-        # a bucket's first class is told along with its second one
-        one = np.flatnonzero(follows)
-        seconds = one[(one > 0) & begin[np.maximum(one - 1, 0)]]
-        extra_s, extra_f = s[seconds], lead[seconds]
-        if not begin[0] and not told:
-            extra_s, extra_f = np.append(extra_s, sig), np.append(extra_f, first)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(out_s, extra_s)), pa.array(np.append(out_c, extra_f)), pa.array(np.append(out_f, extra_f))], names=["sig", "cls", "first"])
-        tail_told = bool(follows[-1])
-        sig, last, first, told = s[-1], c[-1], lead[-1], tail_told
-    return
-
-
-def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, p, q, blk, comp, cls, n, fold) -> pairs of classes of different components, one in block p and one in block q.
-
-    A bucket's members come in blocks of about ``HELD``, so two blocks are held at a time. Sizes too far apart to
-    link give no pair, nor do folded parities that differ in too many bits.
+        sizes = np.diff(np.concatenate([[0], heads, [len(s)]]))  # the open bucket's rows first
+        sizes[0] += size
+        names = np.concatenate([[sig or 0], s[heads]])
+        big = np.flatnonzero(sizes[:-1] > HELD)
+        if len(big):
+            yield pa.RecordBatch.from_arrays([pa.array(names[big]), pa.nulls(len(big), pa.int64()), pa.array(sizes[:-1][big].astype(np.int64))], names=["u", "v", "size"])
+        first_c = np.concatenate([[lead], c[heads]])[which + 1]
+        first_f = np.concatenate([[told], f[heads]])[which + 1]
+        pick = np.flatnonzero(~begin & (c != first_c))
+        pick = pick[partenum.may_link((s[pick] & 1) == 1, first_f[pick], f[pick])]
+        u.append(first_c[pick])
+        v.append(c[pick])
+        sig, lead, told, size = s[-1], first_c[-1], first_f[-1], int(sizes[-1])
+        if sum(map(len, u)) >= PAIRS:
+            yield _distinct(u, v)
+            u, v = [], []
+    if size > HELD:
+        yield pa.RecordBatch.from_arrays([pa.array([sig]), pa.nulls(1, pa.int64()), pa.array([size])], names=["u", "v", "size"])
+    if u:
+        yield _distinct(u, v)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, side, comp, cls, facts) -> pairs (u, v) of a bucket's classes in different components that may link.
+
+    Members of side 0 pair with each other, those of sides 1 and 2 only across.
     """
-    key, held = None, []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        blk, comp, cls, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        left, right = blk == key[1], blk == key[2]
-        for i in range(0, int(left.sum()), BLOCK):
-            lc, lx, ln = (v[left][i : i + BLOCK] for v in (comp, cls, n))
-            rc, rn = comp[right][None, :], n[right][None, :]
-            near = (lc[:, None] < rc if key[1] == key[2] else lc[:, None] != rc) & (OF * ln[:, None] >= LINK * rn) & (OF * rn >= LINK * ln[:, None])
-            a, b = np.nonzero(near)
-            least = np.bitwise_count(bits[left][i : i + BLOCK][a] ^ bits[right][b]).sum(axis=1, dtype=np.int64)
-            ok = (OF + LINK) * least <= (OF - LINK) * (ln[a] + n[right][b])
-            a, b = a[ok], b[ok]
-            if len(a):
-                low, high = lx[a], cls[right][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["u", "v"])
+    u, v, rest = [], [], None
+
+    def small(s, e, g, c, f) -> None:
+        for d in range(1, SMALL):
+            a, b = slice(None, -d), slice(d, None)
+            same = s[b] == s[a]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (g[b] != g[a]) & ((e[b] == 0) | (e[b] != e[a])))
+            i = i[partenum.may_link((s[i] & 1) == 1, f[i], f[i + d])]
+            u.append(c[i])
+            v.append(c[i + d])
+
+    def large(s, e, g, c, f) -> None:
+        names, many = np.unique(g, return_counts=True)
+        if len(names) < 2:
+            return
+        outside = np.flatnonzero(g != names[many.argmax()])
+        for i in outside.tolist():
+            ok = np.flatnonzero((g != g[i]) & ((e == 0) | (e != e[i])))
+            ok = ok[partenum.may_link(np.full(len(ok), (s[i] & 1) == 1), np.full(len(ok), f[i]), f[ok])]
+            u.append(np.full(len(ok), c[i]))
+            v.append(c[ok])
+
+    def bucketed(cols: list[np.ndarray]) -> None:
+        s = cols[0]
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        many = np.diff(np.append(begin, len(s)))
+        few = np.repeat(many <= SMALL, many)
+        if few.any():
+            small(*(x[few] for x in cols))
+        for i in np.flatnonzero(many > SMALL).tolist():
+            large(*(x[begin[i] : begin[i] + many[i]] for x in cols))
 
     for batch in batches:
-        if not batch.num_rows:
+        cols = [batch.column(i).to_numpy() for i in range(5)]
+        if rest is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
             continue
-        s, p, q, k, g, c, n = (batch.column(i).to_numpy() for i in range(7))
-        f = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, FOLD // 8)
-        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(s)]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if (s[x], p[x], q[x]) != key:
-                if held:
-                    yield from pairs()
-                key, held = (s[x], p[x], q[x]), []
-            held.append((k[x:y], g[x:y], c[x:y], n[x:y], f[x:y]))
-    if held:
-        yield from pairs()
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+        rest = [x[cut:] for x in cols]
+        if cut:
+            bucketed([x[:cut] for x in cols])
+        if sum(map(len, u)) >= PAIRS:
+            yield _distinct(u, v)
+            u, v = [], []
+    if rest is not None:
+        bucketed(rest)
+    if u:
+        yield _distinct(u, v)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least = np.array([differing(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
+        n = (batch.column(4).to_numpy() & partenum.FULL) + (batch.column(5).to_numpy() & partenum.FULL)
+        ok = pa.array(((OF + LINK) * least <= (OF - LINK) * n) | (n >= partenum.FULL))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ok = pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
+
+
+def _tested(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among the pairs (u, v)."""
+
+    def of(end: str, *names: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(end), *(F.col(n).alias(f"{n}_{end}") for n in names))
+
+    likely = pairs.join(of("v", "parity", "facts"), "v").join(of("u", "parity", "facts"), "u").select("u", "v", "parity_u", "parity_v", "facts_u", "facts_v").mapInArrow(_near, "u long, v long")
+    likely = written(likely, "likely")
+    return written(likely.join(of("v", "shingles"), "v").join(of("u", "shingles"), "u").select("u", "v", "shingles_u", "shingles_v").mapInArrow(_verify, "u long, v long"), "links")
 
 
 def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
     """u, v: links between classes (keys) that, with all the others, give the components of the link graph."""
-    frequent, frequent_bits = _frequent_filter(seen)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                hashes, at = shingle_sets(batch.column("text"))
-                keys = class_keys(hashes, at)
-                first = np.zeros(len(keys), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                n = np.diff(at)
-                hashes = hashes[np.repeat(first, n)]
-                keys, n = keys[first], n[first]
-                at = np.concatenate([[0], np.cumsum(n)])
-                often = repeats.maybe_repeated(frequent.value, frequent_bits, *_two(hashes)) if len(hashes) else np.zeros(0, bool)
-                of, sig = signatures(hashes, at, often)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[of])], names=["sig", "cls"])
-
     parts = max(partitions(source.sparkSession), 1)
-    live = written(
-        source.mapInArrow(sign, "sig long, cls long").repartition(parts, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_star_rows, "sig long, cls long, first long"), "buckets"
-    )
-    wanted = written(live.select("cls").distinct(), "wanted")
-    short = written(
-        seen.filter("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("parity").alias("parity"), F.any_value("n").alias("n"))
-        .select("parity", "cls", "n").mapInArrow(_folded, "parity binary, cls long, n long, fold binary"), "parities",
-    )
-
-    def sets_of(needed: DataFrame) -> DataFrame:
-        """cls, shingles of the needed classes, from one reading of the texts."""
-        keys, bits = _members(needed)
-
-        def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole):
-                    hashes, at = shingle_sets(batch.column("text"))
-                    own = class_keys(hashes, at)
-                    hit = repeats.maybe_repeated(keys.value, bits, *_two(own)) & (np.diff(at) > 0) if len(own) else np.zeros(0, bool)
-                    first = np.zeros(len(own), bool)
-                    first[np.unique(own, return_index=True)[1]] = True
-                    rows = np.flatnonzero(hit & first).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], names=["cls", "shingles"])
-
-        return source.mapInArrow(collect_sets, "cls long, shingles binary").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            least = np.array([differing(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
-            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            ok = pa.array((OF + LINK) * least <= (OF - LINK) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that sizes and parities allow to be linked."""
-        n = short.select("cls", "n")
-        sized = pairs.join(n.select(F.col("cls").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("cls").alias("v"), F.col("n").alias("nv")), "v")
-        sized = sized.filter((OF * F.least("nu", "nv")) >= LINK * F.greatest("nu", "nv"))
-        b = short.select(F.col("cls").alias("v"), F.col("parity").alias("pv"))
-        a = short.select(F.col("cls").alias("u"), F.col("parity").alias("pu"))
-        return written(sized.join(b, "v").join(a, "u").select("u", "v", "pu", "pv", "nu", "nv").mapInArrow(near, "u long, v long"), "likely")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The links among likely pairs (u, v)."""
-        if pairs.isEmpty():
-            return pairs
-        sets = written(sets_of(written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "needed")), "sets")
-        a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("su"))
-        b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("sv"))
-        return written(pairs.join(b, "v").join(a, "u").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "links")
-
-    shared = written(
-        live.filter(F.col("cls") != F.col("first")).groupBy(F.col("first").alias("u"), F.col("cls").alias("v")).agg(F.count(F.lit(1)).alias("n")), "stars"
-    )
-    best = shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u"))
-    links = tested(likely(best.select("u", "v")))
-    labels = written(components(links), "labels")
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        u = labels.select(F.col("vertex").alias("u"), F.col("component").alias("cu"))
-        v = labels.select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
-        both = pairs.join(u, "u", "left").join(v, "v", "left")
-        return both.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-
-    links = links.unionByName(tested(likely(across(shared.join(best, ["u", "v"], "left_anti").select("u", "v")))))
-    labels = written(components(links), "labels")
-    named = live.select("sig", "cls").join(labels.select(F.col("vertex").alias("cls"), "component"), "cls", "left").select("sig", F.coalesce("component", "cls").alias("comp"), "cls")
-    several = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter(F.col("low") != F.col("high"))
-    several = several.select("sig", F.col("m"), F.ceil(F.col("m") / HELD).cast("int").alias("blocks"))
-    open_rows = written(named.join(several, "sig").join(short.select("cls", "n"), "cls").select("sig", "m", "blocks", "comp", "cls", "n"), "open")
-    # small buckets: a join of their members; large ones: block by block
-    a = open_rows.filter(F.col("m") <= SMALL).select("sig", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = open_rows.filter(F.col("m") <= SMALL).select("sig", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fits = (OF * F.least("na", "nb")) >= LINK * F.greatest("na", "nb")
-    rest = a.join(b, "sig").filter((F.col("ca") < F.col("cb")) & fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    blk = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    large = open_rows.filter(F.col("m") > SMALL).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("sig", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "comp", "cls", "n").join(short.select("cls", "fold"), "cls")
-    large = large.select("sig", "p", "q", "blk", "comp", "cls", "n", "fold")
-    dealt = large.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q", "blk", "comp", "cls")
-    rest = rest.unionByName(dealt.mapInArrow(_cross_rows, "u long, v long")).distinct()
-    rest = rest.join(shared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    return links.unionByName(tested(likely(rest)))
+    alive = written(tally.returned(seen, _alive, ALIVE, parts), "alive")
+    classes = _classes(written(_live_sets(source, alive), "sets"), parts)
+
+    signed = classes.select("cls", "facts", "shingles", "kinds").mapInArrow(_sign, "sig long, cls long, facts long").select("sig", "facts", "cls")
+    found = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "facts", "cls").mapInArrow(_stars, "u long, v long, size long"), "stars")
+    links = _tested(found.filter("size is null").select("u", "v").distinct(), classes)
+    large = found.filter("size is not null").select(F.col("u").alias("sig"), F.ceil(F.col("size") / HELD).cast("int").alias("blocks"))
+
+    labels = components(links).select(F.col("vertex").alias("cls"), F.col("component").alias("comp"))
+    named = classes.join(labels, "cls", "left").select("cls", "facts", "shingles", "kinds", F.coalesce("comp", "cls").alias("comp"))
+    again = named.mapInArrow(_sign, "sig long, cls long, facts long, comp long").withColumn("side", F.lit(0))
+    if not large.isEmpty():
+        # block p meets block q under a key of its own, whose last bit is the signature's
+        own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        several = again.drop("side").join(large, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        p, q = F.least("own", "other"), F.greatest("own", "other")
+        key = F.xxhash64("sig", p, q).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("sig").bitwiseAND(F.lit(1)))
+        side = F.when(p == q, 0).when(F.col("own") == p, 1).otherwise(2)
+        blocks = several.select(key.alias("sig"), "cls", "facts", "comp", side.alias("side"))
+        again = again.join(large, "sig", "left_anti").unionByName(blocks)
+    dealt = again.select("sig", "side", "comp", "cls", "facts").repartition(parts, "sig").sortWithinPartitions("sig", "comp", "cls")
+    rest = dealt.mapInArrow(_across, "u long, v long, size long").select("u", "v").distinct()
+    return written(links.unionByName(_tested(rest, classes)), "links")
+
+
+def _keyed(docs: DataFrame, text: str, doc_id) -> DataFrame:
+    return docs.select(doc_id.alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-
-    seen = facts(source)
-    rows = seen.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    labels = written(components(linked_classes(source.select("text"), seen)), "labels")
+    source = _keyed(docs, text, docs[doc_id].cast("long"))
+    seen = _seen(source, max(partitions(docs.sparkSession), 1))
+    rows = seen.filter(F.col("kind") == tally.PASS).select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    labels = components(linked_classes(source, seen))
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -476,11 +401,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     A row is known by its doc_id and text, so rows that repeat a doc_id, or have none, stay or go as their texts say.
     """
     marked = docs.withColumn("__key", F.xxhash64(docs[doc_id].cast("long"), docs[text]))
-    source = marked.select(F.col("__key").alias("doc_id"), marked[text].alias("text"))
-    seen = facts(source)
-    labels = written(components(linked_classes(source.select("text"), seen)), "labels")
+    source = _keyed(marked, text, F.col("__key"))
+    seen = _seen(source, max(partitions(docs.sparkSession), 1))
+    labels = components(linked_classes(source, seen))
     ids = marked.select(F.col("__key").alias("key"), marked[doc_id].cast("long").alias("id")).distinct()
-    rows = seen.filter("n > 0").groupBy(F.col("doc_id").alias("key"), "cls").agg(F.count(F.lit(1)).alias("times"))
+    rows = seen.filter((F.col("kind") == tally.PASS) & (F.col("n") > 0)).groupBy(F.col("doc_id").alias("key"), "cls").agg(F.count(F.lit(1)).alias("times"))
     rows = written(rows.join(ids, "key"), "rows")
     firsts = rows.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     named = firsts.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
