@@ -48,7 +48,7 @@ PAIRS = 500_000
 
 ALIVE = "cls long, text_key long"
 SETS = "cls long, shingles binary"
-CLASSES = "cls long, facts long, parity binary, shingles binary, kinds binary"
+CLASSES = "cls long, facts long, sketch binary, parity binary, shingles binary, kinds binary"
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -195,32 +195,41 @@ def _classes(sets: DataFrame, parts: int) -> DataFrame:
         kind = partenum.kinds(counts)[np.unique(flat, return_inverse=True)[1]]
         told = partenum.facts(n, kind)
         at = np.append(0, np.cumsum(n))
-        own = np.add.reduceat(kind == partenum.OWN, at[:-1], dtype=np.int64)
+        own = np.add.reduceat(kind == partenum.OWN, at[:-1], dtype=np.int64)  # no set is empty here
         for i in np.flatnonzero((OF - LINK) * n >= OF * own).tolist():
-            x = flat[at[i] : at[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls[i : i + 1]), pa.array(told[i : i + 1]), *(pa.array([v], pa.binary()) for v in (parity(x), x.tobytes(), kind[at[i] : at[i + 1]].tobytes()))], names=["cls", "facts", "parity", "shingles", "kinds"]
-            )
+            x, own_kind = flat[at[i] : at[i + 1]], kind[at[i] : at[i + 1]]
+            parts = (partenum.sketch(x[own_kind == partenum.COMMON]), parity(x), x.tobytes(), own_kind.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls[i : i + 1]), pa.array(told[i : i + 1]), *(pa.array([v], pa.binary()) for v in parts)], names=["cls", "facts", "sketch", "parity", "shingles", "kinds"])
 
     asked = sets.mapInArrow(count, tally.SCHEMA)
     return written(tally.returned(tally.answered(asked, parts), mark, CLASSES, parts), "classes")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, facts, shingles, kinds, ...) -> (sig, cls, facts, ...) of each signature; what follows kinds goes along."""
+    """(cls, facts, sketch, shingles, kinds, ...) -> (sig, cls, facts, sketch of weak signatures, ...); what follows kinds goes along."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(np.array([len(k) for k in batch.column(3).to_pylist()], np.int64))
+        size = np.cumsum(np.array([len(k) for k in batch.column(4).to_pylist()], np.int64))
         cuts = sorted({0, *(np.searchsorted(size, np.arange(tally.GATHERED, size[-1], tally.GATHERED)) + 1).tolist(), batch.num_rows})
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = batch.slice(a, b - a)
-            kind = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8)
-            flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
-            of, sig = partenum.signatures(flat, np.array([len(k) for k in part.column(3).to_pylist()], np.int64), kind)
-            pick = pa.array(of)
-            rest = [part.column(i).take(pick) for i in (0, 1, *range(4, part.num_columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *rest], names=["sig", "cls", "facts", *part.schema.names[4:]])
+            kind = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+            flat = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint64)
+            of, sig = partenum.signatures(flat, np.array([len(k) for k in part.column(4).to_pylist()], np.int64), kind)
+            pick, weak = pa.array(of), (sig & partenum.WEAK) == 1
+            sketch = part.column(2).take(pa.array(of, mask=~weak))
+            rest = [part.column(i).take(pick) for i in range(5, part.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), part.column(0).take(pick), part.column(1).take(pick), sketch, *rest], names=["sig", "cls", "facts", "sketch", *part.schema.names[5:]])
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words, zero where there is none."""
+    out = np.zeros((len(column), partenum.SKETCH // 64), np.uint64)
+    known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(known):
+        out[known] = np.frombuffer(b"".join(column.take(pa.array(known)).to_pylist()), np.uint64).reshape(len(known), -1)
+    return out
 
 
 def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
@@ -233,12 +242,14 @@ def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, facts, cls) -> pairs (u, v) of a bucket's first class and each other that may link; and (sig, null, size) of large buckets."""
+    """Sorted (sig, facts, cls, sketch) -> pairs (u, v) of a bucket's first class and each other that may link; and (sig, null, size) of large buckets."""
     sig, lead, told, size, u, v = None, 0, 0, 0, [], []
+    drawn = np.zeros((1, partenum.SKETCH // 64), np.uint64)
     for batch in batches:
         s, f, c = (batch.column(i).to_numpy() for i in range(3))
         if not len(s):
             continue
+        k = _sketches(batch.column(3))
         begin = np.append(sig is None or s[0] != sig, s[1:] != s[:-1])
         heads = np.flatnonzero(begin)
         which = np.cumsum(begin) - 1
@@ -250,11 +261,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[big]), pa.nulls(len(big), pa.int64()), pa.array(sizes[:-1][big].astype(np.int64))], names=["u", "v", "size"])
         first_c = np.concatenate([[lead], c[heads]])[which + 1]
         first_f = np.concatenate([[told], f[heads]])[which + 1]
+        firsts = np.concatenate([drawn, k[heads]])
         pick = np.flatnonzero(~begin & (c != first_c))
-        pick = pick[partenum.may_link((s[pick] & 1) == 1, first_f[pick], f[pick])]
+        pick = pick[partenum.may_link((s[pick] & 1) == 1, first_f[pick], f[pick], firsts[which[pick] + 1], k[pick])]
         u.append(first_c[pick])
         v.append(c[pick])
-        sig, lead, told, size = s[-1], first_c[-1], first_f[-1], int(sizes[-1])
+        sig, lead, told, size, drawn = s[-1], first_c[-1], first_f[-1], int(sizes[-1]), firsts[-1:]
         if sum(map(len, u)) >= PAIRS:
             yield _distinct(u, v)
             u, v = [], []
@@ -265,31 +277,31 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, side, comp, cls, facts) -> pairs (u, v) of a bucket's classes in different components that may link.
+    """Sorted (sig, side, comp, cls, facts, sketch) -> pairs (u, v) of a bucket's classes in different components that may link.
 
     Members of side 0 pair with each other, those of sides 1 and 2 only across.
     """
     u, v, rest = [], [], None
 
-    def small(s, e, g, c, f) -> None:
+    def small(s, e, g, c, f, k) -> None:
         for d in range(1, SMALL):
             a, b = slice(None, -d), slice(d, None)
             same = s[b] == s[a]
             if not same.any():
                 break
             i = np.flatnonzero(same & (g[b] != g[a]) & ((e[b] == 0) | (e[b] != e[a])))
-            i = i[partenum.may_link((s[i] & 1) == 1, f[i], f[i + d])]
+            i = i[partenum.may_link((s[i] & 1) == 1, f[i], f[i + d], k[i], k[i + d])]
             u.append(c[i])
             v.append(c[i + d])
 
-    def large(s, e, g, c, f) -> None:
+    def large(s, e, g, c, f, k) -> None:
         names, many = np.unique(g, return_counts=True)
         if len(names) < 2:
             return
         outside = np.flatnonzero(g != names[many.argmax()])
         for i in outside.tolist():
             ok = np.flatnonzero((g != g[i]) & ((e == 0) | (e != e[i])))
-            ok = ok[partenum.may_link(np.full(len(ok), (s[i] & 1) == 1), np.full(len(ok), f[i]), f[ok])]
+            ok = ok[partenum.may_link(np.full(len(ok), (s[i] & 1) == 1), np.full(len(ok), f[i]), f[ok], k[i : i + 1], k[ok])]
             u.append(np.full(len(ok), c[i]))
             v.append(c[ok])
 
@@ -304,7 +316,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large(*(x[begin[i] : begin[i] + many[i]] for x in cols))
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(5)]
+        cols = [*(batch.column(i).to_numpy() for i in range(5)), _sketches(batch.column(5))]
         if rest is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
         if not len(cols[0]):
@@ -344,7 +356,6 @@ def _tested(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         return classes.select(F.col("cls").alias(end), *(F.col(n).alias(f"{n}_{end}") for n in names))
 
     likely = pairs.join(of("v", "parity", "facts"), "v").join(of("u", "parity", "facts"), "u").select("u", "v", "parity_u", "parity_v", "facts_u", "facts_v").mapInArrow(_near, "u long, v long")
-    likely = written(likely, "likely")
     return written(likely.join(of("v", "shingles"), "v").join(of("u", "shingles"), "u").select("u", "v", "shingles_u", "shingles_v").mapInArrow(_verify, "u long, v long"), "links")
 
 
@@ -352,16 +363,16 @@ def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
     """u, v: links between classes (keys) that, with all the others, give the components of the link graph."""
     parts = max(partitions(source.sparkSession), 1)
     alive = written(tally.returned(seen, _alive, ALIVE, parts), "alive")
-    classes = _classes(written(_live_sets(source, alive), "sets"), parts)
+    classes = _classes(_live_sets(source, alive), parts)
 
-    signed = classes.select("cls", "facts", "shingles", "kinds").mapInArrow(_sign, "sig long, cls long, facts long").select("sig", "facts", "cls")
+    signed = classes.select("cls", "facts", "sketch", "shingles", "kinds").mapInArrow(_sign, "sig long, cls long, facts long, sketch binary").select("sig", "facts", "cls", "sketch")
     found = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "facts", "cls").mapInArrow(_stars, "u long, v long, size long"), "stars")
     links = _tested(found.filter("size is null").select("u", "v").distinct(), classes)
     large = found.filter("size is not null").select(F.col("u").alias("sig"), F.ceil(F.col("size") / HELD).cast("int").alias("blocks"))
 
     labels = components(links).select(F.col("vertex").alias("cls"), F.col("component").alias("comp"))
-    named = classes.join(labels, "cls", "left").select("cls", "facts", "shingles", "kinds", F.coalesce("comp", "cls").alias("comp"))
-    again = named.mapInArrow(_sign, "sig long, cls long, facts long, comp long").withColumn("side", F.lit(0))
+    named = classes.join(labels, "cls", "left").select("cls", "facts", "sketch", "shingles", "kinds", F.coalesce("comp", "cls").alias("comp"))
+    again = named.mapInArrow(_sign, "sig long, cls long, facts long, sketch binary, comp long").withColumn("side", F.lit(0))
     if not large.isEmpty():
         # block p meets block q under a key of its own, whose last bit is the signature's
         own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -369,9 +380,9 @@ def linked_classes(source: DataFrame, seen: DataFrame) -> DataFrame:
         p, q = F.least("own", "other"), F.greatest("own", "other")
         key = F.xxhash64("sig", p, q).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("sig").bitwiseAND(F.lit(1)))
         side = F.when(p == q, 0).when(F.col("own") == p, 1).otherwise(2)
-        blocks = several.select(key.alias("sig"), "cls", "facts", "comp", side.alias("side"))
+        blocks = several.select(key.alias("sig"), "cls", "facts", "sketch", "comp", side.alias("side"))
         again = again.join(large, "sig", "left_anti").unionByName(blocks)
-    dealt = again.select("sig", "side", "comp", "cls", "facts").repartition(parts, "sig").sortWithinPartitions("sig", "comp", "cls")
+    dealt = again.select("sig", "side", "comp", "cls", "facts", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "comp", "cls")
     rest = dealt.mapInArrow(_across, "u long, v long, size long").select("u", "v").distinct()
     return written(links.unionByName(_tested(rest, classes)), "links")
 
@@ -390,7 +401,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = written(named.join(names, "component").select("cls", "component_id"), "names")
+    of = named.join(names, "component").select("cls", "component_id")
     out = full.join(of, "cls").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
