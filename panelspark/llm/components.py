@@ -27,18 +27,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """u, v (pairs of longs) -> vertex, component (the smallest vertex reachable); vertices without edges are not there."""
-    now = written(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
-    mark = _mark(now)
+    """u, v (pairs of longs) -> vertex, component (the smallest vertex reachable); vertices without edges are not there.
+
+    Rounds end when each vertex that is no centre has one edge. ``edges`` are read several times in the first round.
+    """
+    now = edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct()
     while True:
         now = written(_star(_star(now, large=True), large=False), "edges")
-        was, mark = mark, _mark(now)
-        if mark == was:
+        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("point"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("point"), F.lit(1).alias("centre")))
+        if roles.groupBy("x").agg(F.sum("point").alias("point"), F.max("centre").alias("centre")).filter((F.col("point") > 0) & (F.col("point") + F.col("centre") > 1)).isEmpty():
             break
     labels = now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return labels.unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

@@ -79,10 +79,10 @@ def build(df: DataFrame, keys: Keys, n_keys: int, least: int = 2) -> tuple[objec
     rows = (
         df.mapInArrow(local, "segment int, at binary")
         .repartition(parts, "segment").sortWithinPartitions("segment")
-        .mapInArrow(merge, "segment int, bitmap binary").toLocalIterator()
+        .mapInArrow(merge, "segment int, bitmap binary")
     )
     bitmap = np.zeros(bits // 8, np.uint8)
-    for row in rows:
+    for row in rows.collect():  # MAX_BITS in all
         start = row["segment"] * segment // 8
         bitmap[start : start + segment // 8] = np.frombuffer(row["bitmap"], np.uint8)
     return df.sparkSession.sparkContext.broadcast(bitmap), bits
