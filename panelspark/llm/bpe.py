@@ -10,6 +10,9 @@ join and then one more on either side, until the ids beyond the window agree wit
 (and the window's ids with those of the next larger window). If they do not agree within either part, the two parts are
 encoded again as one.
 
+Texts that stand several times in a run of rows, as a mix with repeats puts them, are encoded once there and count once
+for the filter.
+
 A null text counts as empty and has no ids. Documents keep their rows: repeated rows give repeated results, whatever
 their doc_id. An empty table gives an empty result. Only the two named columns are read.
 """
@@ -162,18 +165,29 @@ def raw_result(doc_id: pa.Array, ids: np.ndarray, at: np.ndarray, enc: Encoder)
     return pa.RecordBatch.from_arrays([doc_id, lists, enc.decode_arrow(ids, at)], schema=RESULT_ARROW)
 
 
+def _once(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct texts of a run of rows, and which of them each row has."""
+    coded = pc.fill_null(texts, "").dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _for_ids(made: pa.RecordBatch, doc_id: pa.Array) -> pa.RecordBatch:
+    """Result rows under these doc_ids, the first column."""
+    return pa.RecordBatch.from_arrays([doc_id, *made.columns[1:]], schema=made.schema)
+
+
 def round_trip(docs: DataFrame, tokenizer: str, finish: Finish = raw_result, schema: str = RESULT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Encodes and decodes every document. ``finish`` turns (doc_ids, flat ids, offsets, encoder) into result rows."""
+    """Encodes and decodes every document. ``finish`` turns (doc_ids, flat ids, offsets, encoder) into result rows, doc_id first."""
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _keyed(batch.column("text"))[2:]
+        return _keyed(batch.column("text").unique())[2:]
 
     bitmap, bits = repeats.build(source.select("text"), keys, max(1, 2 * size // MEAN))
 
-    def flagged(batch: pa.RecordBatch):
-        raw, ends, hi, lo = _keyed(batch.column("text"))
+    def flagged(texts: pa.Array):
+        raw, ends, hi, lo = _keyed(texts)
         maybe = repeats.maybe_repeated(bitmap.value, bits, hi, lo) if len(hi) else np.zeros(0, bool)
         n = np.array([len(e) for e in ends], np.int64)
         at = np.concatenate([[0], np.cumsum(n)])
@@ -184,32 +198,40 @@ def round_trip(docs: DataFrame, tokenizer: str, finish: Finish = raw_result, sch
         enc = encoder(tokenizer)
         for whole in batches:
             for batch in slices(whole):
-                shared = flagged(batch)[3]
-                own = batch.filter(pa.array(~shared))
-                if own.num_rows:
-                    yield finish(own.column("doc_id"), *enc.encode_arrow(own.column("text")), enc)
+                texts, of = _once(batch.column("text"))
+                shared = flagged(texts)[3]
+                own = np.flatnonzero(~shared)
+                if len(own):
+                    made = finish(pa.array(own), *enc.encode_arrow(texts.take(pa.array(own))), enc)
+                    at = np.full(len(texts), -1)
+                    at[own] = np.arange(len(own))
+                    rows = np.flatnonzero(~shared[of])
+                    yield _for_ids(made.take(pa.array(at[of[rows]])), batch.column("doc_id").take(pa.array(rows)))
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                ends, maybe, at, shared, hi, lo = flagged(batch)
+                texts, of = _once(batch.column("text"))
+                ends, maybe, at, shared, hi, lo = flagged(texts)
                 rows = np.flatnonzero(shared).tolist()
                 if not rows:
                     continue
-                own = batch.take(pa.array(rows))
                 signed = np.stack([hi, lo]).view(np.int64)
                 chunks = [
                     [{"no": k - at[r], "from_byte": ends[r][k - at[r] - 1] if k > at[r] else 0, "to_byte": ends[r][k - at[r]], "hi": signed[0, k], "lo": signed[1, k]} for k in range(at[r], at[r + 1]) if maybe[k]]
                     for r in rows
                 ]
                 kind = pa.list_(pa.struct([("no", pa.int32()), ("from_byte", pa.int32()), ("to_byte", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())]))
+                order = np.argsort(of, kind="stable")
+                begin = np.searchsorted(of[order], np.arange(len(texts) + 1))
+                doc_ids = batch.column("doc_id").take(pa.array(order)).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), own.column("text"), pa.array([ends[r] for r in rows], pa.list_(pa.int32())), pa.array(chunks, kind)],
-                    names=["doc_id", "text", "ends", "chunks"],
+                    [pa.array([doc_ids[begin[r] : begin[r + 1]] for r in rows], pa.list_(pa.int64())), texts.take(pa.array(rows)), pa.array([ends[r] for r in rows], pa.list_(pa.int32())), pa.array(chunks, kind)],
+                    names=["doc_ids", "text", "ends", "chunks"],
                 )
 
     pending = written(
-        source.mapInArrow(shared_only, "doc_id long, text string, ends array<int>, chunks array<struct<no:int,from_byte:int,to_byte:int,hi:long,lo:long>>")
+        source.mapInArrow(shared_only, "doc_ids array<long>, text string, ends array<int>, chunks array<struct<no:int,from_byte:int,to_byte:int,hi:long,lo:long>>")
         .withColumn("row", F.monotonically_increasing_id()),
         "pending",
     )
@@ -226,7 +248,7 @@ def round_trip(docs: DataFrame, tokenizer: str, finish: Finish = raw_result, sch
     # a chunk that only the filter took for repeated is encoded with its document
     once = written(pieces.filter("n > 1").drop("n").mapInArrow(encode_pieces, "hi long, lo long, ids binary"), "chunks")
     placed = places.drop("piece").join(once, ["hi", "lo"]).groupBy("row").agg(F.collect_list(F.struct("no", "ids")).alias("known"))
-    joined = pending.drop("chunks").join(placed, "row", "left").select("doc_id", "text", "ends", "known")
+    joined = pending.drop("chunks").join(placed, "row", "left").select("doc_ids", "text", "ends", "known")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -240,7 +262,9 @@ def round_trip(docs: DataFrame, tokenizer: str, finish: Finish = raw_result, sch
                 for text, ends, known in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("ends").to_pylist(), batch.column("known").to_pylist(), strict=True):
                     out.append(assemble(text, ends, {k["no"]: np.frombuffer(k["ids"], "<u4") for k in known or ()}, one))
                 at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int64)
-                yield finish(batch.column("doc_id"), np.concatenate(out) if out else np.zeros(0, "<u4"), at, enc)
+                made = finish(pa.array(np.arange(len(out))), np.concatenate(out) if out else np.zeros(0, "<u4"), at, enc)
+                doc_ids = batch.column("doc_ids")
+                yield _for_ids(made.take(doc_ids.value_parent_indices()), doc_ids.flatten())
 
     return source.mapInArrow(unshared, schema).unionByName(joined.mapInArrow(rebuild, schema))
 
