@@ -50,10 +50,11 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         "rid", "doc_id", "n_points", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
     again = probed.filter("maybe").drop("maybe")
-    best = F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"), (-F.col("rid")).alias("first"))
-    groups = written(again.groupBy("sha").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # the least of these stays; ~x falls where x grows, at every 64-bit integer
+    best = F.struct(F.bitwise_not("n_points").alias("long"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
+    groups = written(again.groupBy("sha").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = again.join(groups, "sha").select(
-        "rid", "doc_id", "n_points", "sha", (-F.col("best.low")).alias("keep_id"), "group_size", (F.col("rid") == -F.col("best.first")).alias("kept")
+        "rid", "doc_id", "n_points", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept")
     )
     return single.unionByName(shared)
 

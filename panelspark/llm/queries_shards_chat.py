@@ -39,11 +39,12 @@ select doc_id, cast(bytes as bigint) as bytes, case when depth = 0 then '' else
        cast(shard_bytes as bigint) as shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} as oversized
 from m where rn = 1""",
     "op5_chat_format": r"""
-with t as (select distinct conv_id, turn, role, text from conversations),
+with d as (select distinct conv_id, turn, role, text from conversations),
+t as (select *, case when conv_id is null then row_number() over (order by turn, role, text) else 0 end as alone from d),
 p as (
-  select conv_id, row_number() over w as k, count(*) over (partition by conv_id) as n,
+  select conv_id, alone, row_number() over w as k, count(*) over (partition by conv_id, alone) as n,
          string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '') over (w rows between unbounded preceding and current row) as chat
-  from t window w as (partition by conv_id order by turn nulls first, role, text)
+  from t window w as (partition by conv_id, alone order by turn nulls first, role, text)
 ), w as (
   select min(conv_id) as conv_id, n as n_turns, count(*) as n_copies, chat from p where k = n group by n, chat
 )

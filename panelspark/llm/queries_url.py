@@ -37,13 +37,13 @@ p{k} as (select o.gram,
          from o{k} o join c{k} c on left(o.gram, {k - 1}) = c.context join {shorter} s on {key} = s.short)""")
     return rf"""
 with t as (
-  select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as after from pages
+  select page_id, coalesce(url, '') as text, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as after from pages
 ), h as (
-  select page_id, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) as path from t
+  select page_id, text, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) as path from t
 ), j as (
   select *, case {rule} end as rule, case {verdict} end as verdict from h
 ), u as (
-  select host || path as text, count(*) filter (where verdict = 'allow') as allow, count(*) filter (where verdict = 'block') as block from j group by 1
+  select text, count(*) filter (where verdict = 'allow') as allow, count(*) filter (where verdict = 'block') as block from j group by 1
 ), a as (
   select text, allow, block, substr({begin} || text || {end}, i, {ORDER}) as gram
   from (select *, unnest(generate_series(1, length(text) + 1)) as i from u)
@@ -60,8 +60,8 @@ s as (
 ), l as (
   select (m_a * d_b + m_b * d_a) / (d_a + d_b) as threshold from d
 )
-select page_id, host, path, rule, coalesce(verdict, case when score < threshold then 'block' else 'allow' end) as verdict
-from j join s on s.text = j.host || j.path, l"""
+select j.page_id, host, path, rule, coalesce(verdict, case when score < threshold then 'block' else 'allow' end) as verdict
+from j join s on s.text = j.text, l"""
 
 
 SQL = {"op2_url_filter": _sql()}

@@ -4,8 +4,8 @@ A candidate is a run of token characters. For each class (hex digits, letters of
 alphabet) a window slides over the candidate's runs of that class's characters; its entropy follows from incremental
 counts, one character in and one out per step. A run shorter than the window is one window, and the threshold shrinks as
 the largest entropy of so many characters does. Windows at or above the threshold are joined to spans, over all classes.
-The allow list suppresses runs that look random but are no secrets: identifiers in UUID form, plain words, numbers, and
-placeholder text.
+The allow list suppresses runs that look random but are no secrets: identifiers in UUID form, plain words (letters whose
+case changes only where words begin), numbers, and placeholder text. In the patterns case is that of ASCII letters.
 
 Texts are scanned whole, and a null text counts as empty: it has no finding. Positions are code points, ends exclusive.
 Repeated rows are scanned each for itself; other columns are not read. An empty table gives an empty result.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed patterns and least lengths.
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
@@ -59,7 +59,7 @@ RUNS = tuple((c, c.runs) for c in CLASSES)
 #: What the allow list suppresses.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z_=/-]+|[0-9_=/+-]+"),
+    re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[_=/-])+|[0-9_=/+-]+"),
     re.compile(r".*(?i:example|sample|placeholder|xxxx|changeme).*"),
 )
 

@@ -1,13 +1,19 @@
 """Sharding by extendible hashing: a directory indexed by hash-prefix bits in which only oversized buckets split.
 
-Every row has a 32-bit hash of its key. The bytes of the finest prefixes are summed once; from there each level's sums
-follow from the next finer ones, so the rows themselves are read for one aggregation. A bucket is the shortest prefix
-whose rows fit the limit: a prefix splits on another bit exactly where its own rows do not fit.
+Every row has a 32-bit hash of its key. All rows begin in one bucket; a bucket that exceeds the limit splits on another
+bit, until each fits. Splitting goes in steps of ``STEP`` bits: a step sums the prefixes below buckets that are oversized
+so far, and of no others, and takes as buckets those that fit and whose parent does not. The sums come from one
+aggregation of the rows by their first ``FIRST`` bits, and of those under a prefix that does not fit even there by all.
+
+Rows find their bucket by the directory: the first bits of the hash, as many as the deepest bucket has, are its index,
+and a bucket of fewer bits stands at all entries that begin with them. The directory has two levels, of ``FIRST`` bits at
+most and of the rest below its oversized entries, so a deep bucket does not double all the others.
 
 Rows whose 32 bits are all equal cannot be parted; if they exceed the limit together, their bucket has depth 32 and is
 marked ``oversized``. The key is doc_id with the text's hash, so a repeated doc_id with other text may part; a null
-doc_id or text hashes as the empty string. An empty table has no buckets. Other columns are carried along by
-``write_shards`` and not looked at.
+doc_id or text hashes as the empty string. An empty table has no buckets, and writing it writes no shard. Other columns
+are carried along by ``write_shards`` and not looked at; if one of them is called ``shard``, the folders' column is the
+first of ``_shard``, ``__shard``, ... that is free.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from .shared import written
 DEPTH = 32
 #: Levels that one sum over the rows can tell apart at first; deeper ones are summed only below oversized buckets.
 FIRST = 20
+#: Bits that one step of splitting goes down.
+STEP = 4
 
 
 def key_hash(doc_id: Column, text: Column) -> Column:
@@ -28,67 +36,82 @@ def key_hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _levels(fine: DataFrame, top: int, bottom: int, limit: int) -> DataFrame:
-    """depth, prefix, bytes, rows of all prefixes of depth top to bottom that do not lie below one that fits."""
-    level, sums = fine, []
-    for depth in range(bottom, top - 1, -1):
-        if depth < bottom:
-            level = level.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
-        sums.append(level.select(F.lit(depth).alias("depth"), "prefix", "bytes", "n_rows"))
-        if depth in (16, 12, 8, 4):
-            level = written(level, f"level{depth}")
-            sums[-1] = level.select(F.lit(depth).alias("depth"), "prefix", "bytes", "n_rows")
-    out = sums[0]
-    for s in sums[1:]:
-        out = out.unionByName(s)
-    every = written(out, "levels")
-    parent = every.filter(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
-    inside = every.withColumn("up", F.shiftright("prefix", 1))
-    # a prefix counts if it is the top one or if the prefix one bit shorter is oversized
-    return inside.filter(F.col("depth") == top).drop("up").unionByName(inside.filter(F.col("depth") > top).join(parent, ["depth", "up"], "left_semi").drop("up"))
+def _split(sums: DataFrame, top: int, bottom: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """prefix, bytes, n_rows of depth ``bottom`` below oversized buckets of depth ``top`` -> the buckets found, and the sums still oversized at ``bottom``."""
+    leaves, depth, open_sums = None, top, sums
+    while depth <= bottom:
+        last = min(depth + STEP - 1, bottom)
+        each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("prefix", bottom - d).alias("at")) for d in range(depth, last + 1)]))
+        level = open_sums.withColumn("e", each).groupBy("e.depth", "e.at").agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
+        level = written(level, "level")
+        over = level.filter((F.col("bytes") > limit) & (F.col("depth") < DEPTH))
+        parent = over.select((F.col("depth") + 1).alias("depth"), F.col("at").alias("up"))
+        fits = level.filter((F.col("bytes") <= limit) | (F.col("depth") == DEPTH))
+        found = fits.filter(F.col("depth") == depth).unionByName(
+            fits.filter(F.col("depth") > depth).withColumn("up", F.shiftright("at", 1)).join(parent, ["depth", "up"], "left_semi").drop("up")
+        )
+        leaves = found if leaves is None else leaves.unionByName(found)
+        still = over.filter(F.col("depth") == last).select("at")
+        depth = last + 1
+        if still.isEmpty():
+            break
+        open_sums = open_sums.withColumn("at", F.shiftright("prefix", bottom - last)).join(still, "at", "left_semi").drop("at")
+    over = open_sums if depth > bottom and not still.isEmpty() else open_sums.limit(0)
+    return leaves.withColumnRenamed("at", "prefix"), over
 
 
 def buckets(hashed: DataFrame, limit: int) -> DataFrame:
-    """hash, bytes of every row -> the directory: depth, prefix, shard_bytes, shard_rows, oversized."""
-    spans = [(0, FIRST), (FIRST + 1, DEPTH)]
-    found, rows = None, hashed
-    for top, bottom in spans:
-        fine = rows.groupBy(F.shiftright("hash", DEPTH - bottom).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
-        level = written(_levels(fine, top, bottom, limit), "directory")
-        fits = (F.col("bytes") <= limit) | (F.col("depth") == DEPTH)
-        leaf = level.filter(fits).select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), (F.col("bytes") > limit).alias("oversized"))
-        found = leaf if found is None else found.unionByName(leaf)
-        over = level.filter((F.col("depth") == bottom) & (F.col("bytes") > limit) & (F.col("depth") < DEPTH)).select("prefix")
-        if bottom == DEPTH or over.isEmpty():
-            break
-        rows = rows.withColumn("prefix", F.shiftright("hash", DEPTH - bottom)).join(over, "prefix", "left_semi").select("hash", "bytes")
-    return written(found, "directory")
+    """hash, bytes of every row -> the buckets: depth, prefix, shard_bytes, shard_rows, oversized."""
+
+    def sums(rows: DataFrame, bits: int) -> DataFrame:
+        return written(rows.groupBy(F.shiftright("hash", DEPTH - bits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_rows")), "sums")
+
+    found, over = _split(sums(hashed, FIRST), 0, FIRST, limit)
+    over = written(over.select("prefix"), "oversized")
+    if not over.isEmpty():
+        below = hashed.withColumn("prefix", F.shiftright("hash", DEPTH - FIRST)).join(over, "prefix", "left_semi").select("hash", "bytes")
+        found = found.unionByName(_split(sums(below, DEPTH), FIRST + 1, DEPTH, limit)[0])
+    return written(found.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), (F.col("bytes") > limit).alias("oversized")), "directory")
+
+
+def _looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows, by their column ``__hash``, with all columns of their bucket as ``__bucket``."""
+    bucket = F.struct("depth", "prefix", "shard_bytes", "shard_rows", "oversized").alias("__bucket")
+    out = None
+    for level in (found.filter(F.col("depth") <= FIRST), found.filter(F.col("depth") > FIRST)):
+        bits = level.agg(F.max("depth")).first()[0]  # one number
+        if bits is None:
+            continue
+        spare = (F.lit(bits) - F.col("depth")).cast("int")
+        first = F.call_function("shiftleft", F.col("prefix"), spare)
+        last = F.call_function("shiftleft", F.col("prefix") + 1, spare) - 1
+        entries = level.select(F.explode(F.sequence(first, last)).alias("__entry"), bucket)
+        hit = rows.withColumn("__entry", F.shiftright("__hash", DEPTH - bits)).join(entries, "__entry").drop("__entry")
+        out = hit if out is None else out.unionByName(hit)
+    return rows.withColumn("__bucket", F.lit(None).cast("struct<depth:int,prefix:bigint,shard_bytes:bigint,shard_rows:bigint,oversized:boolean>")).limit(0) if out is None else out
+
+
+def _name() -> Column:
+    return F.expr("if(__bucket.depth = 0, '', substring(lpad(bin(__bucket.prefix), 32, '0'), 33 - __bucket.depth, __bucket.depth))")
 
 
 def assign(docs: DataFrame, limit: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, bytes, shard (the prefix as bits, depth of them), depth, shard_bytes, shard_rows, oversized of every row."""
     hashed = written(
-        docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes"), key_hash(docs[doc_id], docs[text]).alias("hash")),
+        docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes"), key_hash(docs[doc_id], docs[text]).alias("__hash")),
         "hashed",
     )
-    directory = buckets(hashed.select("hash", "bytes"), limit)
-    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # 33 at most
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("hash", DEPTH - d).alias("prefix")) for d in sorted(depths)])) if depths else F.explode(F.array().cast("array<struct<depth:int,prefix:bigint>>"))
-    # each row meets exactly one bucket among the depths in use
-    tried = hashed.withColumn("at", at).select("doc_id", "bytes", "at.depth", "at.prefix")
-    shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("substring(lpad(bin(prefix), 32, '0'), 33 - depth, depth)"))
-    return tried.join(directory, ["depth", "prefix"]).select("doc_id", "bytes", shard.alias("shard"), "depth", "shard_bytes", "shard_rows", "oversized")
+    placed = _looked_up(hashed, buckets(hashed.select(F.col("__hash").alias("hash"), "bytes"), limit))
+    return placed.select("doc_id", "bytes", _name().alias("shard"), "__bucket.depth", "__bucket.shard_bytes", "__bucket.shard_rows", "__bucket.oversized")
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Writes ``docs`` with a folder per shard, and returns the directory: depth, prefix, shard_bytes, shard_rows, oversized."""
+    """Writes ``docs`` with a folder per shard, and returns the buckets: depth, prefix, shard_bytes, shard_rows, oversized."""
     own = docs.withColumn("__hash", key_hash(docs[doc_id], docs[text]))
-    directory = buckets(own.select(F.col("__hash").alias("hash"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes")), limit)
-    depths = sorted(r["depth"] for r in directory.select("depth").distinct().collect())
-    shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("substring(lpad(bin(prefix), 32, '0'), 33 - depth, depth)"))
-    named = directory.select("depth", "prefix", F.concat(F.lit("s"), shard).alias("shard"))
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("__hash", DEPTH - d).alias("prefix")) for d in depths]))
-    tried = own.withColumn("__at", at)
-    hit = (tried["__at.depth"] == named["depth"]) & (tried["__at.prefix"] == named["prefix"])
-    tried.join(named, hit).select(*[tried[c] for c in docs.columns], "shard").repartition("shard").write.partitionBy("shard").parquet(path)
-    return directory
+    found = buckets(docs.select(key_hash(docs[doc_id], docs[text]).alias("hash"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes")), limit)
+    folder = "shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    placed = _looked_up(own, found).withColumn(folder, F.concat(F.lit("s"), _name())).select(*docs.columns, folder)
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
+    return found

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, written
 from .tokens import encoder, slices
 
-#: Documents are dealt so that a range holds about so many bytes of text.
+#: Documents are dealt so that a range holds about so many bytes of text, or more where that would make too many ranges.
 RANGE_BYTES = 16 << 20
+MOST_RANGES = 20_000
 NULL_ID = -(1 << 63)
 MANIFEST = "range_id int, folder string, n_docs long, n_tokens long"
 
@@ -44,9 +45,9 @@ def _renamed(store: fs.FileSystem, part: str, name: str) -> None:
 
 
 def _range_bounds(docs: DataFrame, doc_id: str, text: str) -> list[int]:
-    """Upper ends of the ranges but the last, from approximate quantiles of doc_id; a few numbers per gigabyte."""
+    """Upper ends of the ranges but the last, from approximate quantiles of doc_id: ``MOST_RANGES`` numbers at most."""
     seen = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    parts = max(1, round((seen["bytes"] or 0) / RANGE_BYTES))
+    parts = max(1, min(MOST_RANGES, round((seen["bytes"] or 0) / RANGE_BYTES)))
     if parts == 1:
         return []
     at = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
@@ -118,7 +119,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         .sortWithinPartitions("range_id", F.col("doc_id").asc_nulls_first(), "text")
     )
     made = written(dealt.mapInArrow(store, MANIFEST), "manifest")
-    # one row per range: the prefix sum is over a few numbers per gigabyte
+    # one row per range: the prefix sum is over MOST_RANGES numbers at most
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")).withColumn("dtype", F.lit(dtype))
 

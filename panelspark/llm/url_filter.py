@@ -7,9 +7,12 @@ estimate with Witten-Bell weights down to the uniform one, so every URL has a fi
 of the two log-likelihoods per character. Its threshold is calibrated on the URLs that rules decide: the point between
 the means of both classes that lies equally many standard deviations from either.
 
+The models are trained on, and score, whole URLs: scheme, host, path, query and fragment as they stand.
+
 Counts are made per distinct gram before they are joined, and every position of a URL needs one looked-up row: the
-score of the gram that ends there. A null URL or one without ``://`` has an empty host and path, fits no rule, and is
-scored as the empty string; with no allowed or no blocked training URL, there is nothing to compare and the verdict is
+score of the gram that ends there. Grams that stand at a thousandth of all positions or more, as those of ``https://``,
+are a thousand at most and are broadcast; all others are joined by their gram. A URL without ``://`` has an empty host
+and path and fits no rule, but is scored like others; a null one is scored as the empty string. With no allowed or no blocked training URL, there is nothing to compare and the verdict is
 ``allow``. Repeated rows get the same verdict. Only ``page_id`` and ``url`` are read.
 """
 
@@ -27,6 +30,8 @@ ORDER = 5
 #: Stands before the first character, and after the last one, of what the models read.
 BEGIN, END = "\x02", "\x03"
 UNIFORM = 1.0 / 256
+#: A gram is common if it stands at this part of all positions, so there are so many common ones at most.
+COMMON = 1000
 
 
 @dataclass(frozen=True)
@@ -62,10 +67,11 @@ def by_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict (by rules alone)."""
+    """page_id, text (the URL, null as empty), host, path, rule, verdict (by rules alone)."""
     host, path = host_and_path(pages["url"])
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
+    return own.select("page_id", "text", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 def grams(text: Column) -> Column:
@@ -104,14 +110,20 @@ def model(counts: DataFrame) -> DataFrame:
 def classify(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (null where a rule decides)."""
     rows = written(judged(pages, rules), "judged")
-    # URLs that are equal once their host and path are taken are scored once
-    urls = rows.groupBy(F.concat("host", "path").alias("text")).agg(
+    # a URL that repeats is scored once
+    urls = rows.groupBy("text").agg(
         F.count(F.when(F.col("verdict") == "allow", 1)).alias("allow"), F.count(F.when(F.col("verdict") == "block", 1)).alias("block"), F.count(F.when(F.col("verdict").isNull(), 1)).alias("open"),
     )
     urls = written(urls.withColumn("uid", F.monotonically_increasing_id()), "urls")
     at = urls.select("uid", "allow", "block", F.explode(grams(F.col("text"))).alias("gram"))
-    counts = written(at.groupBy("gram").agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block")), "grams")
-    scored = at.select("uid", "gram").join(model(counts), "gram").groupBy("uid").agg(F.avg("ratio").alias("score"))
+    counts = written(at.groupBy("gram").agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block"), F.count(F.lit(1)).alias("n_all")), "grams")
+    ratios = model(counts)
+    common = counts.crossJoin(F.broadcast(counts.agg(F.sum("n_all").alias("positions")))).filter(COMMON * F.col("n_all") >= F.col("positions")).select("gram")
+    common = written(ratios.join(common, "gram"), "common")
+    looked = at.select("uid", "gram").join(F.broadcast(common), "gram", "left")
+    rest = looked.filter("ratio is null").drop("ratio").join(ratios, "gram")
+    scored = looked.filter("ratio is not null").unionByName(rest).groupBy("uid").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n"))
+    scored = scored.select("uid", (F.col("total") / F.col("n")).alias("score"))
     scores = written(urls.join(scored, "uid").select("text", "allow", "block", "score"), "scores")
 
     def mean(c: str) -> Column:
@@ -125,6 +137,6 @@ def classify(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     # one row
     line = line.select(((F.col("m_a") * F.col("d_b") + F.col("m_b") * F.col("d_a")) / (F.col("d_a") + F.col("d_b"))).alias("threshold"))
     by_text = scores.crossJoin(F.broadcast(line)).select("text", "score", F.when(F.col("score") < F.col("threshold"), "block").otherwise("allow").alias("by_model"))
-    ruled = rows.filter("verdict is not null").withColumn("score", F.lit(None).cast("double"))
-    open_rows = rows.filter("verdict is null").drop("verdict").withColumn("text", F.concat("host", "path")).join(by_text, "text")
+    ruled = rows.filter("verdict is not null").drop("text").withColumn("score", F.lit(None).cast("double"))
+    open_rows = rows.filter("verdict is null").drop("verdict").join(by_text, "text")
     return ruled.unionByName(open_rows.select("page_id", "host", "path", "rule", F.col("by_model").alias("verdict"), "score"))
