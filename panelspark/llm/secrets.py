@@ -59,7 +59,7 @@ RUNS = tuple((c, c.runs) for c in CLASSES)
 #: What the allow list suppresses.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[_=/-])+|[0-9_=/+-]+"),
+    re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[_=/-])++|[0-9_=/+-]+"),  # possessive: no run is read twice
     re.compile(r".*(?i:example|sample|placeholder|xxxx|changeme).*"),
 )
 
