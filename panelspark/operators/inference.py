@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_tail, f_tail, normal_cdf, normal_ppf, t_two_sided
+from ..functions.distributions import chi2_tail, f_tail, normal_cdf, normal_ppf
 from ..functions.windows import adjusted_kurtosis, adjusted_skew
 from ..schemas import ratio
 
@@ -97,15 +97,15 @@ def spanning_regression(rows: DataFrame, factors: Sequence[str], lags: Sequence[
     return each.groupBy("series_id", "lag").applyInPandas(fit, "series_id string, lag int, term string, coef double, se double, t_stat double, r2 double, adj_r2 double, ann_alpha double, n long")
 
 
-def subsample_alpha(rows: DataFrame, cutoffs: Sequence[str], factor: str = "mktrf", periods: float = 12.0) -> DataFrame:
-    """cutoff, side, n, mean, alpha, beta, t of alpha (classical) before and from each cutoff; NULL below five rows."""
+def subsample_alpha(rows: DataFrame, cutoffs: Sequence[str], factor: str = "mktrf", key: str = "series_id") -> DataFrame:
+    """key, cutoff, side, n, mean, alpha, beta, t of alpha (classical) before and from each cutoff; NULL below five rows."""
     side = F.explode(F.array(*[F.struct(F.to_date(F.lit(c)).alias("cutoff"), F.when(F.col("date") < F.to_date(F.lit(c)), "pre").otherwise("post").alias("side")) for c in cutoffs]))
-    g = rows.withColumn("s", side).groupBy("s.cutoff", "s.side").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.covar_pop("ret", factor).alias("c"), F.var_pop(factor).alias("v"), F.var_pop("ret").alias("vy"), F.avg(factor).alias("mx"))
+    g = rows.withColumn("s", side).groupBy(key, "s.cutoff", "s.side").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.covar_pop("ret", factor).alias("c"), F.var_pop(factor).alias("v"), F.var_pop("ret").alias("vy"), F.avg(factor).alias("mx"))
     g = g.withColumn("beta", ratio(F.col("c"), F.col("v"))).withColumn("alpha", F.col("mean") - F.col("beta") * F.col("mx"))
     s2 = F.greatest(F.col("n") * (F.col("vy") - F.col("beta") * F.col("c")), F.lit(0.0)) / F.when(F.col("n") > 2, F.col("n") - 2)
     g = g.withColumn("se", F.sqrt(s2 * (1 / F.col("n") + ratio(F.col("mx") * F.col("mx"), F.col("n") * F.col("v")))))
     ok = F.col("n") >= 5
-    return g.select("cutoff", "side", "n", "mean", *[F.when(ok, x).alias(c) for c, x in (("alpha", F.col("alpha")), ("beta", F.col("beta")), ("t_alpha", ratio(F.col("alpha"), F.col("se"))))])
+    return g.select(key, "cutoff", "side", "n", "mean", *[F.when(ok, x).alias(c) for c, x in (("alpha", F.col("alpha")), ("beta", F.col("beta")), ("t_alpha", ratio(F.col("alpha"), F.col("se"))))])
 
 
 def block_replicates(s: DataFrame, block: int, replicates: int, seed: int = 1, key: str = "series_id") -> DataFrame:
@@ -165,23 +165,27 @@ def synthetic_trials(stats: DataFrame, n: int) -> DataFrame:
     return grid.withColumn("sharpe", F.col("mean") + F.col("sd") * (F.col("z") - F.avg("z").over(w)) / F.stddev_samp("z").over(w)).select("family", "i", "sharpe")
 
 
-#: P-value coefficients (t0, t1, eta) by number of parameters and trimming.
+#: P-value coefficients t0, t1, eta by number of parameters (rows) and trimming (columns).
+HANSEN_TRIMS = (0.01, 0.05, 0.15, 0.25, 0.35)
 HANSEN = {
-    (1, 0.15): (-0.99, 1.02, 3.0),
-    (2, 0.15): (-1.65, 1.06, 4.7),
-    (3, 0.15): (-2.05, 1.13, 6.8),
-    (4, 0.15): (-2.52, 1.11, 8.0),
-    (5, 0.15): (-3.46, 1.07, 8.3),
-    (6, 0.15): (-4.05, 1.08, 9.5),
-    (7, 0.15): (-4.42, 1.10, 11.0),
+    1: ((-1.79, 1.17, 4.5), (-1.39, 1.07, 3.6), (-0.99, 1.02, 3.0), (-0.73, 0.98, 2.5), (-0.50, 0.96, 2.1)),
+    2: ((-3.06, 1.18, 6.1), (-2.38, 1.11, 5.4), (-1.65, 1.06, 4.7), (-1.16, 1.02, 4.1), (-0.78, 0.97, 3.5)),
+    3: ((-4.09, 1.21, 7.8), (-3.31, 1.10, 6.5), (-2.05, 1.13, 6.8), (-1.61, 1.03, 5.5), (-1.06, 1.01, 4.9)),
+    4: ((-5.33, 1.21, 8.9), (-4.08, 1.14, 8.2), (-2.52, 1.11, 8.0), (-1.91, 1.04, 7.0), (-1.45, 0.97, 5.7)),
+    5: ((-6.39, 1.18, 9.4), (-4.84, 1.15, 9.3), (-3.46, 1.07, 8.3), (-2.63, 1.02, 7.5), (-1.82, 1.00, 7.0)),
+    6: ((-7.08, 1.26, 11.8), (-5.37, 1.19, 11.2), (-4.05, 1.08, 9.5), (-2.94, 1.05, 9.0), (-1.79, 1.03, 8.6)),
+    7: ((-8.49, 1.17, 11.1), (-6.21, 1.21, 12.6), (-4.42, 1.10, 11.0), (-3.23, 1.05, 10.1), (-2.21, 1.01, 9.3)),
+    8: ((-9.20, 1.17, 12.2), (-7.24, 1.13, 11.9), (-5.36, 1.08, 11.3), (-3.65, 1.06, 11.4), (-1.69, 1.10, 12.2)),
+    9: ((-10.22, 1.14, 12.3), (-8.07, 1.11, 12.4), (-5.43, 1.10, 13.1), (-4.38, 1.01, 11.3), (-2.83, 1.00, 11.1)),
+    10: ((-11.01, 1.14, 13.3), (-8.84, 1.11, 13.2), (-6.47, 1.06, 12.8), (-4.97, 1.01, 12.0), (-2.92, 1.05, 13.0)),
 }
 
 
 def hansen_pvalue(f: Column, m: int = 1, trim: float = 0.15) -> Column:
     """Approximate p-value of a sup F statistic; ValueError for what is not tabulated."""
-    if (m, trim) not in HANSEN:
+    if m not in HANSEN or trim not in HANSEN_TRIMS:
         raise ValueError(f"not tabulated: m={m}, trimming={trim}")
-    t0, t1, eta = HANSEN[(m, trim)]
+    t0, t1, eta = HANSEN[m][HANSEN_TRIMS.index(trim)]
     x = t0 + t1 * f
     return F.when(x <= 0, F.lit(1.0)).otherwise(chi2_tail(x, F.lit(eta)))
 
@@ -211,7 +215,3 @@ def normal_two_sided(z: Column) -> Column:
 def trial_moments(s: DataFrame) -> DataFrame:
     r = F.col("ret")
     return s.groupBy("series_id").agg(F.count(r).alias("n"), ratio(F.avg(r), F.stddev_samp(r)).alias("sr"), adjusted_skew(r).alias("skew"), (adjusted_kurtosis(r) + 3).alias("kurt"))
-
-
-def mean_p(t: Column, n: Column) -> Column:
-    return t_two_sided(t, (n - 1).cast("double"))

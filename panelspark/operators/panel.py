@@ -12,10 +12,13 @@ from ..schemas import ratio, require_columns
 
 
 def trailing_adv(prices: DataFrame, dates: DataFrame, days: int = 40) -> DataFrame:
-    """date, permno, adv: mean dollar volume over the calendar days up to each date. ``dates`` is a calendar."""
+    """date, permno, adv: mean dollar volume over the calendar days up to each date.
+
+    ``dates`` is a calendar, a few rows a month; its days are listed, so prices meet them by equality.
+    """
     dollars = F.abs(F.col("prc")) * F.col("vol")
-    c = F.broadcast(dates.select(F.col("date").alias("as_of")))
-    near = prices.join(c, (F.col("date") <= F.col("as_of")) & (F.col("date") > F.date_sub("as_of", days)))
+    each = F.explode(F.sequence(F.date_sub("date", days - 1), F.col("date"))).alias("date")
+    near = prices.join(F.broadcast(dates.select(F.col("date").alias("as_of"), each)), "date")
     return near.groupBy(F.col("as_of").alias("date"), "permno").agg(F.avg(dollars).alias("adv"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,28 @@ from ..schemas import ratio, require_columns
 from .asof import asof_by_key
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("permno").orderBy("date")))
+
+
 def forward_returns(returns: DataFrame, dates: DataFrame, n: int = 21, max_days: float | None = None) -> DataFrame:
     """rebalance_date, permno, fwd_return, n_days: the first n rows strictly after each date, compounded.
 
     The n-row product is a window over each security's rows, and an as-of join forward picks the first row after the
-    date, so no row is repeated per holding period. With ``max_days`` rows later than that many calendar days are left out.
+    date, so no row is repeated per holding period. With ``max_days`` rows later than that many calendar days a row are
+    left out: the as-of join then gives the first row's number, and the n rows are joined by number.
     """
     rows = require_columns(returns, "permno", "date", "ret").filter(F.col("ret").isNotNull())
-    w = Window.partitionBy("permno").orderBy("date").rowsBetween(0, n - 1)
-    ahead = rows.select(
-        "permno", "date", F.sum(F.log1p("ret")).over(w).alias("log_return"), F.count(F.lit(1)).over(w).alias("n_days"),
-        F.collect_list(F.struct("date", F.log1p("ret").alias("g"))).over(w).alias("path") if max_days else F.lit(None).cast("int").alias("path"),
-    )
     grid = rows.select("permno").distinct().crossJoin(F.broadcast(dates.select(F.col("date").alias("rebalance_date"))))
-    got = asof_by_key(grid, ahead, ["permno"], "rebalance_date", "date", ["log_return", "n_days", "path"], forward=True).filter(F.col("n_days").isNotNull())
     if max_days:
-        near = F.filter("path", lambda p: F.datediff(p["date"], F.col("rebalance_date")) <= int(max_days * n))
-        got = got.withColumn("n_days", F.size(near).cast("long")).withColumn("log_return", F.aggregate(near, F.lit(0.0), lambda acc, p: acc + p["g"])).filter("n_days > 0")
+        own = _numbered(rows.select("permno", "date", F.log1p("ret").alias("g")))
+        first = asof_by_key(grid, own, ["permno"], "rebalance_date", "date", ["k"], forward=True).filter("k is not null")
+        held = first.select("permno", "rebalance_date", F.explode(F.sequence(F.col("k"), F.col("k") + n - 1)).alias("k")).join(own, ["permno", "k"])
+        got = held.filter(F.datediff("date", "rebalance_date") <= int(max_days * n)).groupBy("rebalance_date", "permno").agg(F.sum("g").alias("log_return"), F.count(F.lit(1)).alias("n_days"))
+    else:
+        w = Window.partitionBy("permno").orderBy("date").rowsBetween(0, n - 1)
+        ahead = rows.select("permno", "date", F.sum(F.log1p("ret")).over(w).alias("log_return"), F.count(F.lit(1)).over(w).alias("n_days"))
+        got = asof_by_key(grid, ahead, ["permno"], "rebalance_date", "date", ["log_return", "n_days"], forward=True).filter(F.col("n_days").isNotNull())
     return got.select("rebalance_date", "permno", F.expm1("log_return").alias("fwd_return"), "n_days")
 
 
@@ -74,16 +81,38 @@ def complete_dates(returns: DataFrame) -> DataFrame:
     return rows.join(full, "date", "left_semi")
 
 
-def centred_pairs(rows: DataFrame) -> DataFrame:
-    """date, i, j, xi, xj of centred returns with i <= j."""
+#: Securities whose vectors one task multiplies with those of as many others.
+BLOCK = 256
+
+
+def centred_products(rows: DataFrame) -> DataFrame:
+    """i, j (i <= j), s, m4, t: mean of the products of centred returns, of their squares, and dates.
+
+    Each security is one vector over the dates; a task multiplies two blocks of vectors. The result has a row for each
+    pair, but no row is made for a pair and a date.
+    """
     x = rows.select("date", "permno", (F.col("ret") - F.avg("ret").over(Window.partitionBy("permno"))).alias("x"))
-    a, b = x.select("date", F.col("permno").alias("i"), F.col("x").alias("xi")), x.select("date", F.col("permno").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, "date").filter(F.col("i") <= F.col("j"))
+    own = x.groupBy("permno").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "x"))), lambda v: v["x"]).alias("x"))
+    blocks = max(1, -(-rows.select("permno").distinct().count() // BLOCK))
+    own = own.withColumn("own", F.pmod(F.xxhash64("permno"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = own.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "permno", "x")
+
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["own"] == k] for k in key)
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in ("i", "j", "s", "m4", "t")})
+        a, b = np.stack(left["x"]), np.stack(right["x"])
+        t = a.shape[1]
+        i, j = np.meshgrid(left["permno"].to_numpy(), right["permno"].to_numpy(), indexing="ij")
+        keep = i <= j if key[0] == key[1] else np.ones(i.shape, bool)
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "s": (a @ b.T / t)[keep], "m4": ((a * a) @ (b * b).T / t)[keep], "t": t})
+
+    return own.groupBy("p", "q").applyInPandas(multiply, "i long, j long, s double, m4 double, t long")
 
 
 def covariance(rows: DataFrame) -> DataFrame:
     """permno_i, permno_j (i <= j), cov: maximum-likelihood covariance of complete rows."""
-    return centred_pairs(rows).groupBy(F.col("i").alias("permno_i"), F.col("j").alias("permno_j")).agg(F.avg(F.col("xi") * F.col("xj")).alias("cov"))
+    return centred_products(rows).select(F.col("i").alias("permno_i"), F.col("j").alias("permno_j"), F.col("s").alias("cov"))
 
 
 def shrunk_covariance(rows: DataFrame, periods: float = 12.0) -> DataFrame:
@@ -92,7 +121,7 @@ def shrunk_covariance(rows: DataFrame, periods: float = 12.0) -> DataFrame:
     ``pi`` is the summed variance of the sample entries, ``gamma`` the squared distance to the target; off-diagonal
     entries count twice. The covariance of sample and target is left out.
     """
-    s = centred_pairs(rows).groupBy("i", "j").agg(F.avg(F.col("xi") * F.col("xj")).alias("s"), F.avg(F.pow(F.col("xi") * F.col("xj"), 2)).alias("m4"), F.count(F.lit(1)).alias("t"))
+    s = centred_products(rows)
     var = s.filter("i = j").select(F.col("i").alias("k"), F.col("s").alias("v"))
     s = s.join(var.select(F.col("k").alias("i"), F.col("v").alias("vi")), "i").join(var.select(F.col("k").alias("j"), F.col("v").alias("vj")), "j")
     sd = F.sqrt(F.col("vi") * F.col("vj"))
@@ -133,12 +162,16 @@ def exposures(weights: DataFrame, keys: Sequence[str] = ("date",), tolerance: fl
 
 
 def zero_volume_share(prices: DataFrame, dates: DataFrame, n: int = 60) -> DataFrame:
-    """date, permno, zero_share, longest_run over the last n rows: rows without volume, and the longest run of unmoved returns."""
-    w = trailing(n)
+    """date, permno, zero_share, longest_run over the last n rows: rows without volume, and the longest run of unmoved returns.
+
+    The as-of join gives each date the number of its last row; only then are the n rows up to it joined by number.
+    """
     idle = F.when(F.coalesce("vol", F.lit(0.0)) == 0, 1.0).otherwise(0.0)
     flat = F.when(F.coalesce("ret", F.lit(0.0)) == 0, 1).otherwise(0)
-    run = F.aggregate(F.col("flats"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), lambda a, f: F.struct(F.when(f == 1, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["top"], F.when(f == 1, a["now"] + 1).otherwise(0)).alias("top")))
-    rows = prices.select("permno", "date", F.avg(idle).over(w).alias("zero_share"), F.collect_list(flat).over(w).alias("flats"), F.count(F.lit(1)).over(w).alias("n_rows"))
+    run = F.aggregate(F.col("flats"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), lambda a, f: F.struct(F.when(f["flat"] == 1, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["top"], F.when(f["flat"] == 1, a["now"] + 1).otherwise(0)).alias("top")))
+    own = _numbered(prices.select("permno", "date", idle.alias("idle"), flat.alias("flat")))
     grid = prices.select("permno").distinct().crossJoin(F.broadcast(dates.select(F.col("date").alias("as_of"))))
-    got = asof_by_key(grid, rows, ["permno"], "as_of", "date", ["zero_share", "flats", "n_rows"]).filter(F.col("n_rows").isNotNull())
+    last = asof_by_key(grid, own, ["permno"], "as_of", "date", ["k"]).filter("k is not null")
+    near = last.select("permno", "as_of", F.explode(F.sequence(F.greatest(F.col("k") - n + 1, F.lit(1)), F.col("k"))).alias("k")).join(own, ["permno", "k"])
+    got = near.groupBy("as_of", "permno").agg(F.avg("idle").alias("zero_share"), F.array_sort(F.collect_list(F.struct("k", "flat"))).alias("flats"), F.count(F.lit(1)).alias("n_rows"))
     return got.select(F.col("as_of").alias("date"), "permno", "zero_share", run["top"].alias("longest_run"), "n_rows")

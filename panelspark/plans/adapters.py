@@ -42,7 +42,7 @@ def factors_daily(spark: SparkSession, d: str) -> DataFrame:
         return F.round(F.coalesce(F.avg(F.when(cond, x)) - F.avg(F.when(~cond, x)), F.lit(0.0)), 8)
 
     return t.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.round(F.avg(x) - 0.05, 8).alias("mktrf"), gap(F.col("l_quantity") < 25).alias("smb"), gap(F.col("l_tax") < 0.04).alias("hml"), F.lit(0.0).alias("rf")
+        F.round(F.avg(x) - 0.05, 8).alias("mktrf"), gap(F.col("l_quantity") < 25).alias("smb"), gap(F.col("l_tax") < 0.04).alias("hml"), F.round(F.avg("l_tax") / 252, 8).alias("rf")
     )
 
 
@@ -76,8 +76,8 @@ def fundamentals(spark: SparkSession, d: str) -> DataFrame:
 def names(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     half = F.explode(F.array(
-        F.struct(F.lit(1).alias("half"), F.to_date(F.lit("1992-01-01")).alias("namedt"), F.to_date(F.lit("1994-12-31")).alias("nameenddt")),
-        F.struct(F.lit(2).alias("half"), F.to_date(F.lit("1995-01-01")).alias("namedt"), F.to_date(F.lit("1999-12-31")).alias("nameenddt")),
+        F.struct(F.lit(1).alias("half"), F.to_date(F.lit("1995-01-01")).alias("namedt"), F.to_date(F.lit("1998-03-31")).alias("nameenddt")),
+        F.struct(F.lit(2).alias("half"), F.to_date(F.lit("1998-04-01")).alias("namedt"), F.to_date(F.lit("2001-12-31")).alias("nameenddt")),
     )).alias("h")
     return s.select("*", half).select(
         F.col("s_suppkey").alias("permno"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"),
@@ -93,7 +93,7 @@ def month_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
-    """date, permno: the half of the securities with the largest sums of trades in the month."""
+    """date, permno: the four fifths of the securities with the largest sums of trades in the month."""
     m = returns_monthly(spark, d).select(F.trunc("date", "MM").alias("m"), "permno", "marketcap")
     c = month_ends(spark, d).select("date", F.trunc("date", "MM").alias("m"))
     from pyspark.sql import Window
@@ -132,7 +132,7 @@ SQL = {
        from lineitem group by 1, 2""",
     "factors_daily": """select cast(l_shipdate as date) as date, round(avg(l_discount) - 0.05, 8) as mktrf,
        round(coalesce(avg(l_discount) filter (where l_quantity < 25) - avg(l_discount) filter (where not l_quantity < 25), 0), 8) as smb,
-       round(coalesce(avg(l_discount) filter (where l_tax < 0.04) - avg(l_discount) filter (where not l_tax < 0.04), 0), 8) as hml, 0.0::double as rf from lineitem group by 1""",
+       round(coalesce(avg(l_discount) filter (where l_tax < 0.04) - avg(l_discount) filter (where not l_tax < 0.04), 0), 8) as hml, round(avg(l_tax) / 252, 8) as rf from lineitem group by 1""",
     "fundamentals": """select q.permno, 'G' || lpad(cast(q.permno as varchar), 6, '0') as gvkey, cast(datadate + 45 as date) as rdq, datadate, cast(year(q) as int) as fyearq, cast(quarter(q) as int) as fqtr,
        round((revtq - cogsq) / 1e6, 12) as epspxq, 1.0::double as ajexq, revtq, cogsq, atq, cast(n_regionkey as varchar) as gsector, cast(n_nationkey as varchar) as ggroup
        from (select *, last_day(cast(q + interval 2 month as date)) as datadate from (
@@ -141,7 +141,7 @@ SQL = {
        join supplier on s_suppkey = q.permno join nation on s_nationkey = n_nationkey""",
     "names": """select s_suppkey as permno, 'T' || s_suppkey as ticker, lpad(cast(s_suppkey as varchar), 8, '0') || half as ncusip, cast(10 + s_suppkey % 3 as int) as shrcd,
        cast(s_nationkey % 3 + 1 as int) as exchcd, cast(100 + s_suppkey * 37 % 9000 as int) as siccd, namedt, nameenddt
-       from supplier, (values (1, date '1992-01-01', date '1994-12-31'), (2, date '1995-01-01', date '1999-12-31')) h(half, namedt, nameenddt)""",
+       from supplier, (values (1, date '1995-01-01', date '1998-03-31'), (2, date '1998-04-01', date '2001-12-31')) h(half, namedt, nameenddt)""",
     "month_ends": """select cast(m - cast(greatest(0, isodow(m) - 5) as int) as date) as date from (
        select last_day(cast(unnest(generate_series(date_trunc('month', min(l_shipdate)), max(l_shipdate), interval 1 month)) as date)) as m from lineitem)""",
     "universe": """select date, permno from (

@@ -91,13 +91,12 @@ def q_checkpoint(spark, d):
     return io.load_partitioned(spark, io.save_partitioned(a.universe(spark, d).withColumnRenamed("date", "rebalance_date"), scratch(spark, "weights"), "rebalance_date")).select(F.col("rebalance_date").cast("date").alias("rebalance_date"), "permno")
 
 
-@query("src_dated_files", "select permno, date, date as file_date from universe where year(date) = 1997", "universe")
+@query("src_dated_files", "select permno, date, date as file_date from universe", "universe")
 def q_dated(spark, d):
     root = scratch(spark, "dated")
-    u = a.universe(spark, d).filter(F.year("date") == 1997)
-    u.withColumn("day", F.concat(F.col("date").cast("string"), F.lit(".parquet"))).repartition(1, "day").write.partitionBy("day").parquet(root)
-    got = spark.read.option("recursiveFileLookup", "true").parquet(root).withColumn("f", F.regexp_extract(F.input_file_name(), "day=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1))
-    return got.select("permno", "date", F.to_date("f").alias("file_date"))
+    u = a.universe(spark, d)
+    u.withColumn("day", F.col("date").cast("string")).repartition("day").write.partitionBy("day").parquet(root)
+    return io.read_dated(spark, root).select("permno", "date", "file_date")
 
 
 # panels ---------------------------------------------------------------------------------------------------------------
@@ -213,17 +212,17 @@ def q_pit(spark, d):
     return f.join(links(spark, d).filter("gvkey is not null"), "gvkey").select("permno", "gvkey", "rdq", "datadate", "revtq", "atq", "gsector")
 
 
-@query("factor_window", "select date, mktrf, smb, hml, rf from factors_daily where date between date '1994-01-01' and date '1994-12-31'", "factors_daily")
+@query("factor_window", "select date, mktrf, smb, hml, rf from factors_daily where date between date '1996-01-01' and date '1997-12-31'", "factors_daily")
 def q_fwindow(spark, d):
-    return a.factors_daily(spark, d).filter(F.col("date").between(F.to_date(F.lit("1994-01-01")), F.to_date(F.lit("1994-12-31")))).select("date", "mktrf", "smb", "hml", "rf")
+    return a.factors_daily(spark, d).filter(F.col("date").between(F.to_date(F.lit("1996-01-01")), F.to_date(F.lit("1997-12-31")))).select("date", "mktrf", "smb", "hml", "rf")
 
 
-@query("excess_returns", "select r.permno, r.date, round(r.ret - f.mktrf, 9) + 0.0::double as excess from returns_daily r join factors_daily f using (date)", "returns_daily", "factors_daily")
+@query("excess_returns", "select r.permno, r.date, round(r.ret - f.rf, 9) + 0.0::double as excess from returns_daily r join factors_daily f using (date)", "returns_daily", "factors_daily")
 def q_excess(spark, d):
-    return R(a.returns_daily(spark, d).join(a.factors_daily(spark, d), "date").select("permno", "date", (F.col("ret") - F.col("mktrf")).alias("excess")), digits=9)
+    return R(a.returns_daily(spark, d).join(a.factors_daily(spark, d), "date").select("permno", "date", (F.col("ret") - F.col("rf")).alias("excess")), digits=9)
 
 
-@query("cik_merge", """with a as (select o_custkey as key, max(o_orderkey) as id from orders group by 1), b as (select c_custkey as key, case when c_custkey % 3 = 0 then c_custkey else coalesce((select max(o_orderkey) from orders where o_custkey = c_custkey), c_custkey) end as id from customer where c_custkey % 5 > 0),
+@query("cik_merge", """with a as (select o_custkey as key, max(o_orderkey) as id from orders group by 1), b as (select case when c_custkey % 5 = 0 then -c_custkey else c_custkey end as key, case when c_custkey % 3 = 0 then c_custkey else coalesce((select max(o_orderkey) from orders where o_custkey = c_custkey), c_custkey) end as id from customer),
 n as (select o_orderkey as id, cast(count(*) as bigint) as n from orders join lineitem on l_orderkey = o_orderkey group by 1)
 select coalesce(a.key, b.key) as key, case when a.id is null then 'b_only' when b.id is null then 'a_only' when a.id = b.id then 'agree' else 'disagree' end as status,
 case when a.id is null then b.id when b.id is null then a.id when a.id = b.id then a.id when coalesce(na.n, 0) > coalesce(nb.n, 0) then a.id else b.id end as id
@@ -231,8 +230,8 @@ from a full join b on a.key = b.key left join n na on na.id = a.id left join n n
 def q_cik(spark, d):
     o, c, li = a.table(spark, d, "orders"), a.table(spark, d, "customer"), a.table(spark, d, "lineitem")
     left = o.groupBy(F.col("o_custkey").alias("key")).agg(F.format_string("000%d.0", F.max("o_orderkey")).alias("raw")).select("key", panel.normal_id(F.col("raw")).alias("id"))
-    right = c.filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("key")).join(left.withColumnRenamed("id", "o"), "key", "left")
-    right = right.select("key", F.when(F.col("key") % 3 == 0, F.col("key")).otherwise(F.coalesce("o", "key")).alias("id"))
+    right = c.select(F.col("c_custkey").alias("key")).join(left.withColumnRenamed("id", "o"), "key", "left")
+    right = right.select(F.when(F.col("key") % 5 == 0, -F.col("key")).otherwise(F.col("key")).alias("key"), F.when(F.col("key") % 3 == 0, F.col("key")).otherwise(F.coalesce("o", "key")).alias("id"))
     n = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return panel.merge_ids(left, right, n).select("key", "status", "id")
 
@@ -256,10 +255,10 @@ def q_codes(spark, d):
     return a.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.countDistinct("l_suppkey").alias("n_names"))
 
 
-@query("outer_multiway", "select coalesce(m.permno, f.permno) as permno, coalesce(m.m, f.m) as month, m.ret, round(f.rev, 5) as rev from (select permno, date_trunc('month', date) as m, ret from returns_monthly where permno % 3 > 0) m full join (select permno, date_trunc('month', rdq) as m, revtq as rev from fundamentals where permno % 4 > 0) f on f.permno = m.permno and f.m = m.m", "returns_monthly", "fundamentals")
+@query("outer_multiway", "select coalesce(m.permno, f.permno) as permno, coalesce(m.m, f.m) as month, m.ret, round(f.rev, 5) as rev from (select permno, date_trunc('month', date) as m, ret from returns_monthly) m full join (select permno, date_trunc('month', rdq) as m, revtq as rev from fundamentals) f on f.permno = m.permno and f.m = m.m", "returns_monthly", "fundamentals")
 def q_outer(spark, d):
-    m = a.returns_monthly(spark, d).filter("permno % 3 > 0").select("permno", F.trunc("date", "MM").alias("month"), "ret", F.lit(None).cast("double").alias("rev"))
-    f = a.fundamentals(spark, d).filter("permno % 4 > 0").select("permno", F.trunc("rdq", "MM").alias("month"), F.lit(None).cast("double").alias("ret"), F.col("revtq").alias("rev"))
+    m = a.returns_monthly(spark, d).select("permno", F.trunc("date", "MM").alias("month"), "ret", F.lit(None).cast("double").alias("rev"))
+    f = a.fundamentals(spark, d).select("permno", F.trunc("rdq", "MM").alias("month"), F.lit(None).cast("double").alias("ret"), F.col("revtq").alias("rev"))
     return m.unionByName(f).groupBy("permno", "month").agg(F.max("ret").alias("ret"), F.round(F.max("rev"), 5).alias("rev"))
 
 
@@ -287,7 +286,20 @@ def q_gp(spark, d):
     return R(signals.gross_profitability(a.fundamentals(spark, d)), digits=7)
 
 
-@query("sig_ivol")
+def ols3_sql(source: str, n: int) -> str:
+    """Rolling three-factor regression over rows (permno, date, y, x1, x2, x3), as moments of a frame and Cramer's rule."""
+    moments = ", ".join(f"covar_pop({p}, {q}) over w as {p}{q}" for p, q in (("y", "y"), ("y", "x1"), ("y", "x2"), ("y", "x3"), ("x1", "x1"), ("x1", "x2"), ("x1", "x3"), ("x2", "x2"), ("x2", "x3"), ("x3", "x3")))
+    minors = "x2x2 * x3x3 - x2x3 * x2x3 as c11, x1x3 * x2x3 - x1x2 * x3x3 as c12, x1x2 * x2x3 - x1x3 * x2x2 as c13, x1x1 * x3x3 - x1x3 * x1x3 as c22, x1x2 * x1x3 - x1x1 * x2x3 as c23, x1x1 * x2x2 - x1x2 * x1x2 as c33"
+    return f"""om as (select *, row_number() over (partition by permno order by date) as n_obs, {moments} from {source} window w as (partition by permno order by date rows between {n - 1} preceding and current row)),
+oc as (select *, {minors} from om where n_obs >= {n}), od as (select *, x1x1 * c11 + x1x2 * c12 + x1x3 * c13 as det from oc),
+ob as (select *, (c11 * yx1 + c12 * yx2 + c13 * yx3) / nullif(det, 0) as b1, (c12 * yx1 + c22 * yx2 + c23 * yx3) / nullif(det, 0) as b2, (c13 * yx1 + c23 * yx2 + c33 * yx3) / nullif(det, 0) as b3 from od),
+ols as (select *, sqrt(greatest(yy - b1 * yx1 - b2 * yx2 - b3 * yx3, 0) * {n} / {n - 1}) as residual_std from ob)"""
+
+
+EXCESS = "ex as (select r.permno, r.date, r.ret - f.rf as y, f.mktrf as x1, f.smb as x2, f.hml as x3 from returns_daily r join factors_daily f using (date))"
+
+
+@query("sig_ivol", f"with {EXCESS}, {ols3_sql('ex', 60)} select permno, date as date_filed, {', '.join(f'round({c}, 6) + 0.0::double as {c}' for c in ('b1', 'b2', 'b3', 'residual_std'))}, round(residual_std * sqrt(252), 6) as raw_signal from ols", "returns_daily", "factors_daily")
 def q_ivol(spark, d):
     return R(nan_to_null(signals.idiosyncratic_volatility(a.returns_daily(spark, d), a.factors_daily(spark, d))))
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_cdf
-from ..operators import costs, inference, portfolio, series, signals
+from ..operators import costs, inference, portfolio, regression, series, signals
 from ..operators.asof import asof_by_key
 from ..schemas import r6 as R, ratio
 from . import adapters as a
-from .q_core import BETA, IC, PANELS, REAL, WEIGHTS, WPANELS, aligned, beta_panel, period_ic, weighted
-from .q_panel import RESID, residuals
+from .q_core import BETA, IC, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, period_ic, weighted
+from .q_panel import EPS, EXCESS, RESID, ols3_sql, residuals
 from .registry import query
 
 SER = "ser as (select cast(s_nationkey as varchar) as series_id, date, round(avg(ret), 13) as ret from returns_monthly join supplier on s_suppkey = permno group by 1, 2)"
@@ -31,6 +31,7 @@ def with_market(spark: SparkSession, d: str) -> DataFrame:
 # metrics --------------------------------------------------------------------------------------------------------------
 
 SHARPE = "sh as (select series_id, count(ret) as n_obs, pow(product(1 + ret), 12.0::double / count(ret)) - 1 as ann_return, stddev_samp(ret) * sqrt(12) as ann_vol from ser group by 1), sc as (select *, case when ann_vol >= 1e-10 then ann_return / ann_vol end as sharpe from sh)"
+SHARPE_CI = ", ".join(f"round(sharpe{x}, 6) + 0.0::double as {c}" for c, x in (("sharpe", ""), ("ci_low", " - 1.96::double * sqrt((12 + 0.5::double * sharpe * sharpe) / n_obs)"), ("ci_high", " + 1.96::double * sqrt((12 + 0.5::double * sharpe * sharpe) / n_obs)")))
 CURVE = "eq as (select *, product(1 + ret) over (partition by series_id order by date) as cum from ser), dd as (select *, max(cum) over (partition by series_id order by date) as peak, cum / max(cum) over (partition by series_id order by date) - 1 as drawdown from eq)"
 
 
@@ -98,10 +99,10 @@ def q_suite(spark, d):
     return R(series.perf_suite(monthly_series(spark, d)).select("series_id", "n_obs", "ann_return", "sharpe", "max_drawdown", "best", "worst"), "ann_return", "sharpe", "max_drawdown")
 
 
-@query("split_metrics", "with " + SER.replace("ser as", "ser0 as") + ", ser as (select series_id || case when date < date '1996-01-01' then '-in' else '-out' end as series_id, date, ret from ser0), " + SHARPE + " select series_id, n_obs, round(ann_return, 6) + 0.0::double as ann_return, round(sharpe, 6) + 0.0::double as sharpe from sc", "returns_monthly")
+@query("split_metrics", "with " + SER.replace("ser as", "ser0 as") + ", ser as (select series_id || case when date < date '1998-07-01' then '-in' else '-out' end as series_id, date, ret from ser0), " + SHARPE + " select series_id, n_obs, round(ann_return, 6) + 0.0::double as ann_return, round(sharpe, 6) + 0.0::double as sharpe from sc", "returns_monthly")
 def q_split(spark, d):
     s = monthly_series(spark, d)
-    side = F.when(F.col("date") < F.to_date(F.lit("1996-01-01")), "-in").otherwise("-out")
+    side = F.when(F.col("date") < F.to_date(F.lit("1998-07-01")), "-in").otherwise("-out")
     return R(series.sharpe_ci(s.withColumn("series_id", F.concat("series_id", side))).select("series_id", "n_obs", "ann_return", "sharpe"))
 
 
@@ -206,19 +207,8 @@ def q_sensitivity(spark, d):
 # attribution and whole study --------------------------------------------------------------------------------------------
 
 
-@query("single_signal_attribution")
-def q_attribution(spark, d):
-    z = aligned(spark, d).filter("z_score is not null").select("date", "permno", F.lit("gp").alias("signal"), F.col("z_score").alias("alpha"))
-    m = a.returns_monthly(spark, d).select("permno", F.trunc("date", "MM").alias("m"), "ret")
-    from ..operators import xs as cross
-
-    mom = cross.standardise(a.universe(spark, d).withColumn("m", F.trunc("date", "MM")).join(m, ["permno", "m"]), "ret").filter("z_score is not null").select("date", "permno", F.lit("mom").alias("signal"), F.col("z_score").alias("alpha"))
-    b = beta_panel(spark, d).filter("beta is not null").select("date", "permno", "beta")
-    s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
-    w = cross.neutral_weights(z.unionByName(mom).join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=("date", "signal"))
-    r = portfolio.realized_returns(w.select("date", "signal", "permno", "weight"), a.returns_daily(spark, d), keys=("date", "signal"))
-    g = r.groupBy("signal").agg((F.product(1 + F.col("realized_return")) - 1).alias("cumulative"), F.avg("realized_return").alias("mean"), F.stddev_samp("realized_return").alias("std"), F.count(F.lit(1)).alias("n"))
-    return R(g.withColumn("sharpe", ratio(F.col("mean"), F.col("std")) * F.sqrt(F.lit(12.0))))
+SIGNALS = {"gp": 400, "ivol": 400, "resmom": 400, "pead": 90}
+VARIANTS = {"3sig": ("gp", "ivol", "resmom"), "4sig": ("gp", "ivol", "resmom", "pead"), "no_resmom": ("gp", "ivol", "pead")}
 
 
 def signal_panels(spark, d):
@@ -231,30 +221,96 @@ def signal_panels(spark, d):
     ivol = signals.idiosyncratic_volatility(r, a.factors_daily(spark, d)).select("permno", "date_filed", "raw_signal")
     mom = signals.residual_momentum(residuals(spark, d)).select("permno", F.last_day("month").alias("date_filed"), "raw_signal")
     pead = signals.earnings_drift(f).select("permno", "date_filed", "raw_signal")
-    return {n: cross.align_signal(s, u, max_age=age) for n, s, age in (("gp", gp, 400), ("ivol", ivol, 400), ("resmom", mom, 400), ("pead", pead, 90))}
+    raw = {"gp": gp, "ivol": ivol, "resmom": mom, "pead": pead}
+    return {n: cross.align_signal(raw[n].withColumn("raw_signal", F.round("raw_signal", 9)), u, max_age=age) for n, age in SIGNALS.items()}
+
+
+def _aligned_sql(name: str) -> str:
+    z = f"(win_{name} - avg(win_{name}) over d) / nullif(case when stddev_samp(win_{name}) over d >= 1e-12 then stddev_samp(win_{name}) over d end, 0)"
+    return f"""got_{name} as (select u.date, u.permno, case when date_diff('day', s.date_filed, u.date) <= {SIGNALS[name]} then s.raw_signal end as x from universe u asof left join raw_{name} s on u.permno = s.permno and u.date >= s.date_filed),
+win_{name} as (select date, permno, case when x is not null then greatest(least(x, quantile_cont(x, 0.99) over (partition by date)), quantile_cont(x, 0.01) over (partition by date)) end as win_{name} from got_{name}),
+z_{name} as (select date, permno, {z} as z from win_{name} window d as (partition by date))"""
+
+
+RAW_SIGNALS = f"""{EXCESS}, {ols3_sql('ex', 60)}, {RESID}, {EPS},
+raw_gp as (select permno, rdq as date_filed, round((revtq - cogsq) / nullif(atq, 0), 9) as raw_signal from fundamentals),
+raw_ivol as (select permno, date as date_filed, round(residual_std * sqrt(252), 9) as raw_signal from ols),
+raw_resmom as (select permno, last_day(month) as date_filed, round(raw_signal, 9) as raw_signal from (select permno, month, sum(residual) over (partition by permno order by month rows between 12 preceding and 2 preceding) as raw_signal, row_number() over (partition by permno order by month) as k from resid) where k > 12),
+raw_pead as (select permno, rdq as date_filed, round(case when k = 8 and sd > 0 then greatest(least(surprise / sd, 3), -3) end, 9) as raw_signal from (select *, stddev_samp(surprise) over w as sd, count(surprise) over w as k from eps window w as (partition by permno order by fyearq, fqtr rows between 7 preceding and current row)))"""
+SIGNALS_SQL = ",\n".join([RAW_SIGNALS, *map(_aligned_sql, SIGNALS)])
+SPANELS = ("universe", "returns_daily", "returns_monthly", "factors_daily", "fundamentals", "month_ends")
+
+
+def _composite_sql(name: str, use) -> str:
+    """A composite as CTE comp_<name>; a null z-score counts as missing."""
+    each = ", ".join(f"z_{s}.z{' * -1' if s == 'ivol' else ''} as z_{s}" for s in use)
+    joins = " ".join(f"left join z_{s} on z_{s}.date = u.date and z_{s}.permno = u.permno" for s in use)
+    count = " + ".join(f"(z_{s} is not null)::bigint" for s in use)
+    total = " + ".join(f"coalesce(z_{s}, 0)" for s in use)
+    return f"""zu_{name} as (select u.date, u.permno, {each} from universe u {joins}), zn_{name} as (select *, {count} as n_signals, ({total}) / nullif({count}, 0) as composite_raw from zu_{name} where {count} >= 2),
+comp_{name} as (select *, case when stddev_samp(composite_raw) over d >= 1e-12 then (composite_raw - avg(composite_raw) over d) / stddev_samp(composite_raw) over d end as composite_z from zn_{name} window d as (partition by date))"""
 
 
-@query("composite")
+@query("composite", f"with {SIGNALS_SQL}, {_composite_sql('all', SIGNALS)} select date, permno, {', '.join(f'round(z_{s}, 6) + 0.0::double as z_{s}' for s in SIGNALS)}, n_signals, round(composite_raw, 6) + 0.0::double as composite_raw, round(composite_z, 6) + 0.0::double as composite_z from comp_all", *SPANELS)
 def q_composite(spark, d):
     from ..operators import xs as cross
 
     return R(cross.composite(signal_panels(spark, d)))
 
 
-@query("strategy_variants")
+def held(spark, d, alphas, key: str):
+    """Realised returns of neutral weights along ``alpha`` for each value of ``key`` and date."""
+    from ..operators import xs as cross
+
+    b = R(beta_panel(spark, d), "beta", digits=9).filter("beta is not null").select("date", "permno", "beta")
+    s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
+    w = cross.neutral_weights(alphas.join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=(key, "date"))
+    return portfolio.realized_returns(w.select(key, "date", "permno", "weight"), a.returns_daily(spark, d), keys=(key, "date"))
+
+
+def held_sql(key: str, alphas: str) -> str:
+    """The same as CTE held (key, date, realized_return, n_names) over rows (key, date, permno, alpha)."""
+    steps = [f"w0 as (select x.{key}, x.date, x.permno, x.alpha, round(b.beta, 9) as beta, s.sector from ({alphas}) x join beta b on b.date = x.date and b.permno = x.permno join sec s on s.date = x.date and s.permno = x.permno where b.beta is not null)",
+             f"k0 as (select *, beta - avg(beta) over (partition by {key}, date, sector) as b, alpha as w from w0)"]
+    for i in range(3):
+        steps += [f"a{i} as (select * replace (w - avg(w) over (partition by {key}, date, sector) as w) from k{i})", f"b{i} as (select * replace (w - coalesce(sum(w * b) over (partition by {key}, date) / nullif(sum(b * b) over (partition by {key}, date), 0), 0) * b as w) from a{i})",
+                  f"k{i + 1} as (select * replace (greatest(least(coalesce(w / nullif(sum(abs(w)) over (partition by {key}, date), 0), 0), 0.1::double), -0.1::double) as w) from b{i})"]
+    return f"""{BETA.replace('win as', 'bwin as').replace('from win join', 'from bwin join')}, {SECTOR}, {', '.join(steps)},
+days as (select day, row_number() over (order by day) as k from (select distinct date as day from returns_daily)),
+first_day as (select w.date, min(k) as k0 from (select distinct date from k3) w join days on day > w.date group by 1),
+rets as (select f.date, r.permno, product(1 + r.ret) - 1 as g from first_day f join days on k >= k0 and k < k0 + 21 join returns_daily r on r.date = day group by 1, 2),
+held as (select k3.{key}, k3.date, sum(w * coalesce(g, 0)) as realized_return, count(*) as n_names from k3 join first_day using (date) left join rets on rets.date = k3.date and rets.permno = k3.permno group by 1, 2)"""
+
+
+ALONE = " union all ".join(f"select '{s}' as signal, date, permno, round(z, 9){' * -1' if s == 'ivol' else ''} as alpha from z_{s} where z is not null" for s in SIGNALS)
+
+
+@query("single_signal_attribution", f"with {SIGNALS_SQL}, {held_sql('signal', ALONE)}, att as (select signal, product(1 + realized_return) - 1 as cumulative, avg(realized_return) as mean, stddev_samp(realized_return) as std, count(*) as n from held group by 1) select signal, round(cumulative, 6) + 0.0::double as cumulative, round(mean, 6) + 0.0::double as mean, round(std, 6) as std, n, round(mean / nullif(std, 0) * sqrt(12), 6) + 0.0::double as sharpe from att", *SPANELS)
+def q_attribution(spark, d):
+    """Each signal alone, as it is known on the date: neutral weights, the returns after it, and their moments."""
+    z = None
+    for name, p in signal_panels(spark, d).items():
+        one = p.filter("z_score is not null").select(F.lit(name).alias("signal"), "date", "permno", (F.round("z_score", 9) * (-1 if name == "ivol" else 1)).alias("alpha"))
+        z = one if z is None else z.unionByName(one)
+    g = held(spark, d, z, "signal").groupBy("signal").agg((F.product(1 + F.col("realized_return")) - 1).alias("cumulative"), F.avg("realized_return").alias("mean"), F.stddev_samp("realized_return").alias("std"), F.count(F.lit(1)).alias("n"))
+    return R(g.withColumn("sharpe", ratio(F.col("mean"), F.col("std")) * F.sqrt(F.lit(12.0))))
+
+
+_VARIANT_ROWS = " union all ".join(f"select '{v}' as variant, date, permno, round(composite_z, 9) as alpha from comp_{v} where composite_z is not null" for v in VARIANTS)
+
+
+@query("strategy_variants", f"with {SIGNALS_SQL}, {', '.join(_composite_sql(v, use) for v, use in VARIANTS.items())}, {held_sql('variant', _VARIANT_ROWS)}, pw as (select *, case when date < date '1999-01-01' then 'first' else 'second' end as part from held) select variant, part, date, round(realized_return, 6) + 0.0::double as realized_return, n_names from pw", *SPANELS)
 def q_variants(spark, d):
-    """One realised-return row per (variant, date): three signals, four, and without residual momentum."""
+    """One realised-return row per (variant, date), with the date window it is in: three signals, four, and without residual momentum."""
     from ..operators import xs as cross
 
     p = signal_panels(spark, d)
     out = None
-    for name, use in (("3sig", ("gp", "ivol", "resmom")), ("4sig", ("gp", "ivol", "resmom", "pead")), ("no_resmom", ("gp", "ivol", "pead"))):
-        c = cross.composite({n: p[n] for n in use}).select(F.lit(name).alias("variant"), "date", "permno", F.col("composite_z").alias("alpha")).filter("alpha is not null")
+    for name, use in VARIANTS.items():
+        c = cross.composite({n: p[n] for n in use}).select(F.lit(name).alias("variant"), "date", "permno", F.round("composite_z", 9).alias("alpha")).filter("alpha is not null")
         out = c if out is None else out.unionByName(c)
-    b = beta_panel(spark, d).filter("beta is not null").select("date", "permno", "beta")
-    s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
-    w = cross.neutral_weights(out.join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=("variant", "date"))
-    return R(portfolio.realized_returns(w.select("variant", "date", "permno", "weight"), a.returns_daily(spark, d), keys=("variant", "date")))
+    part = F.when(F.col("date") < F.to_date(F.lit("1999-01-01")), "first").otherwise("second")
+    return R(held(spark, d, out, "variant").withColumn("part", part).select("variant", "part", "date", "realized_return", "n_names"))
 
 
 @query("period_inputs", f"with {BETA}, n as (select u.date, count(*) as n_universe, count(b.beta) as n_beta from universe u left join beta b on b.date = u.date and b.permno = u.permno group by 1) select date, n_universe, n_beta, case when n_universe < 5 then 'small universe' when n_beta < 5 then 'too few betas' end as skip_reason from n", "returns_daily", "factors_daily", "universe")
@@ -272,7 +328,12 @@ def q_dw(spark, d):
     return R(inference.durbin_watson(residuals(spark, d), ["permno"], "month"))
 
 
-@query("dw_panel")
+@query("dw_panel", f"""with {EXCESS}, {ols3_sql('ex', 60)}, lat as (select g.permno, m.date as as_of, o.n_obs as k1, o.b1, o.b2, o.b3 from (select distinct permno from ex) g cross join month_ends m asof join ols o on o.permno = g.permno and m.date >= o.date),
+ek as (select *, row_number() over (partition by permno order by date) as k from ex), er as (select a.permno, a.as_of, e.date, y - b1 * x1 - b2 * x2 - b3 * x3 as e from lat a join ek e on e.permno = a.permno and e.k <= a.k1 and e.k > a.k1 - 60 where b1 is not null),
+ec as (select *, e - avg(e) over (partition by permno, as_of) as r from er), el as (select *, lag(r) over (partition by permno, as_of order by date) as p from ec),
+dwp as (select permno, as_of, sum(pow(r - p, 2)) / nullif(sum(r * r), 0) as dw from el group by 1, 2),
+dc as (select case when dw < 1.44 then 'positive' when dw < 1.73 then 'unclear low' when dw <= 2.27 then 'none' when dw <= 2.56 then 'unclear high' else 'negative' end as class, dw from dwp)
+select class, count(*) as n, round(avg(dw), 6) as mean_dw from dc group by 1""", "returns_daily", "factors_daily", "month_ends")
 def q_dw_panel(spark, d):
     """Durbin-Watson of the last 60 residuals of each name's three-factor regression at every month end, by class."""
     r = a.returns_daily(spark, d).join(F.broadcast(a.factors_daily(spark, d)), "date").withColumn("excess", F.col("ret") - F.col("rf"))
@@ -280,7 +341,8 @@ def q_dw_panel(spark, d):
     grid = r.select("permno").distinct().crossJoin(F.broadcast(a.month_ends(spark, d).select(F.col("date").alias("as_of"))))
     at = asof_by_key(grid, b, ["permno"], "as_of", "date", ["b1", "b2", "b3", "n_obs"]).filter("b1 is not null")
     own = r.withColumn("k", F.row_number().over(Window.partitionBy("permno").orderBy("date")))
-    rows = own.join(at.withColumnRenamed("n_obs", "k1"), "permno").filter((F.col("k") <= F.col("k1")) & (F.col("k") > F.col("k1") - 60))
+    # each month end names the rows it needs
+    rows = own.join(at.withColumn("k", F.explode(F.sequence(F.col("n_obs") - 59, F.col("n_obs")))), ["permno", "k"])
     raw = rows.withColumn("e", F.col("excess") - F.col("b1") * F.col("mktrf") - F.col("b2") * F.col("smb") - F.col("b3") * F.col("hml"))
     raw = raw.withColumn("residual", F.col("e") - F.avg("e").over(Window.partitionBy("permno", "as_of")))
     dw = inference.durbin_watson(raw, ["permno", "as_of"], "date")
@@ -324,9 +386,37 @@ def q_ic_hac(spark, d):
     return hac_rounded(inference.hac_mean(s, (3, 5)))
 
 
-@query("hac_cov")
+MKT = "mk as (select last_day(cast(l_shipdate as date)) as date, round(avg(l_discount) - 0.05, 8) as x from lineitem group by 1)"
+DESIGN = ["one", "mkt_rf"]
+#: Each series on the market: x, y and the moments of both per series.
+LINE = f"{SER}, {MKT}, ln0 as (select series_id, date, ret as y, x from ser join mk using (date)), ln as (select *, count(*) over s as n, x - avg(x) over s as dx, y - avg(y) over s as dy from ln0 window s as (partition by series_id)), lm as (select *, sum(dx * dx) over s as sxx, sum(dx * dy) over s as sxy from ln window s as (partition by series_id)), lr as (select *, dy - sxy / sxx * dx as e, 1.0::double / n + dx * dx / sxx as h from lm)"
+
+
+def design(spark, d):
+    return with_market(spark, d).withColumn("one", F.lit(1.0))
+
+
+@query("design_influence", f"with {LINE} select series_id, date, round(h, 6) as leverage, round(e, 7) + 0.0::double as residual, round(e * e * h / (2 * (sum(e * e) over (partition by series_id) / (n - 2)) * pow(1 - h, 2)), 6) as cooks from lr", "returns_monthly")
+def q_influence(spark, d):
+    """Leverage and Cook's distance of any design; here each series on a constant and the market."""
+    return R(R(regression.influence(design(spark, d), ["series_id"], "ret", DESIGN).select("series_id", "date", "leverage", "residual", "cooks"), "residual", digits=7), "leverage", "cooks")
+
+
+@query("design_breusch_pagan", f"with {LINE}, bq as (select *, e * e as q, e * e - avg(e * e) over (partition by series_id) as dq from lr), br as (select series_id, any_value(n) as n, pow(sum(dq * dx), 2) / any_value(sxx) / nullif(sum(dq * dq), 0) as r2 from bq group by 1) select series_id, n, round(r2, 6) as r2, round(n * r2, 5) as lm, round(r2 / ((1 - r2) / (n - 2)), 5) as f from br", "returns_monthly")
+def q_design_bp(spark, d):
+    g = regression.breusch_pagan(design(spark, d), ["series_id"], "ret", DESIGN).select("series_id", "n", "r2", "lm", "f")
+    return R(R(g, "r2"), "lm", "f", digits=5)
+
+
+@query("hac_cov", f"with {LINE}, sc as (select *, e * x as u from lr), sl as (select *, {', '.join(f'lag(e, {j}) over w as e{j}, lag(u, {j}) over w as u{j}' for j in range(1, 5))} from sc window w as (partition by series_id order by date)), sg as (select series_id, any_value(n) as n, any_value(sxx) as sxx, avg(x) as mx, sum(e * e) + {' + '.join(f'2 * {1 - j / 5!r}::double * coalesce(sum(e * e{j}), 0)' for j in range(1, 5))} as s00, sum(e * u) + {' + '.join(f'{1 - j / 5!r}::double * (coalesce(sum(e * u{j}), 0) + coalesce(sum(u * e{j}), 0))' for j in range(1, 5))} as s01, sum(u * u) + {' + '.join(f'2 * {1 - j / 5!r}::double * coalesce(sum(u * u{j}), 0)' for j in range(1, 5))} as s11 from sl group by 1), sa as (select *, 1.0::double / n + mx * mx / sxx as a00, -mx / sxx as a01, 1 / sxx as a11 from sg) select series_id, 4 as lag, i as term_i, j as term_j, round(v, 9) + 0.0::double as cov from (select series_id, 'one' as i, 'one' as j, a00 * (s00 * a00 + s01 * a01) + a01 * (s01 * a00 + s11 * a01) as v from sa union all select series_id, 'one', 'mkt_rf', a00 * (s00 * a01 + s01 * a11) + a01 * (s01 * a01 + s11 * a11) from sa union all select series_id, 'mkt_rf', 'one', a00 * (s00 * a01 + s01 * a11) + a01 * (s01 * a01 + s11 * a11) from sa union all select series_id, 'mkt_rf', 'mkt_rf', a01 * (s00 * a01 + s01 * a11) + a11 * (s01 * a01 + s11 * a11) from sa)", "returns_monthly")
 def q_hac_cov(spark, d):
-    return R(inference.spanning_regression(with_market(spark, d), ["mkt_rf", "smb"], [4]).select("series_id", "lag", "term", "coef", "se", "t_stat"), digits=6)
+    return R(regression.hac_covariance(design(spark, d), "series_id", "ret", DESIGN, [4]), digits=9)
+
+
+@query("sup_f_regression")
+def q_supf_regression(spark, d):
+    """A break in constant and market slope of each series; tested against numpy."""
+    return R(regression.sup_f(design(spark, d), "series_id", "ret", DESIGN))
 
 
 @query("spanning_regression")
@@ -334,31 +424,43 @@ def q_spanning(spark, d):
     return R(inference.spanning_regression(with_market(spark, d), ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"], [4, 6, 8]))
 
 
-@query("subsample_alpha", f"with {SER}, r as (select s.ret, f.mkt as x, c.cutoff, case when s.date < c.cutoff then 'pre' else 'post' end as side from ser s join (select last_day(cast(l_shipdate as date)) as date, round(avg(l_discount) - 0.05, 8) as mkt from lineitem group by 1) f using (date), (values (date '1995-01-01'), (date '1997-01-01')) c(cutoff) where s.series_id = '1'), g as (select cutoff, side, count(*) as n, avg(ret) as mean, covar_pop(ret, x) as c, var_pop(x) as v, avg(x) as mx from r group by 1, 2) select cutoff, side, n, round(mean, 7) + 0.0::double as mean, round(case when n >= 5 then mean - c / nullif(v, 0) * mx end, 6) + 0.0::double as alpha, round(case when n >= 5 then c / nullif(v, 0) end, 5) + 0.0::double as beta from g", "returns_monthly")
+CUTOFFS = ("1997-01-01", "1999-07-01")
+
+
+@query("subsample_alpha", f"with {SER}, {MKT}, r as (select s.series_id, s.ret, x, c.cutoff, case when s.date < c.cutoff then 'pre' else 'post' end as side from ser s join mk using (date), (values {', '.join(f"(date '{c}')" for c in CUTOFFS)}) c(cutoff)), g as (select series_id, cutoff, side, count(*) as n, avg(ret) as mean, covar_pop(ret, x) as c, var_pop(x) as v, var_pop(ret) as vy, avg(x) as mx from r group by 1, 2, 3), h as (select *, c / nullif(v, 0) as b from g), k as (select *, mean - b * mx as al, sqrt(greatest(n * (vy - b * c), 0) / case when n > 2 then n - 2 end * (1.0::double / n + mx * mx / nullif(n * v, 0))) as se from h) select series_id, cutoff, side, n, round(mean, 7) + 0.0::double as mean, round(case when n >= 5 then al end, 6) + 0.0::double as alpha, round(case when n >= 5 then b end, 5) + 0.0::double as beta, round(case when n >= 5 then al / nullif(se, 0) end, 4) + 0.0::double as t_alpha from k", "returns_monthly")
 def q_subsample(spark, d):
-    rows = with_market(spark, d).filter("series_id = '1'")
-    g = inference.subsample_alpha(rows, ["1995-01-01", "1997-01-01"], factor="mkt_rf").drop("t_alpha")
-    return R(R(R(g, "mean", digits=7), "alpha"), "beta", digits=5)
+    g = inference.subsample_alpha(with_market(spark, d), CUTOFFS, factor="mkt_rf")
+    return R(R(R(R(g, "mean", digits=7), "alpha"), "beta", digits=5), "t_alpha", digits=4)
+
+
+def draws_sql(blocks, source: str = "ser") -> str:
+    """Rows that moving blocks of each length draw from the series, 100 replicates."""
+    state = "((((replicate * 1103515 + k * 12345 + 7919 + 12820163) % 16777213) * 1140671 + 12820163) % 16777213 * 1140671 + 12820163) % 16777213"
+    return f"""num as (select *, row_number() over (partition by series_id order by date) - 1 as i, count(*) over (partition by series_id) as n from {source}),
+bl as (select unnest([{', '.join(map(str, blocks))}]) as block),
+dr as (select series_id, n, block, replicate, k, {state} % (n - block + 1) as start
+  from (select distinct series_id, n, block from num, bl where n >= block) z, (select unnest(generate_series(0, 99)) as replicate), (select unnest(generate_series(0, 200)) as k) where k <= (n - 1) // block),
+rw as (select d.block, d.replicate, s.* from dr d, (select unnest(generate_series(0, {max(blocks) - 1})) as o) o join num s on s.series_id = d.series_id and s.i = d.start + o.o where o.o < d.block and d.k * d.block + o.o < d.n)"""
 
 
-BOOT = """num as (select *, row_number() over (partition by series_id order by date) - 1 as i, count(*) over (partition by series_id) as n from ser),
-dr as (select series_id, n, replicate, k, ((((replicate * 1103515 + k * 12345 + 7919 + 12820163) % 16777213) * 1140671 + 12820163) % 16777213 * 1140671 + 12820163) % 16777213 % (n - 6 + 1) as start
-  from (select distinct series_id, n from num where n >= 6) z, (select unnest(generate_series(0, 99)) as replicate), (select unnest(generate_series(0, 50)) as k) where k <= (n - 1) // 6),
-rw as (select d.series_id, d.replicate, s.ret from dr d, (select unnest(generate_series(0, 5)) as o) o join num s on s.series_id = d.series_id and s.i = d.start + o.o where d.k * 6 + o.o < d.n),
-bx as (select series_id, replicate, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as x from rw group by 1, 2)"""
+BOOT = f"{draws_sql((6,))}, bx as (select series_id, replicate, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as x from rw group by 1, 2), bs as (select series_id, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high, count(x) as n_replicates from bx group by 1)"
+POINT = "pt as (select series_id, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as sharpe from ser group by 1)"
 
 
-@query("bootstrap_sharpe", f"with {SER}, {BOOT} select series_id, round(quantile_cont(x, 0.025), 5) + 0.0::double as low, round(quantile_cont(x, 0.975), 5) + 0.0::double as high, count(x) as n_replicates from bx group by 1", "returns_monthly")
+@query("bootstrap_sharpe", f"with {SER}, {BOOT}, {POINT} select series_id, round(sharpe, 5) + 0.0::double as sharpe, round(low, 5) + 0.0::double as low, round(high, 5) + 0.0::double as high, n_replicates from bs join pt using (series_id)", "returns_monthly")
 def q_boot(spark, d):
-    return R(inference.bootstrap_sharpe(monthly_series(spark, d), replicates=100).drop("sharpe"), digits=5)
+    return R(inference.bootstrap_sharpe(monthly_series(spark, d), replicates=100), digits=5)
+
+
+BLOCKS = (3, 4, 6, 8)
 
 
-@query("bootstrap_alpha")
+@query("bootstrap_alpha", f"with {SER}, {MKT}, sm as (select series_id, date, ret, x from ser join mk using (date)), {draws_sql(BLOCKS, 'sm')}, ax as (select series_id, block, replicate, avg(ret) - covar_pop(ret, x) / nullif(var_pop(x), 0) * avg(x) as v from rw group by 1, 2, 3) select series_id, block, round(quantile_cont(v, 0.025) * 12, 6) + 0.0::double as low, round(quantile_cont(v, 0.975) * 12, 6) + 0.0::double as high, round(least(1.0::double, 2 * least(avg(case when v <= 0 then 1.0::double else 0 end), avg(case when v >= 0 then 1.0::double else 0 end))), 6) as p_value from ax group by 1, 2", "returns_monthly")
 def q_boot_alpha(spark, d):
-    return R(inference.bootstrap_alpha(with_market(spark, d), [3, 6], replicates=100, factor="mkt_rf"))
+    return R(inference.bootstrap_alpha(with_market(spark, d), BLOCKS, replicates=100, factor="mkt_rf"))
 
 
-@query("sharpe_ci_compare")
+@query("sharpe_ci_compare", f"with {SER}, {SHARPE}, {BOOT} select series_id, {SHARPE_CI}, round(low, 6) + 0.0::double as boot_low, round(high, 6) + 0.0::double as boot_high from sc join bs using (series_id)", "returns_monthly")
 def q_compare(spark, d):
     s = monthly_series(spark, d)
     b = inference.bootstrap_sharpe(s, replicates=100).select("series_id", F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))

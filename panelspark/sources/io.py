@@ -67,10 +67,10 @@ def read_factors(spark: SparkSession, path: str, momentum: str | None = None, na
     return base.join(parse_factor_lines(spark.read.text(momentum), ["mom"]), "date", "left") if momentum else base
 
 
-def read_dated(spark: SparkSession, pattern: str) -> DataFrame:
-    """Parquet files whose name holds a date YYYY-MM-DD, with it as file_date."""
-    day = F.regexp_extract(F.input_file_name(), "([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1)
-    return spark.read.parquet(pattern).withColumn("file_date", F.to_date(F.when(day != "", day)))
+def read_dated(spark: SparkSession, root: str) -> DataFrame:
+    """Parquet files below ``root`` whose name, or that of their folder, holds a date YYYY-MM-DD, with it as file_date."""
+    day = F.regexp_extract(F.input_file_name(), ".*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    return spark.read.option("recursiveFileLookup", "true").parquet(root).withColumn("file_date", F.to_date(F.when(day != "", day)))
 
 
 FILINGS = (
@@ -80,12 +80,14 @@ FILINGS = (
 
 
 def filings(index: DataFrame, form: str = "10-K", earliest: str = "1900-01-01") -> DataFrame:
-    """Parallel arrays of a filings index to rows: exactly the form, not before ``earliest``, one row per accession, newest first."""
+    """Parallel arrays of a filings index to rows: exactly the form, not before ``earliest``, one row per accession: its first filing date's, of equal ones the least document's."""
     r = "filings.recent"
     rows = index.select("cik", F.explode(F.arrays_zip(f"{r}.form", f"{r}.accessionNumber", f"{r}.filingDate", f"{r}.reportDate", f"{r}.primaryDocument")).alias("f"))
     rows = rows.select("cik", F.col("f.form").alias("form"), F.col("f.accessionNumber").alias("accession_number"), F.to_date("f.filingDate").alias("filing_date"), F.to_date("f.reportDate").alias("report_date"), F.col("f.primaryDocument").alias("primary_document"))
     rows = rows.filter((F.col("form") == form) & (F.col("filing_date") >= F.to_date(F.lit(earliest))))
-    return rows.dropDuplicates(["accession_number"]).orderBy(F.desc("filing_date"), "accession_number")
+    names = [c for c in rows.columns if c != "accession_number"]
+    first = F.struct("filing_date", "primary_document", *[c for c in names if c not in ("filing_date", "primary_document")])
+    return rows.groupBy("accession_number").agg(F.min(first).alias("f")).select("accession_number", *[f"f.{c}" for c in names])
 
 
 def ticker_map(raw: DataFrame, column: str = "value") -> DataFrame:
