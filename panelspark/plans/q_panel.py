@@ -16,8 +16,12 @@ from .registry import query
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="panelspark-")
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="panelspark-")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
