@@ -1,4 +1,4 @@
-"""Query of the quality rules. The robust estimate has no SQL; the test compares it with numpy."""
+"""Query of the quality rules. The robust estimate has no SQL; tests compare the counts with brute force and the verdicts with planted cases."""
 
 from __future__ import annotations
 

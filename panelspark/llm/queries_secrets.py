@@ -1,4 +1,4 @@
-"""Query of the secret scan. Its entropy windows are tested against brute force; SQL cannot express them."""
+"""Query of the secret scan. SQL cannot express it; the test compares all its columns with a plain scan."""
 
 from __future__ import annotations
 

@@ -16,10 +16,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor sees.
 
-    Where the session names none (tests in one process), a local temporary folder becomes the setting.
+    Where the session names none and runs in one process, a local temporary folder becomes the setting; on a cluster
+    that is an error, as every machine would see its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -199,8 +199,7 @@ def test_write_shards(spark, tmp_path):
     assert sharding.write_shards(df.limit(0), 2000, f"{tmp_path}/none").count() == 0
 
 
-def test_sharding_beyond_the_first_level(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "FIRST", 3)
+def test_sharding_beyond_the_first_level(spark):
     df = spark.createDataFrame([(i, "x" * 100) for i in range(300)] + [(7, "z" * 3000)] * 2, "doc_id long, text string")
     got = sharding.assign(df, 1500).collect()
     shards = {}
