@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies), ("ngram_join", near_copies), ("mixing", mixed), ("bpe", tokens)]
 
-#: Components, robust estimates and token ids have no SQL; the test compares with a brute-force version.
+#: Components, robust estimates and token ids have no SQL; a test holds each stage against brute force on a small table.
 ORACLE_SQL = None
 
 
