@@ -71,12 +71,6 @@ def compounded(r: Column) -> Column:
     return F.product(1 + r) - 1
 
 
-def ols1(y: Column, x: Column) -> tuple[Column, Column]:
-    """Slope and intercept of y on x as aggregates."""
-    slope = ratio(F.covar_pop(y, x), F.var_pop(x))
-    return slope, F.avg(y) - slope * F.avg(x)
-
-
 def tied_last(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The last row of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)

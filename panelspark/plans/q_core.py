@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, xs
+from ..functions.windows import xs
 from ..operators import asof, portfolio, series, xs as cross
 from ..operators.calendar import month_end_trading_days, rebalance_dates
 from ..schemas import r6, ratio
@@ -236,10 +236,10 @@ def q_double_stats(spark, d):
     return R(portfolio.bucket_stats(s, ("size_bucket", "sig_bucket")))
 
 
-@query("size5_series", f"with {ROUNDED}, {FWD}, {CAPS}, {BREAKS}, {BUCKETED}, top as (select b.date, s.quintile, b.marketcap, f.fwd_return from bkt b join sorted s on s.date = b.date and s.permno = b.permno join fwd f on f.rebalance_date = b.date and f.permno = b.permno where b.size_bucket >= 3), g as (select date, avg(fwd_return) filter (where quintile = 5) - avg(fwd_return) filter (where quintile = 1) as ew, sum(marketcap * fwd_return) filter (where quintile = 5) / sum(marketcap) filter (where quintile = 5) - sum(marketcap * fwd_return) filter (where quintile = 1) / sum(marketcap) filter (where quintile = 1) as vw, count(*) filter (where quintile = 5) as n_long, count(*) filter (where quintile = 1) as n_short, sum(marketcap) filter (where quintile = 5) as cap_long, sum(marketcap) filter (where quintile = 1) as cap_short from top group by 1) select date, round(ew, 6) + 0.0::double as ew, round(vw, 6) + 0.0::double as vw, n_long, n_short, round(cap_long, 2) as cap_long, round(cap_short, 2) as cap_short from g where n_long > 0 and n_short > 0 and cap_long > 0 and cap_short > 0", *PANELS)
+@query("size5_series", f"with {ROUNDED}, {FWD}, {CAPS}, {BREAKS}, {BUCKETED}, top as (select b.date, s.quintile, b.marketcap, f.fwd_return from bkt b join sorted s on s.date = b.date and s.permno = b.permno join fwd f on f.rebalance_date = b.date and f.permno = b.permno where b.size_bucket = 5), g as (select date, avg(fwd_return) filter (where quintile = 5) - avg(fwd_return) filter (where quintile = 1) as ew, sum(marketcap * fwd_return) filter (where quintile = 5) / sum(marketcap) filter (where quintile = 5) - sum(marketcap * fwd_return) filter (where quintile = 1) / sum(marketcap) filter (where quintile = 1) as vw, count(*) filter (where quintile = 5) as n_long, count(*) filter (where quintile = 1) as n_short, sum(marketcap) filter (where quintile = 5) as cap_long, sum(marketcap) filter (where quintile = 1) as cap_short from top group by 1) select date, round(ew, 6) + 0.0::double as ew, round(vw, 6) + 0.0::double as vw, n_long, n_short, round(cap_long, 2) as cap_long, round(cap_short, 2) as cap_short from g where n_long > 0 and n_short > 0 and cap_long > 0 and cap_short > 0", *PANELS)
 def q_size5(spark, d):
     f = forward(spark, d).select(F.col("rebalance_date").alias("date"), "permno", "fwd_return")
-    s = bucketed(spark, d).filter("size_bucket >= 3").join(sorted_names(spark, d).select("date", "permno", "quintile"), ["date", "permno"]).join(f, ["date", "permno"])
+    s = bucketed(spark, d).filter("size_bucket = 5").join(sorted_names(spark, d).select("date", "permno", "quintile"), ["date", "permno"]).join(f, ["date", "permno"])
 
     def leg(k, c):
         return F.sum(F.when(F.col("quintile") == k, c))
@@ -483,10 +483,6 @@ def q_corr_summary(spark, d):
     return R(series.corr_summary(series.period_corr(wide_signals(spark, d), ["gp", "mom", "size"]), ["gp", "mom", "size"]))
 
 
-def average(df: DataFrame) -> DataFrame:
-    return df.withColumn("rank", average_rank(F.col("x")))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Signal, quintiles, forward returns, long-short series and its Sharpe ratio with interval."""
     s = ls_ew(spark, d).select(F.lit("gp_ew").alias("series_id"), "date", F.col("ls_return").alias("ret"))

@@ -61,6 +61,12 @@ def q_csv(spark, d):
     return io.load_csv(spark, path, "o_orderkey bigint, o_orderdate date, o_orderpriority string")
 
 
+@query("sink_csv", "select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def q_sink_csv(spark, d):
+    path = io.save_csv(a.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), scratch(spark, "sink"))
+    return io.load_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
+
+
 @query("src_factor_csv", "select date, round(mkt_rf, 6) + 0.0::double as mkt_rf, round(smb, 6) + 0.0::double as smb from (select last_day(date) as date, avg(mktrf) as mkt_rf, avg(smb) as smb from factors_daily group by 1)", "factors_daily")
 def q_factor_csv(spark, d):
     m = a.factors_daily(spark, d).groupBy(F.last_day("date").alias("m")).agg(F.avg("mktrf").alias("x"), F.avg("smb").alias("y"))
@@ -171,9 +177,15 @@ def q_dedupe(spark, d):
     return panel.one_row_per_day(with_delists(spark, d))
 
 
-@query("panel_pivot", "select date, max(ret) filter (where permno = 1) as \"1\", max(ret) filter (where permno = 2) as \"2\", max(ret) filter (where permno = 3) as \"3\" from returns_monthly group by date", "returns_monthly")
+NATIONS = range(25)
+
+
+@query("panel_pivot", f"with n as (select date, s_nationkey as k, round(avg(ret), 10) + 0.0::double as ret from returns_monthly join supplier on s_suppkey = permno group by 1, 2) select date, {', '.join(f'max(ret) filter (where k = {k}) as {chr(34)}{k}{chr(34)}' for k in NATIONS)} from n group by date", "returns_monthly")
 def q_pivot(spark, d):
-    return panel.wide(a.returns_monthly(spark, d), "ret", [1, 2, 3])
+    """A column per nation, which there are 25 of at any size."""
+    s = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("permno"), "s_nationkey")
+    m = a.returns_monthly(spark, d).join(s, "permno").groupBy("date", F.col("s_nationkey").alias("permno")).agg((F.round(F.avg("ret"), 10) + F.lit(0.0)).alias("ret"))
+    return panel.wide(m, "ret", list(NATIONS))
 
 
 @query("latest_name", "select permno, ncusip, namedt from names qualify row_number() over (partition by permno order by namedt desc, ncusip desc) = 1", "names")

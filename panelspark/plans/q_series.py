@@ -498,8 +498,15 @@ def q_deflated(spark, d):
 
 @query("synthetic_trials")
 def q_synthetic(spark, d):
-    g = trials(spark, d).groupBy("family").agg(F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("sd"))
-    return R(inference.synthetic_trials(g, 7))
+    """Deflated ratios of each series against 3, 7 and 20 pseudo-trials of its family."""
+    t = trials(spark, d)
+    g = t.groupBy("family").agg(F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("sd"))
+    out = None
+    for n in (3, 7, 20):
+        e = inference.expected_max_sharpe(inference.synthetic_trials(g, n)).select("family", F.lit(n).alias("trials"), "expected_max")
+        out = e if out is None else out.unionByName(e)
+    dsr = inference.deflated_sharpe(F.col("sharpe"), F.col("expected_max"), F.col("n"), F.col("skew"), F.col("kurt"))
+    return R(t.join(out, "family").select("series_id", "family", "trials", "sharpe", "expected_max", dsr.alias("dsr")))
 
 
 SUPF = """pf as (select *, row_number() over w - 1 as k, count(*) over (partition by series_id) as n, sum(ret) over (w rows between unbounded preceding and 1 preceding) as s1, sum(ret * ret) over (w rows between unbounded preceding and 1 preceding) as q1, sum(ret) over (partition by series_id) as s, sum(ret * ret) over (partition by series_id) as q from ser window w as (partition by series_id order by date)),
