@@ -72,8 +72,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         "__sha": F.unhex(F.sha2(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", ""), 256)),
     })
     hit = own["__id"].eqNullSafe(touched["doc_id"]) & (own["__n"] == touched["n_points"]) & (own["__sha"] == touched["sha"])
-    passed = own.join(touched, hit, "left_anti").select(*docs.columns)
+    # what loses a row grows with the table, so it is never broadcast
+    passed = own.join(touched.hint("merge"), hit, "left_anti").select(*docs.columns)
     repeated = touched.filter("stays")
     hit = own["__id"].eqNullSafe(repeated["doc_id"]) & (own["__n"] == repeated["n_points"]) & (own["__sha"] == repeated["sha"])
-    one = own.join(repeated, hit, "left_semi").dropDuplicates(["__id", "__n", "__sha"]).select(*docs.columns)
+    one = own.join(repeated.hint("merge"), hit, "left_semi").dropDuplicates(["__id", "__n", "__sha"]).select(*docs.columns)
     return passed.unionByName(one)

@@ -102,7 +102,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     share = written(share, "shares")
     sized = docs.withColumn("__size", n_words(docs["text"]))
     hit = sized["doc_id"].cast("long").eqNullSafe(share["doc_id"]) & sized["source"].eqNullSafe(share["source"]) & (sized["__size"] == share["size"])
-    both = sized.join(share.select("doc_id", "source", "size", F.col("taken").alias("__taken"), F.col("n").alias("__n")), hit).select(
+    both = sized.join(share.select("doc_id", "source", "size", F.col("taken").alias("__taken"), F.col("n").alias("__n")).hint("merge"), hit).select(
         *[sized[c] for c in docs.columns], "__size", "__taken", "__n"
     )
     # rows that repeat share what their key takes; the first ones get the larger part
