@@ -38,7 +38,9 @@ from .tokens import slices
 BLANK, MARK = b" \t", b".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Hashes that a task gathers from its slices before it sends them.
+GATHERED = 1_500_000
 #: Odd multipliers of the byte and word polynomials, one pair for each of the two hashes.
 BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -154,19 +156,28 @@ def _cut_off(t: np.ndarray, level: int) -> np.ndarray:
 def _may_be_frequent(docs: DataFrame, lengths: Sequence[int], pairs, least: int, level: int) -> DataFrame:
     """t: the first bits of the hashes of all n-grams that may occur ``least`` times or more.
 
-    A slice sends each of the 2^level segments of the hash range the next 32 bits of its n-grams' hashes with their
+    A task sends each of the 2^level segments of the hash range the next 32 bits of its n-grams' hashes with their
     counts, five bytes for each distinct n-gram; the segment's task adds these up. Hashes with equal bits are counted
     together, so no count is too low. With ``pairs`` only n-grams all of whose pairs of words are in that filter are sent.
     """
     enough = min(least, 255)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, size = [], 0
         for _, texts, langs in _sliced(batches):
             s = Slice(texts, langs)
-            all_of = [s.hashes(n, at) for n in lengths if len(at := _held(s, n, pairs, level))]
-            if not all_of:
-                continue
-            t = np.sort(_cut_off(np.concatenate(all_of), level))
+            for n in lengths:
+                held.append(_cut_off(s.hashes(n, _held(s, n, pairs, level)), level))
+                size += len(held[-1])
+            if size >= GATHERED:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if size:
+            yield np.concatenate(held)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches):
+            t.sort()
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             counts = np.minimum(np.diff(np.append(first, len(t))), 255).astype(np.uint8)
             t = t[first]
