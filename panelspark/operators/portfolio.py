@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,56 +83,129 @@ def complete_dates(returns: DataFrame) -> DataFrame:
 
 #: Securities whose vectors one task multiplies with those of as many others.
 BLOCK = 256
+#: Days a bitmap word holds.
+WORD = 32
 
 
-def centred_products(rows: DataFrame) -> DataFrame:
-    """i, j (i <= j), s, m4, t: mean of the products of centred returns, of their squares, and dates.
+def covariance_windows(returns: DataFrame, members: DataFrame, window: int) -> DataFrame:
+    """date, days: for each date of ``members`` the complete days among its last ``window`` days.
 
-    Each security is one vector over the dates; a task multiplies two blocks of vectors. The result has a row for each
-    pair, but no row is made for a pair and a date.
+    Days are those on which a member of the date has a return, at or before the date; a day is complete if all members
+    have one. Each security's days are a bitmap over the calendar; a date's days are the bitwise OR of its members'
+    bitmaps, its complete days the AND, so no row is made for a member and a day. Dates with fewer than ``window`` days or
+    fewer than two complete ones are left out.
     """
-    x = rows.select("date", "permno", (F.col("ret") - F.avg("ret").over(Window.partitionBy("permno"))).alias("x"))
-    own = x.groupBy("permno").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "x"))), lambda v: v["x"]).alias("x"))
-    blocks = max(1, -(-rows.select("permno").distinct().count() // BLOCK))
-    own = own.withColumn("own", F.pmod(F.xxhash64("permno"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    own = own.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "permno", "x")
-
-    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (pdf[pdf["own"] == k] for k in key)
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("i", "j", "s", "m4", "t")})
-        a, b = np.stack(left["x"]), np.stack(right["x"])
-        t = a.shape[1]
-        i, j = np.meshgrid(left["permno"].to_numpy(), right["permno"].to_numpy(), indexing="ij")
-        keep = i <= j if key[0] == key[1] else np.ones(i.shape, bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "s": (a @ b.T / t)[keep], "m4": ((a * a) @ (b * b).T / t)[keep], "t": t})
-
-    return own.groupBy("p", "q").applyInPandas(multiply, "i long, j long, s double, m4 double, t long")
-
-
-def covariance(rows: DataFrame) -> DataFrame:
-    """permno_i, permno_j (i <= j), cov: maximum-likelihood covariance of complete rows."""
-    return centred_products(rows).select(F.col("i").alias("permno_i"), F.col("j").alias("permno_j"), F.col("s").alias("cov"))
-
-
-def shrunk_covariance(rows: DataFrame, periods: float = 12.0) -> DataFrame:
-    """permno_i, permno_j (i <= j), cov shrunk to constant correlation and annualised, with the shrinkage weight.
-
-    ``pi`` is the summed variance of the sample entries, ``gamma`` the squared distance to the target; off-diagonal
-    entries count twice. The covariance of sample and target is left out.
+    rows = returns.filter(F.col("ret").isNotNull()).select("permno", F.col("date").alias("day"))
+    days = rows.select("day").distinct().withColumn("k", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
+    bits = rows.join(F.broadcast(days), "day").groupBy("permno", F.floor(F.col("k") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(k % {WORD} as int))")).alias("bits"))
+    words = F.floor(F.col("k") / WORD).cast("int")
+    last = members.select("date").distinct().join(F.broadcast(days), F.col("day") <= F.col("date"), "left").groupBy("date").agg(F.max("k").alias("k"))
+    size = members.groupBy("date").agg(F.countDistinct("permno").alias("n_members"))
+    own = members.select("date", "permno").distinct().join(bits, "permno").join(F.broadcast(last), "date").filter(F.col("word") <= words)
+    past = F.when(F.col("word") < words, F.lit((1 << WORD) - 1)).otherwise(F.expr(f"shiftleft(2L, cast(k % {WORD} as int)) - 1"))
+    held = own.groupBy("date", "word", "k").agg(F.bit_or("bits").alias("some"), F.bit_and("bits").alias("every"), F.count(F.lit(1)).alias("n")).join(F.broadcast(size), "date")
+    held = held.select("date", "word", F.col("some").bitwiseAND(past).alias("some"), F.when(F.col("n") == F.col("n_members"), F.col("every").bitwiseAND(past)).otherwise(F.lit(0)).alias("every"))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))
+    each = held.select("date", (F.col("word") * WORD).alias("base"), "some", "every", bit.alias("bit")).filter(F.getbit("some", F.col("bit")) == 1)
+    each = each.select("date", (F.col("base") + F.col("bit")).alias("k"), (F.getbit("every", F.col("bit")) == 1).alias("complete"))
+    order = Window.partitionBy("date").orderBy(F.desc("k"))
+    near = each.withColumns({"back": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("date"))}).filter((F.col("back") <= window) & (F.col("n") >= window) & F.col("complete"))
+    got = near.join(F.broadcast(days), "k").groupBy("date").agg(F.array_sort(F.collect_list("day")).alias("days"))
+    return got.filter(F.size("days") >= 2)
+
+
+_ENTRY = "date date, permno_i long, permno_j long, cov double, shrinkage double"
+_TERMS = "date date, corr double, pairs double, pi double, ss double, sd_s double, sd2 double"
+
+
+def _block_rows(returns: DataFrame, members: DataFrame, windows: DataFrame) -> DataFrame:
+    """date, p, q and two blocks of vectors: the date's members over its complete days, cut to blocks of ``BLOCK`` names.
+
+    A vector belongs to one name and date; it is sent to each pair of blocks that its own is in.
+    """
+    number = F.row_number().over(Window.partitionBy("date").orderBy("permno")) - 1
+    named = members.select("date", "permno").distinct().join(F.broadcast(windows.select("date").distinct()), "date").withColumn("own", F.floor(number / BLOCK).cast("int"))
+    blocks = named.groupBy("date").agg((F.max("own") + 1).alias("blocks"))
+    days = windows.select("date", F.explode("days").alias("day"))
+    x = named.join(F.broadcast(days), "date").join(returns.select("permno", F.col("date").alias("day"), "ret"), ["permno", "day"])
+    vectors = x.groupBy("date", "permno", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "ret"))), lambda v: v["ret"]).alias("x"))
+    spread = vectors.join(F.broadcast(blocks), "date").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("date", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "permno", "x")
+
+
+def _product(key: tuple, table: pa.Table) -> tuple[np.ndarray, ...] | None:
+    """Names, covariances and fourth moments of two blocks, and which entries are to be kept (i < j, or i <= j)."""
+    own = table["own"].to_numpy()
+    parts = []
+    for k in key:
+        some = table.filter(pa.array(own == k)).sort_by("permno")
+        x = some["x"].combine_chunks()
+        parts.append((some["permno"].to_numpy(), x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 1))))
+    (i, a), (j, b) = parts
+    if not len(i) or not len(j):
+        return None
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    t = a.shape[1]
+    m4 = (a * a) @ (b * b).T / t
+    return i, j, a @ b.T / t, m4, (a * a).mean(1), (b * b).mean(1), t
+
+
+def _terms(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Sums of a block that the shrinkage of its date needs; off-diagonal entries count twice."""
+    date, p, q = key[0].as_py(), key[1].as_py(), key[2].as_py()
+    got = _product((p, q), table)
+    if got is None:
+        return pa.table({c.split()[0]: [] for c in _TERMS.split(", ")}, schema=_arrow(_TERMS))
+    i, j, s, m4, vi, vj, _ = got
+    sd = np.sqrt(vi[:, None] * vj[None, :])
+    off = i[:, None] < j[None, :]
+    fine = off & (sd > 0)
+    weight = np.where(off, 2.0, 0.0) + (i[:, None] == j[None, :])
+    corr = np.divide(s, sd, out=np.zeros_like(s), where=sd > 0)
+    row = [corr[fine].sum(), fine.sum(), (weight * (m4 - s * s)).sum(), 2 * (s * s)[off].sum(), 2 * (sd * s)[off].sum(), 2 * (sd * sd)[off].sum()]
+    return pa.table([pa.array([date], pa.date32()), *[pa.array([float(v)]) for v in row]], schema=_arrow(_TERMS))
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"date": pa.date32(), "long": pa.int64(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
+
+
+def _entries(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    date, p, q = key[0].as_py(), key[1].as_py(), key[2].as_py()
+    got = _product((p, q), table)
+    if got is None:
+        return pa.table({c.split()[0]: [] for c in _ENTRY.split(", ")}, schema=_arrow(_ENTRY))
+    i, j, s, _, vi, vj, _ = got
+    rho, shrinkage, periods = (table[c][0].as_py() for c in ("rho", "shrinkage", "periods"))
+    same = i[:, None] == j[None, :]
+    target = np.where(same, s, rho * np.sqrt(vi[:, None] * vj[None, :]))
+    v = (shrinkage * target + (1 - shrinkage) * s) * periods
+    keep = i[:, None] <= j[None, :]
+    a, b = np.broadcast_to(i[:, None], s.shape)[keep], np.broadcast_to(j[None, :], s.shape)[keep]
+    n = len(a)
+    return pa.table([pa.array(np.full(n, np.datetime64(date, "D"))), pa.array(a), pa.array(b), pa.array(v[keep]), pa.array(np.full(n, shrinkage))], schema=_arrow(_ENTRY))
+
+
+def covariance(returns: DataFrame, members: DataFrame, window: int, shrink: bool = False, periods: float = 1.0) -> DataFrame:
+    """date, permno_i, permno_j (i <= j), cov, shrinkage: maximum-likelihood covariance of each date's members.
+
+    Moments are over the complete days among the date's last ``window`` days. With ``shrink`` the matrix is moved towards
+    constant correlation: ``pi`` is the summed variance of the sample entries, ``gamma`` the squared distance to the
+    target, off-diagonal entries count twice, and the covariance of sample and target is left out. A task multiplies two
+    blocks of vectors of one date; what the shrinkage needs are sums of blocks, so pairs are never joined or shuffled.
     """
-    s = centred_products(rows)
-    var = s.filter("i = j").select(F.col("i").alias("k"), F.col("s").alias("v"))
-    s = s.join(var.select(F.col("k").alias("i"), F.col("v").alias("vi")), "i").join(var.select(F.col("k").alias("j"), F.col("v").alias("vj")), "j")
-    sd = F.sqrt(F.col("vi") * F.col("vj"))
-    rho = s.filter("i < j").agg(F.coalesce(F.avg(ratio(F.col("s"), sd)), F.lit(0.0)).alias("rho"))
-    s = s.crossJoin(F.broadcast(rho)).withColumn("target", F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(F.col("rho") * sd))
-    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    tot = s.agg(F.sum(twice * (F.col("m4") - F.pow("s", F.lit(2)))).alias("pi"), F.sum(twice * F.pow(F.col("target") - F.col("s"), 2)).alias("gamma"), F.max("t").alias("n"))
-    shrink = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio(F.col("pi"), F.col("gamma")) / F.col("n"), F.lit(0.0))))
-    s = s.crossJoin(F.broadcast(tot.select(shrink.alias("shrinkage"))))
-    mixed = F.col("shrinkage") * F.col("target") + (1 - F.col("shrinkage")) * F.col("s")
-    return s.select(F.col("i").alias("permno_i"), F.col("j").alias("permno_j"), (mixed * periods).alias("cov"), "shrinkage")
+    windows = covariance_windows(returns, members, window)
+    rows = _block_rows(returns.filter(F.col("ret").isNotNull()), members, windows)
+    if not shrink:
+        return rows.withColumns({"rho": F.lit(0.0), "shrinkage": F.lit(0.0), "periods": F.lit(float(periods))}).groupBy("date", "p", "q").applyInArrow(_entries, _ENTRY)
+    sums = rows.groupBy("date", "p", "q").applyInArrow(_terms, _TERMS).groupBy("date").agg(*[F.sum(c).alias(c) for c in ("corr", "pairs", "pi", "ss", "sd_s", "sd2")])
+    sums = sums.withColumn("rho", F.coalesce(ratio(F.col("corr"), F.col("pairs")), F.lit(0.0)))
+    gamma = F.col("rho") * F.col("rho") * F.col("sd2") - 2 * F.col("rho") * F.col("sd_s") + F.col("ss")
+    n = windows.select("date", F.size("days").alias("t"))
+    share = sums.join(F.broadcast(n), "date").withColumn("shrinkage", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio(F.col("pi"), gamma) / F.col("t"), F.lit(0.0)))))
+    both = rows.join(F.broadcast(share.select("date", "rho", "shrinkage")), "date").withColumn("periods", F.lit(float(periods)))
+    return both.groupBy("date", "p", "q").applyInArrow(_entries, _ENTRY)
 
 
 def sector_last(fund: DataFrame, dates: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ A singular design is solved by its pseudo-inverse.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -64,18 +65,25 @@ def residuals(rows: DataFrame, key: Sequence[str], y: str, x: Sequence[str]) ->
 
 
 def influence(rows: DataFrame, key: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
-    """``residuals`` with cooks: NULL where the leverage is 1 or nothing is left to fit."""
+    """``residuals`` with cooks, by the mean of the squared residuals: NULL where the leverage is 1 or all residuals are zero."""
     own = residuals(rows, key, y, x)
-    mse = F.sum(F.col("residual") * F.col("residual")).over(Window.partitionBy(*key)) / F.when(F.col("n") > len(x), F.col("n") - len(x))
+    mse = F.avg(F.col("residual") * F.col("residual")).over(Window.partitionBy(*key))
     h = F.col("leverage")
     return own.withColumn("cooks", F.when(h < 1 - 1e-9, ratio(F.col("residual") * F.col("residual") * h, len(x) * mse * (1 - h) * (1 - h))))
 
 
 def breusch_pagan(rows: DataFrame, key: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
-    """key, n, r2, lm, lm_p, f, f_p: squared residuals on the design itself, which holds an intercept."""
+    """key, n, r2, lm, lm_p, f, f_p: squared residuals on the design itself.
+
+    A key whose design has no column of equal values is an error, as the test compares with an intercept alone.
+    """
     k = len(x)
+    if k < 2:
+        raise ValueError("the design needs an intercept and one column more")
+    fixed = functools.reduce(lambda p, q: p | q, [F.min(c) == F.max(c) for c in x])
+    sound = _complete(rows, y, x).groupBy(*key).agg(F.when(~fixed, F.raise_error("breusch_pagan: the design has no intercept")).otherwise(F.lit(True)).alias("__sound"))
     squares = residuals(rows, key, y, x).select(*key, *x, (F.col("residual") * F.col("residual")).alias("__q"))
-    left = residuals(squares, key, "__q", x).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("sse"), (F.var_pop("__q") * F.count(F.lit(1))).alias("sst"))
+    left = residuals(squares, key, "__q", x).join(sound, list(key)).filter("__sound").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("sse"), (F.var_pop("__q") * F.count(F.lit(1))).alias("sst"))
     g = left.withColumn("r2", 1 - ratio(F.col("sse"), F.col("sst")))
     free = F.when(F.col("n") > k, F.col("n") - k)
     g = g.withColumns({"lm": F.col("n") * F.col("r2"), "f": ratio(F.col("r2") / (k - 1), (1 - F.col("r2")) / free)})

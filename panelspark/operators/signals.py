@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import trailing
+from ..functions.windows import trailing_sums
 from ..schemas import mean_of, ratio, require_columns
 
 
@@ -16,37 +16,60 @@ def gross_profitability(fund: DataFrame) -> DataFrame:
     return require_columns(fund, "permno", "rdq", "revtq", "cogsq", "atq").select("permno", F.col("rdq").alias("date_filed"), ratio(F.col("revtq") - F.col("cogsq"), F.col("atq")).alias("raw_signal"))
 
 
-def rolling_ols3(df: DataFrame, y: str, x: Sequence[str], n: int, key: str = "permno") -> DataFrame:
-    """Rolling regression of y on three columns and an intercept over the last n rows, from moments in one window.
+def _pair(c: str, e: str) -> str:
+    return f"s_{min(c, e)}_{max(c, e)}"
 
-    The centred 3 x 3 system is solved by its adjugate. Adds b1, b2, b3, residual_std (sqrt(SSR / (n - 1))) and n_obs;
-    rows with fewer than n rows behind them are dropped. Rows with a missing value are to be dropped before.
+
+def rolling_ols3(df: DataFrame, y: str, x: Sequence[str], n: int, key: str = "permno", moments: bool = False) -> DataFrame:
+    """Rolling regression of y on three columns and an intercept over the last n rows, in one pass over running sums.
+
+    Values are taken from their key's mean, so that the sums of products hold few digits that cancel. The centred 3 x 3
+    system is solved by its adjugate. Adds b1, b2, b3, residual_std (sqrt(SSR / (n - 1))) and n_obs; rows with fewer than
+    n rows behind them are dropped. Rows with a missing value are to be dropped before. With ``moments`` the centred
+    products stay, as s_<column>_<column> with the names in order.
     """
-    w = trailing(n, key)
-    cols = [y, *x]
+    cols = sorted([y, *x])
     own = df.withColumn("n_obs", F.row_number().over(Window.partitionBy(key).orderBy("date")))
-    own = own.withColumns({f"m_{c}": F.avg(c).over(w) for c in cols})
-    own = own.withColumns({f"s_{c}_{e}": F.covar_pop(F.col(c), F.col(e)).over(w) for i, c in enumerate(cols) for e in cols[i:]})
+    own = own.withColumns({f"d_{c}": F.col(c) - F.avg(c).over(Window.partitionBy(key)) for c in cols})
+    pairs = [(c, e) for i, c in enumerate(cols) for e in cols[i:]]
+    own = trailing_sums(own, {f"m_{c}": F.col(f"d_{c}") for c in cols} | {f"t_{c}_{e}": F.col(f"d_{c}") * F.col(f"d_{e}") for c, e in pairs}, n, key)
+    own = own.filter(F.col("n_obs") >= n).withColumns({_pair(c, e): F.col(f"t_{c}_{e}") / n - F.col(f"m_{c}") * F.col(f"m_{e}") / (n * n) for c, e in pairs})
 
     def s(c: str, e: str) -> Column:
-        return F.col(f"s_{c}_{e}" if f"s_{c}_{e}" in own.columns else f"s_{e}_{c}")
+        return F.col(_pair(c, e))
 
     a, b, c = x
-    c11 = s(b, b) * s(c, c) - s(b, c) * s(b, c)
-    c12 = s(a, c) * s(b, c) - s(a, b) * s(c, c)
-    c13 = s(a, b) * s(b, c) - s(a, c) * s(b, b)
-    c22 = s(a, a) * s(c, c) - s(a, c) * s(a, c)
-    c23 = s(a, b) * s(a, c) - s(a, a) * s(b, c)
-    c33 = s(a, a) * s(b, b) - s(a, b) * s(a, b)
-    det = s(a, a) * c11 + s(a, b) * c12 + s(a, c) * c13
     own = own.withColumns({
-        "b1": ratio(c11 * s(y, a) + c12 * s(y, b) + c13 * s(y, c), det),
-        "b2": ratio(c12 * s(y, a) + c22 * s(y, b) + c23 * s(y, c), det),
-        "b3": ratio(c13 * s(y, a) + c23 * s(y, b) + c33 * s(y, c), det),
+        "c11": s(b, b) * s(c, c) - s(b, c) * s(b, c), "c12": s(a, c) * s(b, c) - s(a, b) * s(c, c), "c13": s(a, b) * s(b, c) - s(a, c) * s(b, b),
+        "c22": s(a, a) * s(c, c) - s(a, c) * s(a, c), "c23": s(a, b) * s(a, c) - s(a, a) * s(b, c), "c33": s(a, a) * s(b, b) - s(a, b) * s(a, b),
+    })
+    det = s(a, a) * F.col("c11") + s(a, b) * F.col("c12") + s(a, c) * F.col("c13")
+    own = own.withColumns({
+        f"b{i}": ratio(F.col(p) * s(y, a) + F.col(q) * s(y, b) + F.col(r) * s(y, c), det) for i, (p, q, r) in enumerate((("c11", "c12", "c13"), ("c12", "c22", "c23"), ("c13", "c23", "c33")), 1)
     })
     ssr = F.greatest(s(y, y) - F.col("b1") * s(y, a) - F.col("b2") * s(y, b) - F.col("b3") * s(y, c), F.lit(0.0)) * n
-    own = own.withColumn("residual_std", F.sqrt(ssr / (n - 1))).filter(F.col("n_obs") >= n)
-    return own.drop(*[f"m_{c}" for c in cols], *[c for c in own.columns if c.startswith("s_")])
+    own = own.withColumn("residual_std", F.sqrt(ssr / (n - 1)))
+    gone = [f"{p}_{q}" for p in "dm" for q in cols] + [f"t_{p}_{q}" for p, q in pairs] + ["c11", "c12", "c13", "c22", "c23", "c33"]
+    return own.drop(*gone, *([] if moments else [_pair(p, q) for p, q in pairs]))
+
+
+def rolling_durbin_watson(df: DataFrame, y: str, x: Sequence[str], n: int, key: str = "permno") -> DataFrame:
+    """``rolling_ols3`` with dw, the Durbin-Watson statistic of the n residuals less their mean.
+
+    Squared residuals and squared changes are quadratic forms of the coefficients in moments of the rows and of their
+    changes, so no residual is made for a row and a window.
+    """
+    cols = [y, *x]
+    w = Window.partitionBy(key).orderBy("date")
+    own = df.withColumns({f"g_{c}": F.col(c) - F.lag(c).over(w) for c in cols})
+    pairs = [(c, e) for i, c in enumerate(cols) for e in cols[i:]]
+    own = trailing_sums(own, {f"q_{c}_{e}": F.col(f"g_{c}") * F.col(f"g_{e}") for c, e in pairs}, n - 1, key)
+    own = rolling_ols3(own, y, x, n, key, moments=True)
+    weight = dict(zip(cols, (F.lit(1.0), -F.col("b1"), -F.col("b2"), -F.col("b3")), strict=True))
+    twice = {(c, e): (1.0 if c == e else 2.0) * weight[c] * weight[e] for c, e in pairs}
+    changes = sum((v * F.col(f"q_{c}_{e}") for (c, e), v in twice.items()), F.lit(0.0))
+    squares = sum((v * F.col(_pair(c, e)) * n for (c, e), v in twice.items()), F.lit(0.0))
+    return own.withColumn("dw", ratio(changes, squares)).drop(*[f"g_{c}" for c in cols], *[f"q_{c}_{e}" for c, e in pairs], *[_pair(c, e) for c, e in pairs])
 
 
 def idiosyncratic_volatility(returns: DataFrame, factors: DataFrame, n: int = 60) -> DataFrame:

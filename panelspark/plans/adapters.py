@@ -171,4 +171,5 @@ def sql(body: str, *panels: str) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"with {head},\n{body[5:]}" if body.lower().startswith("with ") else f"with {head}\n{body}"
+    word = "with recursive" if "dyk as (" in body else "with"
+    return f"{word} {head},\n{body[5:]}" if body.lower().startswith("with ") else f"{word} {head}\n{body}"

@@ -320,37 +320,64 @@ def q_sector(spark, d):
     return portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
 
 
-COMPLETE = "full_rows as (select * from returns_monthly where date in (select date from returns_monthly group by date having count(*) = (select count(distinct permno) from returns_monthly))), cent as (select date, permno, ret - avg(ret) over (partition by permno) as x from full_rows)"
+COV_MONTHS = 24
+#: Per date: the months on which one of its names has a return, the last of them, those complete, and the centred returns on these.
+WINDOWED = f"""cday as (select u.date, r.date as day, count(*) as n, row_number() over (partition by u.date order by r.date desc) as back, count(*) over (partition by u.date) as n_days, any_value(un.n_names) as n_names
+  from universe u join returns_monthly r on r.permno = u.permno and r.date <= u.date join (select date, count(*) as n_names from universe group by 1) un on un.date = u.date group by u.date, r.date),
+cfull as (select date, day from cday where back <= {COV_MONTHS} and n_days >= {COV_MONTHS} and n = n_names qualify count(*) over (partition by date) >= 2),
+cent as (select f.date, f.day, u.permno, r.ret - avg(r.ret) over (partition by f.date, u.permno) as x from cfull f join universe u on u.date = f.date join returns_monthly r on r.permno = u.permno and r.date = f.day)"""
 
 
-@query("cov_sample", f"with {COMPLETE} select a.permno as permno_i, b.permno as permno_j, round(avg(a.x * b.x), 9) + 0.0::double as cov from cent a join cent b using (date) where a.permno <= b.permno group by 1, 2", "returns_monthly")
+@query("cov_sample", f"with {WINDOWED} select a.date, a.permno as permno_i, b.permno as permno_j, round(avg(a.x * b.x), 9) + 0.0::double as cov from cent a join cent b on a.date = b.date and a.day = b.day where a.permno <= b.permno group by 1, 2, 3", "universe", "returns_monthly")
 def q_cov(spark, d):
-    return R(portfolio.covariance(portfolio.complete_dates(a.returns_monthly(spark, d))), digits=9)
+    return R(portfolio.covariance(a.returns_monthly(spark, d), a.universe(spark, d), COV_MONTHS).drop("shrinkage"), digits=9)
 
 
-@query("cov_shrink", f"""with {COMPLETE}, s as (select a.permno as i, b.permno as j, avg(a.x * b.x) as s, avg(pow(a.x * b.x, 2)) as m4, count(*) as t from cent a join cent b using (date) where a.permno <= b.permno group by 1, 2),
-v as (select i as k, s as v from s where i = j), r as (select avg(s / nullif(sqrt(vi.v * vj.v), 0)) as rho from s join v vi on vi.k = i join v vj on vj.k = j where i < j),
-t as (select s.*, case when i = j then s else coalesce(rho, 0) * sqrt(vi.v * vj.v) end as target, case when i = j then 1.0::double else 2.0::double end as w from s join v vi on vi.k = i join v vj on vj.k = j, r),
-g as (select greatest(0, least(1, coalesce(sum(w * (m4 - s * s)) / nullif(sum(w * pow(target - s, 2)), 0) / max(t), 0))) as shrinkage from t)
-select i as permno_i, j as permno_j, round((shrinkage * target + (1 - shrinkage) * s) * 12, 8) + 0.0::double as cov, round(shrinkage, 8) as shrinkage from t, g""", "returns_monthly")
+@query("cov_shrink", f"""with {WINDOWED}, s as (select a.date, a.permno as i, b.permno as j, avg(a.x * b.x) as s, avg(pow(a.x * b.x, 2)) as m4, count(*) as t from cent a join cent b on a.date = b.date and a.day = b.day where a.permno <= b.permno group by 1, 2, 3),
+v as (select date, i as k, s as v from s where i = j), r as (select s.date, avg(s / nullif(sqrt(vi.v * vj.v), 0)) as rho from s join v vi on vi.k = i and vi.date = s.date join v vj on vj.k = j and vj.date = s.date where i < j group by 1),
+t as (select s.*, case when i = j then s else coalesce(rho, 0) * sqrt(vi.v * vj.v) end as target, case when i = j then 1.0::double else 2.0::double end as w from s join v vi on vi.k = i and vi.date = s.date join v vj on vj.k = j and vj.date = s.date left join r on r.date = s.date),
+g as (select date, greatest(0, least(1, coalesce(sum(w * (m4 - s * s)) / nullif(sum(w * pow(target - s, 2)), 0) / max(t), 0))) as shrinkage from t group by 1)
+select t.date, i as permno_i, j as permno_j, round((shrinkage * target + (1 - shrinkage) * s) * 12, 8) + 0.0::double as cov, round(shrinkage, 8) as shrinkage from t join g using (date)""", "universe", "returns_monthly")
 def q_shrink(spark, d):
-    return R(portfolio.shrunk_covariance(portfolio.complete_dates(a.returns_monthly(spark, d))), digits=8)
+    return R(portfolio.covariance(a.returns_monthly(spark, d), a.universe(spark, d), COV_MONTHS, shrink=True, periods=12.0), digits=8)
 
 
 def weighted(spark, d):
     z = aligned(spark, d).filter("z_score is not null").select("date", "permno", F.round("z_score", 9).alias("alpha"))
     b = R(beta_panel(spark, d), "beta", digits=9).filter("beta is not null").select("date", "permno", "beta")
     s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
-    return cross.neutral_weights(z.join(b, ["date", "permno"]).join(s, ["date", "permno"]))
+    return cross.neutral_weights(z.join(b, ["date", "permno"]).join(s, ["date", "permno"]), **LIMITS)
+
+
+#: Constraints of the test portfolios; all of them bind on some dates.
+LIMITS = {"gross": 1.0, "cap": 0.03, "strength": 1.5}
+ROUNDS = 600
+
+
+def dykstra_sql(keys: str) -> str:
+    """CTE k3 with weight w of the rows of w0 (keys, permno, alpha, beta, sector): ROUNDS rounds of the projections."""
+    g, cap, st = (f"{LIMITS[c]!r}::double" for c in ("gross", "cap", "strength"))
+    return f"""kb as (select *, beta - avg(beta) over s as b, alpha - avg(alpha) over s as am from w0 window s as (partition by {keys}, sector)),
+kc as (select *, sum(b * b) over d as bb, sum(am * b) over d as ab from kb window d as (partition by {keys})),
+ke as (select *, am - case when bb > 1e-18 then ab / bb else 0 end * b as an from kc),
+k0 as (select {keys}, permno, alpha, beta, sector, b, bb, coalesce(an * {st} * {g} / nullif(sum(abs(an)) over (partition by {keys}), 0), 0) as x from ke),
+dyk as (
+  select *, 0.0::double as p, 0.0::double as q, 0 as it from k0
+  union all
+  select {keys}, permno, alpha, beta, sector, b, bb, m - case when bb > 1e-18 then sum(m * b) over (partition by {keys}) / bb else 0 end * b as x, p, q, it
+  from (select * exclude (z), z - avg(z) over (partition by {keys}, sector) as m
+  from (select * exclude (v, level), z, v - z as q
+  from (select *, sign(v) * greatest(abs(v) - greatest(level, 0), 0) as z
+  from (select * exclude (c), max(c) over (partition by {keys}) as level
+  from (select *, (sum(abs(v)) over (partition by {keys} order by abs(v) desc, permno rows unbounded preceding) - {g}) / row_number() over (partition by {keys} order by abs(v) desc, permno) as c
+  from (select {keys}, permno, alpha, beta, sector, b, bb, x + p - y as p, y + q as v, it + 1 as it
+  from (select *, greatest(least(x + p, {cap}), -{cap}) as y from dyk where it < {ROUNDS})))))))
+),
+k3 as (select {keys}, permno, alpha, beta, sector, x as w from dyk where it = {ROUNDS})"""
 
 
 def weights_sql() -> str:
-    steps = ["w0 as (select x.date, x.permno, round(x.z_score, 9) as alpha, round(b.beta, 9) as beta, s.sector from aligned x join beta b on b.date = x.date and b.permno = x.permno join sec s on s.date = x.date and s.permno = x.permno where x.z_score is not null and b.beta is not null)",
-             "k0 as (select *, beta - avg(beta) over (partition by date, sector) as b, alpha as w from w0)"]
-    for i in range(3):
-        steps += [f"a{i} as (select * replace (w - avg(w) over (partition by date, sector) as w) from k{i})", f"b{i} as (select * replace (w - coalesce(sum(w * b) over (partition by date) / nullif(sum(b * b) over (partition by date), 0), 0) * b as w) from a{i})",
-                  f"k{i + 1} as (select * replace (greatest(least(coalesce(w / nullif(sum(abs(w)) over (partition by date), 0), 0), 0.1::double), -0.1::double) as w) from b{i})"]
-    return ", ".join(steps)
+    return "w0 as (select x.date, x.permno, round(x.z_score, 9) as alpha, round(b.beta, 9) as beta, s.sector from aligned x join beta b on b.date = x.date and b.permno = x.permno join sec s on s.date = x.date and s.permno = x.permno where x.z_score is not null and b.beta is not null),\n" + dykstra_sql("date")
 
 
 WEIGHTS = f"{ALIGNED}, {BETA.replace('win as', 'bwin as').replace('from win join', 'from bwin join')}, {SECTOR}, {weights_sql()}"

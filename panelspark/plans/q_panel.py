@@ -96,9 +96,20 @@ def q_ticker(spark, d):
     return io.resolve_tickers(s.select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker")), io.ticker_map(raw))
 
 
-@query("sink_checkpoint", "select date as rebalance_date, permno from universe", "universe")
+@query("sink_checkpoint", "select u.date as rebalance_date, u.permno, round(m.marketcap / sum(m.marketcap) over (partition by u.date), 9) as weight from universe u join returns_monthly m on m.permno = u.permno and date_trunc('month', m.date) = date_trunc('month', u.date)", "universe", "returns_monthly")
 def q_checkpoint(spark, d):
-    return io.load_partitioned(spark, io.save_partitioned(a.universe(spark, d).withColumnRenamed("date", "rebalance_date"), scratch(spark, "weights"), "rebalance_date")).select(F.col("rebalance_date").cast("date").alias("rebalance_date"), "permno")
+    """Value weights by rebalance date: a run that ends after half of the dates, and a second one that computes the rest."""
+    u = a.universe(spark, d).withColumnRenamed("date", "rebalance_date")
+    caps = a.returns_monthly(spark, d).select("permno", F.trunc("date", "MM").alias("month"), "marketcap")
+
+    def weights(dates: DataFrame) -> DataFrame:
+        own = u.join(F.broadcast(dates), "rebalance_date").withColumn("month", F.trunc("rebalance_date", "MM")).join(caps, ["permno", "month"])
+        return own.select("rebalance_date", "permno", (F.col("marketcap") / F.sum("marketcap").over(Window.partitionBy("rebalance_date"))).alias("weight"))
+
+    root, dates = scratch(spark, "weights"), a.month_ends(spark, d).withColumnRenamed("date", "rebalance_date")
+    middle = dates.agg(F.percentile_approx(F.unix_date("rebalance_date"), 0.5).alias("at"))
+    io.resumable(dates.crossJoin(middle).filter(F.unix_date("rebalance_date") < F.col("at")).drop("at"), weights, root, batch=30)
+    return R(io.resumable(dates, weights, root, batch=30), digits=9)
 
 
 @query("src_dated_files", "select permno, date, date as file_date from universe", "universe")

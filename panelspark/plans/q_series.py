@@ -10,7 +10,7 @@ from ..operators import costs, inference, portfolio, regression, series, signals
 from ..operators.asof import asof_by_key
 from ..schemas import r6 as R, ratio
 from . import adapters as a
-from .q_core import BETA, IC, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, period_ic, weighted
+from .q_core import BETA, IC, LIMITS, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, dykstra_sql, period_ic, weighted
 from .q_panel import EPS, EXCESS, RESID, ols3_sql, residuals
 from .registry import query
 
@@ -171,9 +171,9 @@ def costed(spark, d):
     return costs.name_costs(costs.trades(weights8(spark, d)), costs.name_stats(a.returns_daily(spark, d), a.month_ends(spark, d)))
 
 
-@query("trade_delta", f"with {WEIGHTS}, {COSTS} select date, permno, round(weight - prior, 5) + 0.0::double as delta from tr", *CPANELS)
+@query("trade_delta", f"with {WEIGHTS}, {COSTS} select date, permno, round(weight - prior, 8) + 0.0::double as delta from tr", *CPANELS)
 def q_trades(spark, d):
-    return R(costs.trades(weights8(spark, d)).select("date", "permno", "delta"), digits=5)
+    return R(costs.trades(weights8(spark, d)).select("date", "permno", "delta"), digits=8)
 
 
 @query("name_cost", f"with {WEIGHTS}, {COSTS} select date, permno, round(commission, 7) as commission, round(half_spread, 7) as half_spread, round(impact, 7) as impact, round(borrow, 7) as borrow from nc", *CPANELS)
@@ -264,18 +264,14 @@ def held(spark, d, alphas, key: str):
 
     b = R(beta_panel(spark, d), "beta", digits=9).filter("beta is not null").select("date", "permno", "beta")
     s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
-    w = cross.neutral_weights(alphas.join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=(key, "date"))
+    w = cross.neutral_weights(alphas.join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=(key, "date"), **LIMITS)
     return portfolio.realized_returns(w.select(key, "date", "permno", "weight"), a.returns_daily(spark, d), keys=(key, "date"))
 
 
 def held_sql(key: str, alphas: str) -> str:
     """The same as CTE held (key, date, realized_return, n_names) over rows (key, date, permno, alpha)."""
-    steps = [f"w0 as (select x.{key}, x.date, x.permno, x.alpha, round(b.beta, 9) as beta, s.sector from ({alphas}) x join beta b on b.date = x.date and b.permno = x.permno join sec s on s.date = x.date and s.permno = x.permno where b.beta is not null)",
-             f"k0 as (select *, beta - avg(beta) over (partition by {key}, date, sector) as b, alpha as w from w0)"]
-    for i in range(3):
-        steps += [f"a{i} as (select * replace (w - avg(w) over (partition by {key}, date, sector) as w) from k{i})", f"b{i} as (select * replace (w - coalesce(sum(w * b) over (partition by {key}, date) / nullif(sum(b * b) over (partition by {key}, date), 0), 0) * b as w) from a{i})",
-                  f"k{i + 1} as (select * replace (greatest(least(coalesce(w / nullif(sum(abs(w)) over (partition by {key}, date), 0), 0), 0.1::double), -0.1::double) as w) from b{i})"]
-    return f"""{BETA.replace('win as', 'bwin as').replace('from win join', 'from bwin join')}, {SECTOR}, {', '.join(steps)},
+    w0 = f"w0 as (select x.{key}, x.date, x.permno, x.alpha, round(b.beta, 9) as beta, s.sector from ({alphas}) x join beta b on b.date = x.date and b.permno = x.permno join sec s on s.date = x.date and s.permno = x.permno where b.beta is not null)"
+    return f"""{BETA.replace('win as', 'bwin as').replace('from win join', 'from bwin join')}, {SECTOR}, {w0}, {dykstra_sql(f'{key}, date')},
 days as (select day, row_number() over (order by day) as k from (select distinct date as day from returns_daily)),
 first_day as (select w.date, min(k) as k0 from (select distinct date from k3) w join days on day > w.date group by 1),
 rets as (select f.date, r.permno, product(1 + r.ret) - 1 as g from first_day f join days on k >= k0 and k < k0 + 21 join returns_daily r on r.date = day group by 1, 2),
@@ -337,15 +333,9 @@ select class, count(*) as n, round(avg(dw), 6) as mean_dw from dc group by 1""",
 def q_dw_panel(spark, d):
     """Durbin-Watson of the last 60 residuals of each name's three-factor regression at every month end, by class."""
     r = a.returns_daily(spark, d).join(F.broadcast(a.factors_daily(spark, d)), "date").withColumn("excess", F.col("ret") - F.col("rf"))
-    b = signals.rolling_ols3(r.select("permno", "date", "excess", "mktrf", "smb", "hml"), "excess", ["mktrf", "smb", "hml"], 60)
+    b = signals.rolling_durbin_watson(r.select("permno", "date", "excess", "mktrf", "smb", "hml"), "excess", ["mktrf", "smb", "hml"], 60)
     grid = r.select("permno").distinct().crossJoin(F.broadcast(a.month_ends(spark, d).select(F.col("date").alias("as_of"))))
-    at = asof_by_key(grid, b, ["permno"], "as_of", "date", ["b1", "b2", "b3", "n_obs"]).filter("b1 is not null")
-    own = r.withColumn("k", F.row_number().over(Window.partitionBy("permno").orderBy("date")))
-    # each month end names the rows it needs
-    rows = own.join(at.withColumn("k", F.explode(F.sequence(F.col("n_obs") - 59, F.col("n_obs")))), ["permno", "k"])
-    raw = rows.withColumn("e", F.col("excess") - F.col("b1") * F.col("mktrf") - F.col("b2") * F.col("smb") - F.col("b3") * F.col("hml"))
-    raw = raw.withColumn("residual", F.col("e") - F.avg("e").over(Window.partitionBy("permno", "as_of")))
-    dw = inference.durbin_watson(raw, ["permno", "as_of"], "date")
+    dw = asof_by_key(grid, b, ["permno"], "as_of", "date", ["b1", "dw"]).filter("b1 is not null")
     label = F.when(F.col("dw") < 1.44, "positive").when(F.col("dw") < 1.73, "unclear low").when(F.col("dw") <= 2.27, "none").when(F.col("dw") <= 2.56, "unclear high").otherwise("negative")
     return R(dw.groupBy(label.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg("dw").alias("mean_dw")))
 
@@ -396,7 +386,7 @@ def design(spark, d):
     return with_market(spark, d).withColumn("one", F.lit(1.0))
 
 
-@query("design_influence", f"with {LINE} select series_id, date, round(h, 6) as leverage, round(e, 7) + 0.0::double as residual, round(e * e * h / (2 * (sum(e * e) over (partition by series_id) / (n - 2)) * pow(1 - h, 2)), 6) as cooks from lr", "returns_monthly")
+@query("design_influence", f"with {LINE} select series_id, date, round(h, 6) as leverage, round(e, 7) + 0.0::double as residual, round(e * e * h / (2 * avg(e * e) over (partition by series_id) * pow(1 - h, 2)), 6) as cooks from lr", "returns_monthly")
 def q_influence(spark, d):
     """Leverage and Cook's distance of any design; here each series on a constant and the market."""
     return R(R(regression.influence(design(spark, d), ["series_id"], "ret", DESIGN).select("series_id", "date", "leverage", "residual", "cooks"), "residual", digits=7), "leverage", "cooks")

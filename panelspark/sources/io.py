@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import require_columns
 
@@ -35,6 +36,36 @@ def load_partitioned(spark: SparkSession, root: str, columns: Sequence[str] | No
     return load_parquet(spark, root, columns)
 
 
+def finished(spark: SparkSession, root: str, field: T.StructField) -> DataFrame:
+    """The keys that runs of ``resumable`` below ``root`` have finished."""
+    schema = T.StructType([field])
+    manifest = f"{root.rstrip('/')}/finished"
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{manifest}/begin")  # so that there is a folder to read
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(manifest).distinct()
+
+
+def resumable(keys: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str, column: str = "rebalance_date", batch: int = 12) -> DataFrame:
+    """The rows that ``compute`` gives for all keys, kept below ``root`` so that a run that breaks off is taken up again.
+
+    ``compute`` gets open keys, ``batch`` at a time in ascending order, and returns their rows. They are written to one
+    folder per key, which replaces what a broken run may have left there; only then are the keys entered in the manifest
+    of finished ones, in a file of their own. A rerun computes the keys that the manifest lacks and no other, and rows of
+    a key that is not in it are never read. Keys are those of a calendar, a few for each month, and not null.
+    """
+    spark, root = keys.sparkSession, root.rstrip("/")
+    field = T.StructField(column, require_columns(keys, column).schema[column].dataType)
+    done = finished(spark, root, field)
+    todo = sorted(r[0] for r in keys.select(column).distinct().join(done, column, "left_anti").collect())
+    nothing = spark.createDataFrame([], T.StructType([field]))
+    schema = require_columns(compute(nothing), column).schema
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(column).parquet(f"{root}/rows")
+    for i in range(0, len(todo), batch):
+        some = spark.createDataFrame([(k,) for k in todo[i : i + batch]], T.StructType([field]))
+        save_partitioned(compute(some), f"{root}/rows", column)
+        some.coalesce(1).write.mode("overwrite").parquet(f"{root}/finished/from-{todo[i]}")
+    return spark.read.schema(schema).parquet(f"{root}/rows").join(F.broadcast(finished(spark, root, field)), column, "left_semi")
+
+
 def read_warehouse(df: DataFrame, ids: DataFrame, start: str, end: str, key: str = "permno", date: str = "date") -> DataFrame:
     """Rows of the ids within an inclusive date window, decimals as doubles; pushes the window to the scan."""
     rows = df.filter(F.col(date).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).join(ids.select(key).distinct(), key, "left_semi")
