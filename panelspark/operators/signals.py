@@ -101,6 +101,37 @@ def cross_residual(rows: DataFrame, by: str = "month", group: str = "ggroup", le
     return own.withColumns({"fitted": F.col("ret") - F.col("residual"), "leverage": leverage}).drop("y_", "s_", "sxx", "sxy")
 
 
+def cross_residual_as_of(rows: DataFrame, members: DataFrame, span: int = 24, group: str = "ggroup", least: int = 5) -> DataFrame:
+    """rebalance_date, month, permno, last_date, residual: ``cross_residual`` of each date's own universe, month by month.
+
+    A date's regressions hold its members only and the months that ended by then, ``span`` of them at most, so a
+    name's residual of a month depends on the date. Months are listed per date and members joined to them by equality.
+    """
+    ended = rows.groupBy("month").agg(F.max("last_date").alias("ended"))
+    dates = members.select("date").distinct()
+    far = F.explode(F.sequence(F.add_months(F.trunc("date", "MM"), 1 - span), F.trunc("date", "MM"), F.expr("interval 1 month"))).alias("month")
+    listed = members.select("date", "permno").distinct().join(F.broadcast(dates.select("date", far).join(ended.select("month"), "month", "left_semi")), "date")
+    own = listed.join(rows, ["permno", "month"]).filter(F.col("last_date") <= F.col("date"))
+    own = own.filter(F.col("ret").isNotNull() & (F.col("marketcap") > 0) & F.col(group).isNotNull()).withColumn("log_size", F.ln("marketcap"))
+    cell, day = Window.partitionBy("date", "month", group), Window.partitionBy("date", "month")
+    own = own.withColumns({"y_": F.col("ret") - F.avg("ret").over(cell), "s_": F.col("log_size") - F.avg("log_size").over(cell)})
+    own = own.withColumns({"n_names": F.count(F.lit(1)).over(day), "sxx": F.sum(F.col("s_") * F.col("s_")).over(day), "sxy": F.sum(F.col("y_") * F.col("s_")).over(day)})
+    slope = F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.col("sxx")).otherwise(0.0)
+    return own.filter(F.col("n_names") >= least).select(F.col("date").alias("rebalance_date"), "month", "permno", "last_date", (F.col("y_") - slope * F.col("s_")).alias("residual"))
+
+
+def residual_momentum_as_of(resid: DataFrame, first: int = 12, last: int = 2, least: int = 9) -> DataFrame:
+    """rebalance_date, permno, date_filed, raw_signal, n_obs: the sum of a name's residuals of its own months t-first..t-last.
+
+    t is its latest month known on the date, whose last day is date_filed; ``first`` months have to lie behind it.
+    """
+    w = Window.partitionBy("rebalance_date", "permno")
+    back = resid.withColumns({"back": F.row_number().over(w.orderBy(F.desc("month"))) - 1, "n": F.count(F.lit(1)).over(w)}).filter((F.col("n") > first) & (F.col("back") <= first))
+    inside = F.col("back") >= last
+    g = back.groupBy("rebalance_date", "permno").agg(F.max("last_date").alias("date_filed"), F.sum(F.when(inside, F.col("residual"))).alias("raw_signal"), F.count(F.when(inside, F.col("residual"))).alias("n_obs"))
+    return g.filter(F.col("n_obs") >= least)
+
+
 def residual_momentum(resid: DataFrame, first: int = 12, last: int = 2) -> DataFrame:
     """Sum of residuals over each name's own months t-first..t-last; needs ``first`` months behind."""
     w = Window.partitionBy("permno").orderBy("month")

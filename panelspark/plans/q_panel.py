@@ -349,6 +349,33 @@ def residuals(spark, d):
     return signals.cross_residual(m.join(g, "permno"))
 
 
+SPAN = 24
+#: Residuals of each date's own universe: rows (date, month, permno, last_date, residual).
+RESID_ASOF = f"""ag as (select distinct permno, gsector as ggroup from fundamentals),
+am as (select u.date, date_trunc('month', r.date) as month, r.permno, r.date as last_date, r.ret, ln(r.marketcap) as ls, g.ggroup from universe u join returns_monthly r on r.permno = u.permno and r.date <= u.date and r.date >= date_trunc('month', u.date) - interval {SPAN - 1} month join ag g on g.permno = r.permno),
+ad as (select *, ret - avg(ret) over c as y, ls - avg(ls) over c as s, count(*) over (partition by date, month) as n_names from am window c as (partition by date, month, ggroup)),
+al as (select *, sum(s * s) over (partition by date, month) as sxx, sum(y * s) over (partition by date, month) as sxy from ad where n_names >= 5),
+aresid as (select date, month, permno, last_date, y - case when sxx > 1e-12 then sxy / sxx else 0 end * s as residual from al),
+ab as (select *, row_number() over (partition by date, permno order by month desc) - 1 as back, count(*) over (partition by date, permno) as n from aresid),
+aresmom as (select date, permno, max(last_date) as date_filed, sum(residual) filter (where back >= 2) as raw_signal, count(residual) filter (where back >= 2) as n_obs from ab where n > 12 and back <= 12 group by 1, 2 having count(residual) filter (where back >= 2) >= 9)"""
+
+
+def residuals_as_of(spark, d):
+    g = a.fundamentals(spark, d).select("permno", F.col("gsector").alias("ggroup")).distinct()
+    m = a.returns_monthly(spark, d).select("permno", F.trunc("date", "MM").alias("month"), F.col("date").alias("last_date"), "ret", "marketcap")
+    return signals.cross_residual_as_of(m.join(g, "permno"), a.universe(spark, d), SPAN)
+
+
+@query("xs_residual_as_of", f"with {RESID_ASOF} select date as rebalance_date, cast(month as date) as month, permno, round(residual, 7) + 0.0::double as residual from aresid", "universe", "returns_monthly", "fundamentals")
+def q_resid_as_of(spark, d):
+    return R(residuals_as_of(spark, d).drop("last_date"), digits=7)
+
+
+@query("sig_resmom_as_of", f"with {RESID_ASOF} select date as rebalance_date, permno, date_filed, round(raw_signal, 6) + 0.0::double as raw_signal, n_obs from aresmom", "universe", "returns_monthly", "fundamentals")
+def q_resmom_as_of(spark, d):
+    return R(signals.residual_momentum_as_of(residuals_as_of(spark, d)))
+
+
 @query("xs_residual", f"with {RESID} select permno, month, round(residual, 7) + 0.0::double as residual from resid", "returns_monthly", "fundamentals")
 def q_resid(spark, d):
     return R(residuals(spark, d).select("permno", "month", "residual"), digits=7)

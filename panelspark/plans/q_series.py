@@ -11,7 +11,7 @@ from ..operators.asof import asof_by_key
 from ..schemas import r6 as R, ratio
 from . import adapters as a
 from .q_core import BETA, IC, LIMITS, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, dykstra_sql, period_ic, weighted
-from .q_panel import EPS, EXCESS, RESID, ols3_sql, residuals
+from .q_panel import EPS, EXCESS, RESID, RESID_ASOF, ols3_sql, residuals, residuals_as_of
 from .registry import query
 
 SER = "ser as (select cast(s_nationkey as varchar) as series_id, date, round(avg(ret), 13) as ret from returns_monthly join supplier on s_suppkey = permno group by 1, 2)"
@@ -219,23 +219,29 @@ def signal_panels(spark, d):
     f, r = a.fundamentals(spark, d), a.returns_daily(spark, d)
     gp = signals.gross_profitability(f)
     ivol = signals.idiosyncratic_volatility(r, a.factors_daily(spark, d)).select("permno", "date_filed", "raw_signal")
-    mom = signals.residual_momentum(residuals(spark, d)).select("permno", F.last_day("month").alias("date_filed"), "raw_signal")
+    mom = signals.residual_momentum_as_of(residuals_as_of(spark, d)).select(F.col("rebalance_date").alias("date"), "permno", "date_filed", "raw_signal")
     pead = signals.earnings_drift(f).select("permno", "date_filed", "raw_signal")
-    raw = {"gp": gp, "ivol": ivol, "resmom": mom, "pead": pead}
-    return {n: cross.align_signal(raw[n].withColumn("raw_signal", F.round("raw_signal", 9)), u, max_age=age) for n, age in SIGNALS.items()}
+    raw = {"gp": gp, "ivol": ivol, "pead": pead}
+    out = {n: cross.align_signal(x.withColumn("raw_signal", F.round("raw_signal", 9)), u, max_age=SIGNALS[n]) for n, x in raw.items()}
+    # already as of each date
+    fresh = F.when(F.datediff("date", "date_filed") <= SIGNALS["resmom"], F.round("raw_signal", 9))
+    known = u.join(mom, ["date", "permno"], "left").select("date", "permno", fresh.alias("raw_signal"))
+    out["resmom"] = cross.standardise(known).select("date", "permno", "raw_signal", "winsorized", "z_score")
+    return {n: out[n] for n in SIGNALS}
 
 
 def _aligned_sql(name: str) -> str:
     z = f"(win_{name} - avg(win_{name}) over d) / nullif(case when stddev_samp(win_{name}) over d >= 1e-12 then stddev_samp(win_{name}) over d end, 0)"
-    return f"""got_{name} as (select u.date, u.permno, case when date_diff('day', s.date_filed, u.date) <= {SIGNALS[name]} then s.raw_signal end as x from universe u asof left join raw_{name} s on u.permno = s.permno and u.date >= s.date_filed),
+    join = "left join raw_resmom s on u.permno = s.permno and u.date = s.date" if name == "resmom" else f"asof left join raw_{name} s on u.permno = s.permno and u.date >= s.date_filed"
+    return f"""got_{name} as (select u.date, u.permno, case when date_diff('day', s.date_filed, u.date) <= {SIGNALS[name]} then s.raw_signal end as x from universe u {join}),
 win_{name} as (select date, permno, case when x is not null then greatest(least(x, quantile_cont(x, 0.99) over (partition by date)), quantile_cont(x, 0.01) over (partition by date)) end as win_{name} from got_{name}),
 z_{name} as (select date, permno, {z} as z from win_{name} window d as (partition by date))"""
 
 
-RAW_SIGNALS = f"""{EXCESS}, {ols3_sql('ex', 60)}, {RESID}, {EPS},
+RAW_SIGNALS = f"""{EXCESS}, {ols3_sql('ex', 60)}, {RESID_ASOF}, {EPS},
 raw_gp as (select permno, rdq as date_filed, round((revtq - cogsq) / nullif(atq, 0), 9) as raw_signal from fundamentals),
 raw_ivol as (select permno, date as date_filed, round(residual_std * sqrt(252), 9) as raw_signal from ols),
-raw_resmom as (select permno, last_day(month) as date_filed, round(raw_signal, 9) as raw_signal from (select permno, month, sum(residual) over (partition by permno order by month rows between 12 preceding and 2 preceding) as raw_signal, row_number() over (partition by permno order by month) as k from resid) where k > 12),
+raw_resmom as (select date, permno, date_filed, round(raw_signal, 9) as raw_signal from aresmom),
 raw_pead as (select permno, rdq as date_filed, round(case when k = 8 and sd > 0 then greatest(least(surprise / sd, 3), -3) end, 9) as raw_signal from (select *, stddev_samp(surprise) over w as sd, count(surprise) over w as k from eps window w as (partition by permno order by fyearq, fqtr rows between 7 preceding and current row)))"""
 SIGNALS_SQL = ",\n".join([RAW_SIGNALS, *map(_aligned_sql, SIGNALS)])
 SPANELS = ("universe", "returns_daily", "returns_monthly", "factors_daily", "fundamentals", "month_ends")
