@@ -20,7 +20,9 @@ import functools
 import hashlib
 import os
 import uuid
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain, compress, count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,9 @@ from .shared import partitions, written
 from .tokens import BYTE_NAMES, slices
 
 BLOCK_LINKS = 2_000_000
-CACHE_RUNS, CACHED_LENGTH = 300_000, 40
+CACHE_RUNS, CACHED_LENGTH = 250_000, 40
+#: Runs that are aligned in one go.
+TOGETHER = 20_000
 BLANK_MARK = "▁"
 ASKED, KEPT = 1, 2
 
@@ -43,7 +47,7 @@ GROUPS = "doc_id long, group long, begin long, end long, a array<int>, b array<i
 
 def groups_of(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
     """(first a, end a, first b, end b, byte end) of each group of tokens between two neighbouring common ends."""
-    at_a, at_b = {e: i for i, e in enumerate(ends_a, 1)}, {e: i for i, e in enumerate(ends_b, 1)}
+    at_a, at_b = dict(zip(ends_a, count(1), strict=False)), dict(zip(ends_b, count(1), strict=False))
     out, a, b = [], 0, 0
     for end in sorted(at_a.keys() & at_b.keys()):
         out.append((a, at_a[end], b, at_b[end], end))
@@ -62,13 +66,13 @@ def links_of(ends_a: Sequence[int], ends_b: Sequence[int], a: int, to_a: int, b:
 
 
 class Run(NamedTuple):
-    a: list[int]
-    b: list[int]
+    n_a: int
+    n_b: int
     #: Groups as decimal text, and their number.
     text: str
     groups: int
-    #: Linked ids, a << 32 | b, one for each link.
-    pairs: np.ndarray
+    #: Linked ids, a << 32 | b, as 64-bit integers, one for each link.
+    pairs: bytes
 
 
 class Aligner:
@@ -89,33 +93,43 @@ class Aligner:
         self.bytes_a = [bytes(of_name.get(c, ord(c) & 0xFF) for c in n) for n in names]
         pieces = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
+        self.decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         #: Where a piece has its mark inside, runs are not independent and texts are taken as one run.
         self.parted = not any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in pieces)
         self.runs: dict[str, Run | None] = {}
         self.older: dict[str, Run | None] = {}
 
-    def _aligned(self, run: str) -> Run | None:
-        """``run`` without its first blank, aligned with it; None where the tokens do not give back its bytes."""
-        a = self.bytewise.encode(" " + run, add_special_tokens=False).ids
-        b = self.pieces.encode(run)
-        raw, of_a, of_b = (" " + run).encode(), self.bytes_a, self.bytes_b
-        if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
-            return None
-        ends_a, ends_b = np.cumsum([len(of_a[i]) for i in a]).tolist(), np.cumsum([len(of_b[i]) for i in b]).tolist()
-        found = groups_of(ends_a, ends_b)
-        pairs = [a[i] << 32 | b[j] for g in found for i, j in links_of(ends_a, ends_b, *g[:4])]
-        text = ";".join(",".join(map(str, a[g[0] : g[1]])) + "|" + ",".join(map(str, b[g[2] : g[3]])) for g in found)
-        return Run(a, b, text, len(found), np.array(pairs, np.int64))
-
-    def run(self, run: str) -> Run | None:
-        if run in self.runs:
-            return self.runs[run]
-        out = self.older[run] if run in self.older else self._aligned(run)
-        if len(run) <= CACHED_LENGTH:
-            if len(self.runs) >= CACHE_RUNS:
-                self.runs, self.older = {}, self.runs
-            self.runs[run] = out
-        return out
+    def tokens(self, runs: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids on both sides of runs, which come without their first blank."""
+        return [e.ids for e in self.bytewise.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], self.pieces.encode(list(runs), num_threads=1)
+
+    def _gives_back(self, run: str, a: Sequence[int], b: Sequence[int]) -> bool:
+        raw = (" " + run).encode()
+        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+
+    def aligned(self, runs: Sequence[str]) -> list[Run | None]:
+        """Runs aligned together, one after another along their bytes; None where tokens do not give back a run's bytes."""
+        each_a, each_b = self.tokens(runs)
+        sound = [self._gives_back(r, a, b) for r, a, b in zip(runs, each_a, each_b, strict=True)]
+        each_a, each_b = list(compress(each_a, sound)), list(compress(each_b, sound))
+        ids_a, ids_b = list(chain.from_iterable(each_a)), list(chain.from_iterable(each_b))
+        ends_a, ends_b = list(accumulate(map(self.length_a.__getitem__, ids_a))), list(accumulate(map(self.length_b.__getitem__, ids_b)))
+        sizes = zip(accumulate(map(len, each_a)), map(len, each_a), map(len, each_b), strict=True)
+        done, texts, pairs, decimal = [], [], [], self.decimal
+        now = next(sizes, None)
+        for a, to_a, b, to_b, _ in groups_of(ends_a, ends_b):
+            if to_a - a == 1 and to_b - b == 1:
+                texts.append(decimal[ids_a[a]] + "|" + decimal[ids_b[b]])
+                pairs.append(ids_a[a] << 32 | ids_b[b])
+            else:
+                texts.append(",".join([decimal[i] for i in ids_a[a:to_a]]) + "|" + ",".join([decimal[i] for i in ids_b[b:to_b]]))
+                pairs += [ids_a[i] << 32 | ids_b[j] for i, j in links_of(ends_a, ends_b, a, to_a, b, to_b)]
+            if to_a == now[0]:  # the run ends on both sides
+                done.append(Run(now[1], now[2], ";".join(texts), len(texts), array("q", pairs).tobytes()))
+                texts, pairs, now = [], [], next(sizes, None)
+        found = iter(done)
+        return [next(found) if ok else None for ok in sound]
 
     def parts(self, text: str) -> list[str]:
         """The runs of a text, each without its first blank."""
@@ -130,11 +144,26 @@ class Aligner:
                 out.append(part)
         return out if open_part is None else [*out, open_part]
 
-    def align(self, text: str | None) -> list[Run] | None:
-        if not text:
-            return None
-        out = [self.run(p) for p in self.parts(text)]
-        return None if any(r is None for r in out) else out
+    def align(self, texts: Sequence[str | None]) -> Iterator[list[Run] | None]:
+        """The runs of each text; None for a text without tokens."""
+        parts = [self.parts(t) if t else [] for t in texts]
+        if len(self.runs) >= CACHE_RUNS:
+            self.runs, self.older = {}, self.runs
+        own, older, new = self.runs, self.older, []
+        for r in set().union(*parts):
+            if r not in own:
+                if r in older:
+                    own[r] = older[r]
+                else:
+                    new.append(r)
+        long = {}
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            for r, run in zip(some, self.aligned(some), strict=True):
+                (own if len(r) <= CACHED_LENGTH else long)[r] = run
+        for p in parts:
+            runs = [own[r] if r in own else long[r] for r in p]
+            yield runs if runs and None not in runs else None
 
 
 @functools.lru_cache(maxsize=1)
@@ -154,9 +183,9 @@ def groups(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
         own = aligner(byte_path, piece_path)
         for whole in batches:
             for batch in slices(whole):
-                for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for key, runs in zip(batch.column("doc_id").to_pylist(), own.align(batch.column("text").to_pylist()), strict=True):
                     rows, begin = [], 0
-                    for r in own.align(t) or []:
+                    for r in runs or []:
                         for g in r.text.split(";"):
                             a, b = ([int(x) for x in side.split(",")] for side in g.split("|"))
                             end = begin + sum(len(own.bytes_a[i]) for i in a)
@@ -208,14 +237,13 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str, block_links: int)
 
         for whole in batches:
             for batch in slices(whole):
-                for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    runs = own.align(t)
+                for key, runs in zip(batch.column("doc_id").to_pylist(), own.align(batch.column("text").to_pylist()), strict=True):
                     if runs is None:
                         held.append((key, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
                     else:
-                        pairs, links = np.unique(np.concatenate([r.pairs for r in runs]), return_counts=True)
+                        pairs, links = np.unique(np.frombuffer(b"".join([r.pairs for r in runs]), np.int64), return_counts=True)
                         sha = hashlib.sha256(";".join([r.text for r in runs]).encode()).hexdigest()
-                        held.append((key, sum([len(r.a) for r in runs]), sum([len(r.b) for r in runs]), sum([r.groups for r in runs]), sha, pairs, links))
+                        held.append((key, sum([r.n_a for r in runs]), sum([r.n_b for r in runs]), sum([r.groups for r in runs]), sha, pairs, links))
                         size += len(pairs)
                     if size >= block_links or len(held) >= block_links // 100 + 1:
                         yield from closed()
