@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,33 @@ def breusch_pagan(df: DataFrame, key: str = "month", group: str = "ggroup") -> D
     return g.withColumns({"lm_p": chi2_tail("lm", (F.col("k") - 1).cast("double")), "f_p": f_tail("f", (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))}).drop("sse", "sst", "groups")
 
 
+def group_influence(df: DataFrame, key: str = "month", group: str = "ggroup") -> DataFrame:
+    """Adds n_params (groups and size), mse and cooks to rows with residual and leverage; cooks is NULL where the leverage is 1."""
+    w = Window.partitionBy(key)
+    h = F.col("leverage")
+    own = df.withColumns({"n_params": F.size(F.collect_set(group).over(w)) + 1, "mse": F.avg(F.col("residual") * F.col("residual")).over(w)})
+    return own.withColumn("cooks", F.when(h < 1 - 1e-9, ratio(F.col("residual") * F.col("residual"), F.col("n_params") * F.col("mse")) * h / F.pow(1 - h, F.lit(2))))
+
+
+def month_diagnostics(resid: DataFrame, key: str = "month", group: str = "ggroup", degenerate: float = 0.99) -> DataFrame:
+    """One row per regression on group dummies and size: fit, Breusch-Pagan, leverage, Cook's distance, shape of the residuals.
+
+    Names whose leverage exceeds ``degenerate`` are alone in their group: they are counted, and left out of max_cooks_clean
+    and n_high_cooks. High leverage is above 2 params / n, a high distance above 4 / n.
+    """
+    own = group_influence(resid, key, group)
+    e, h, n = F.col("residual"), F.col("leverage"), F.count(F.lit(1))
+    alone = h > degenerate
+    total = F.var_pop("ret") * n
+    g = own.withColumn("__n", n.over(Window.partitionBy(key))).groupBy(key).agg(
+        n.alias("n_obs"), F.max("n_params").alias("n_params"), F.count_if(alone).alias("n_degenerate"), (1 - ratio(F.var_pop("residual") * n, total)).alias("r2"),
+        F.max("leverage").alias("max_leverage"), F.avg("leverage").alias("mean_leverage"), F.count_if(h > 2 * F.col("n_params") / F.col("__n")).alias("n_high_leverage"),
+        F.max("cooks").alias("max_cooks"), F.max(F.when(~alone, F.col("cooks"))).alias("max_cooks_clean"), F.count_if((F.col("cooks") > 4 / F.col("__n")) & ~alone).alias("n_high_cooks"),
+        adjusted_skew(e).alias("skew"), adjusted_kurtosis(e).alias("kurt"),
+    )
+    return g.join(breusch_pagan(resid, key, group).select(key, "lm", "lm_p", "f", "f_p"), key)
+
+
 def hac_mean(s: DataFrame, lags: Sequence[int], key: str = "series_id", x: str = "ret") -> DataFrame:
     """series, lag, n, mean, naive and HAC (Bartlett) t statistics of a mean. One pass over the rows for all lags."""
     w = Window.partitionBy(key)
@@ -134,17 +162,71 @@ def bootstrap_sharpe(s: DataFrame, block: int = 6, replicates: int = 200, confid
     return point.join(ends, "series_id").select("series_id", "sharpe", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n_replicates")
 
 
-def bootstrap_alpha(rows: DataFrame, blocks: Sequence[int], replicates: int = 100, factor: str = "mktrf", periods: float = 12.0) -> DataFrame:
-    """block, low, high and two-sided empirical p of the factor alpha, all replicates aggregated in one job per block."""
-    out = None
-    for b in blocks:
-        each = block_replicates(rows, b, replicates).groupBy("series_id", "replicate").agg((F.avg("ret") - ratio(F.covar_pop("ret", factor), F.var_pop(factor)) * F.avg(factor)).alias("x"))
-        g = each.groupBy("series_id").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(F.when(F.col("x") <= 0, 1.0).otherwise(0.0)).alias("below"), F.avg(F.when(F.col("x") >= 0, 1.0).otherwise(0.0)).alias("above"))
-        one = g.select("series_id", F.lit(b).alias("block"), (F.col("q")[0] * periods).alias("low"), (F.col("q")[1] * periods).alias("high"), F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p_value"))
-        out = one if out is None else out.unionByName(one)
+JOINT = "series_id string, block int, n long, n_replicates int, sharpe double, sharpe_low double, sharpe_high double, sharpe_p double, alpha double, alpha_low double, alpha_high double, alpha_p double"
+
+
+def _draw_bounds(n: int, block: int, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and ends of the blocks of every replicate, as ``block_replicates`` draws them."""
+    k = np.arange((n - 1) // block + 1)
+    state = (np.arange(replicates)[:, None] * 1103515 + k[None, :] * 12345 + seed * 7919 + 12820163) % 16777213
+    for _ in range(2):
+        state = (state * 1140671 + 12820163) % 16777213
+    start = state % (n - block + 1)
+    return start, start + np.minimum(block, n - k * block)[None, :]
+
+
+def joint_statistics(y: np.ndarray, x: np.ndarray, blocks: Sequence[int], replicates: int, seed: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, Sharpe ratios, alphas) of the replicates of one series: its own rows and the factors' are drawn together.
+
+    The products of all columns are summed up along the series once. A block's moments are a difference of these sums and a
+    replicate's the sum over its blocks, so no row is drawn; all replicates are solved at once.
+    """
+    n, k = x.shape
+    middle, level = x.mean(0), y.mean()
+    z = np.column_stack([np.ones(n), x - middle, y - level])
+    i, j = np.triu_indices(k + 2)
+    prefix = np.vstack([np.zeros(len(i)), np.cumsum(z[:, i] * z[:, j], axis=0)])
+    out = []
+    for block in (b for b in blocks if b <= n):
+        start, end = _draw_bounds(n, block, replicates, seed)
+        m = np.empty((replicates, k + 2, k + 2))
+        m[:, i, j] = m[:, j, i] = (prefix[end] - prefix[start]).sum(axis=1)
+        coef = np.einsum("rij,rj->ri", np.linalg.pinv(m[:, :-1, :-1], hermitian=True), m[:, :-1, -1])
+        mean = m[:, 0, -1] / n
+        sd = np.sqrt(np.maximum(m[:, -1, -1] - n * mean * mean, 0) / (n - 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append((block, (mean + level) / sd, coef[:, 0] + level - coef[:, 1:] @ middle))
     return out
 
 
+def bootstrap_joint(rows: DataFrame, factors: Sequence[str], blocks: Sequence[int], replicates: int = 100, periods: float = 12.0, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """JOINT: percentile intervals and two-sided empirical p of each series' Sharpe ratio and factor alpha, by block length.
+
+    Both come from the same draws of moving blocks. Values are annualised; rows with a missing value are left out, and so
+    are block lengths beyond the series. A series is one task: it has a row per month.
+    """
+
+    def two_sided(v: np.ndarray) -> float:
+        return min(1.0, 2 * min((v <= 0).mean(), (v >= 0).mean()))
+
+    def draw(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = table.drop_null().sort_by("date")
+        out: dict[str, list] = {c.split()[0]: [] for c in JOINT.split(", ")}
+        if own.num_rows > len(factors) + 1:
+            y, x = own["ret"].to_numpy(), np.column_stack([own[f].to_numpy() for f in factors])
+            point, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(y)), x]), y, rcond=None)
+            for block, sharpe, alpha in joint_statistics(y, x, blocks, replicates, seed):
+                tail = 50 * (1 - confidence)
+                ends = [np.percentile(v, [tail, 100 - tail]) * c for v, c in ((sharpe, math.sqrt(periods)), (alpha, periods))]
+                row = [key[0].as_py(), block, len(y), replicates, y.mean() / y.std(ddof=1) * math.sqrt(periods), *ends[0], two_sided(sharpe), point[0] * periods, *ends[1], two_sided(alpha)]
+                for c, v in zip(out, row, strict=True):
+                    out[c].append(v)
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        return pa.table({n: pa.array(out[n], kinds[k]) for n, k in (c.split() for c in JOINT.split(", "))})
+
+    return rows.select("series_id", "date", F.col("ret").cast("double").alias("ret"), *[F.col(f).cast("double").alias(f) for f in factors]).groupBy("series_id").applyInArrow(draw, JOINT)
+
+
 def expected_max_sharpe(trials: DataFrame, key: str = "family") -> DataFrame:
     """Expected best Sharpe ratio of independent trials without skill; NULL below two trials or without variation."""
     g = trials.groupBy(key).agg(F.stddev_samp("sharpe").alias("sd"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -87,6 +88,51 @@ BLOCK = 256
 WORD = 32
 
 
+def _day_bits(returns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The calendar (day, k) of all rows with a return, and each security's days on it as words of bits (permno, word, bits)."""
+    rows = returns.filter(F.col("ret").isNotNull()).select("permno", F.col("date").alias("day"))
+    days = rows.select("day").distinct().withColumn("k", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
+    bits = rows.join(F.broadcast(days), "day").groupBy("permno", F.floor(F.col("k") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(k % {WORD} as int))")).alias("bits"))
+    return days, bits
+
+
+#: Why a period is skipped, in the order in which it is looked for.
+SKIPS = ("no universe", "no returns up to the date", "no returns after the date", "no composite", "short covariance window", "short holding period", "few common names")
+
+
+def period_inputs(dates: DataFrame, members: DataFrame, returns: DataFrame, composite: DataFrame, beta: DataFrame, sector: DataFrame, window: int = 252, holding: int = 21, least: int = 5) -> DataFrame:
+    """One row per date of ``dates``: what a period's portfolio could be made of, and why it is skipped, if it is.
+
+    Only a date's universe counts. n_days and n_holding are the days up to and after the date on which one of its names
+    has a return: bitmaps of names, joined by OR. n_composite, n_beta, n_sector, n_past and n_future are its names with a
+    composite row, a beta, a sector, a return up to the date and one after it; n_common those with all five, n_alpha
+    those of them whose composite is not missing. ``skip_reason`` is the first of SKIPS that holds, NULL for a period to run.
+    """
+    days, bits = _day_bits(returns)
+    own = members.select("date", "permno").distinct()
+    at = own.select("date").distinct().join(F.broadcast(days), F.col("day") <= F.col("date"), "left").groupBy("date").agg(F.coalesce(F.max("k"), F.lit(-1)).alias("k"))
+    union = own.join(bits, "permno").groupBy("date", "word").agg(F.bit_or("bits").alias("bits")).join(F.broadcast(at), "date")
+    full = (1 << WORD) - 1
+    last = F.floor(F.col("k") / WORD).cast("int")
+    past = F.when(F.col("word") < last, F.lit(full)).when(F.col("word") == last, F.expr(f"shiftleft(2L, cast(k % {WORD} as int)) - 1")).otherwise(F.lit(0))
+    past = F.when(F.col("k") < 0, F.lit(0)).otherwise(past)
+    counted = union.groupBy("date").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(past))).alias("n_days"), F.sum(F.bit_count(F.col("bits").bitwiseAND(F.lit(full) - past))).alias("n_holding"))
+    ends = returns.filter(F.col("ret").isNotNull()).groupBy("permno").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    yes = F.lit(True)
+    names = own.join(ends, "permno", "left").join(composite.select("date", "permno", F.col("composite_z").alias("alpha"), yes.alias("in_composite")), ["date", "permno"], "left")
+    names = names.join(beta.filter("beta is not null").select("date", "permno", yes.alias("in_beta")), ["date", "permno"], "left").join(sector.filter("sector is not null").select("date", "permno", yes.alias("in_sector")), ["date", "permno"], "left")
+    parts = {"n_composite": F.col("in_composite"), "n_beta": F.col("in_beta"), "n_sector": F.col("in_sector"), "n_past": F.col("first") <= F.col("date"), "n_future": F.col("last") > F.col("date")}
+    parts = {c: F.coalesce(e, F.lit(False)) for c, e in parts.items()}
+    every = functools.reduce(lambda p, q: p & q, parts.values())
+    g = names.groupBy("date").agg(F.count(F.lit(1)).alias("n_universe"), *[F.count_if(e).alias(c) for c, e in parts.items()], F.count_if(every).alias("n_common"), F.count_if(every & F.col("alpha").isNotNull()).alias("n_alpha"))
+    got = dates.select("date").distinct().join(g, "date", "left").join(counted, "date", "left").fillna(0, ["n_universe", *parts, "n_common", "n_alpha", "n_days", "n_holding"])
+    tests = [F.col("n_universe") == 0, F.col("n_days") == 0, F.col("n_holding") == 0, F.col("n_composite") == 0, F.col("n_days") < window, F.col("n_holding") < holding, F.col("n_common") < least]
+    reason = F.lit(None).cast("string")
+    for text, test in reversed(list(zip(SKIPS, tests, strict=True))):
+        reason = F.when(test, text).otherwise(reason)
+    return got.withColumn("skip_reason", reason)
+
+
 def covariance_windows(returns: DataFrame, members: DataFrame, window: int) -> DataFrame:
     """date, days: for each date of ``members`` the complete days among its last ``window`` days.
 
@@ -95,9 +141,7 @@ def covariance_windows(returns: DataFrame, members: DataFrame, window: int) -> D
     bitmaps, its complete days the AND, so no row is made for a member and a day. Dates with fewer than ``window`` days or
     fewer than two complete ones are left out.
     """
-    rows = returns.filter(F.col("ret").isNotNull()).select("permno", F.col("date").alias("day"))
-    days = rows.select("day").distinct().withColumn("k", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
-    bits = rows.join(F.broadcast(days), "day").groupBy("permno", F.floor(F.col("k") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(k % {WORD} as int))")).alias("bits"))
+    days, bits = _day_bits(returns)
     words = F.floor(F.col("k") / WORD).cast("int")
     last = members.select("date").distinct().join(F.broadcast(days), F.col("day") <= F.col("date"), "left").groupBy("date").agg(F.max("k").alias("k"))
     size = members.groupBy("date").agg(F.countDistinct("permno").alias("n_members"))

@@ -133,6 +133,12 @@ SQL = {
     "factors_daily": """select cast(l_shipdate as date) as date, round(avg(l_discount) - 0.05, 8) as mktrf,
        round(coalesce(avg(l_discount) filter (where l_quantity < 25) - avg(l_discount) filter (where not l_quantity < 25), 0), 8) as smb,
        round(coalesce(avg(l_discount) filter (where l_tax < 0.04) - avg(l_discount) filter (where not l_tax < 0.04), 0), 8) as hml, round(avg(l_tax) / 252, 8) as rf from lineitem group by 1""",
+    "factors_monthly": "select last_day(cast(l_shipdate as date)) as date, round(avg(l_discount) - 0.05, 8) as mkt_rf, "
+    + ", ".join(
+        f"round(coalesce(avg(l_discount) filter (where {c}) - avg(l_discount) filter (where not {c}), 0), 8) as {n}"
+        for n, c in (("smb", "l_quantity < 25"), ("hml", "l_tax < 0.04"), ("rmw", "l_linestatus = 'O'"), ("cma", "l_returnflag = 'A'"), ("mom", "l_linenumber < 3"))
+    )
+    + " from lineitem group by 1",
     "fundamentals": """select q.permno, 'G' || lpad(cast(q.permno as varchar), 6, '0') as gvkey, cast(datadate + 45 as date) as rdq, datadate, cast(year(q) as int) as fyearq, cast(quarter(q) as int) as fqtr,
        round((revtq - cogsq) / 1e6, 12) as epspxq, 1.0::double as ajexq, revtq, cogsq, atq, cast(n_regionkey as varchar) as gsector, cast(n_nationkey as varchar) as ggroup
        from (select *, last_day(cast(q + interval 2 month as date)) as datadate from (

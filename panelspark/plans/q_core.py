@@ -11,6 +11,7 @@ from ..operators.calendar import month_end_trading_days, rebalance_dates
 from ..schemas import r6, ratio
 from . import adapters as a
 from .registry import query
+from .sql_functions import t_two_sided
 
 R = r6
 HOLD = 21
@@ -473,10 +474,10 @@ def q_ic(spark, d):
     return R(period_ic(spark, d))
 
 
-@query("ic_summary", f"with {IC} select signal, cast(year(rebalance_date) as int) as year, count(ic_pearson) as n, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson), 6) as std_ic, round(avg(ic_pearson) / (stddev_samp(ic_pearson) / sqrt(count(ic_pearson))), 6) + 0.0::double as t_stat, round(avg(ic_pearson) / stddev_samp(ic_pearson), 6) + 0.0::double as ir, round(avg(case when ic_pearson > 0 then 1.0::double else 0 end), 6) as hit_rate from ic where ic_pearson is not null group by 1, 2", *PANELS)
+@query("ic_summary", f"with {IC}, it as (select signal, year(rebalance_date) as year, count(ic_pearson) as n, avg(ic_pearson) / (stddev_samp(ic_pearson) / sqrt(count(ic_pearson))) as t from ic where ic_pearson is not null group by 1, 2), ip as (select signal, year, {t_two_sided('t', '(n - 1)')} as p from it), isum as (select signal, cast(year(rebalance_date) as int) as year, count(ic_pearson) as n, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson), 6) as std_ic, round(avg(ic_pearson) / (stddev_samp(ic_pearson) / sqrt(count(ic_pearson))), 6) + 0.0::double as t_stat, round(avg(ic_pearson) / stddev_samp(ic_pearson), 6) + 0.0::double as ir, round(avg(case when ic_pearson > 0 then 1.0::double else 0 end), 6) as hit_rate from ic where ic_pearson is not null group by 1, 2) select isum.*, round(p, 6) as p_value from isum join ip on ip.signal = isum.signal and ip.year = isum.year", *PANELS)
 def q_ic_summary(spark, d):
     got = series.ic_summary(period_ic(spark, d).withColumn("year", F.year("rebalance_date")), ["signal", "year"])
-    return R(got.drop("p_value"))
+    return R(got)
 
 
 @query("ic_ci", f"with {IC} select signal, round(avg(ic_pearson), 6) + 0.0::double as mean_ic, round(stddev_samp(ic_pearson) / sqrt(count(*)), 6) as se, round(avg(ic_pearson) - 1.96 * stddev_samp(ic_pearson) / sqrt(count(*)), 6) + 0.0::double as low, round(avg(ic_pearson) + 1.96 * stddev_samp(ic_pearson) / sqrt(count(*)), 6) + 0.0::double as high from ic where ic_pearson is not null group by 1", *PANELS)

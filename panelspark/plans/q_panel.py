@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import panel, signals
+from ..operators import inference, panel, signals
 from ..schemas import nan_to_null, r6 as R, ratio
 from ..sources import io
 from . import adapters as a
 from .registry import query
+from .sql_functions import chi2_tail, f_tail
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -394,27 +395,23 @@ def q_leverage(spark, d):
 COOK = "cook as (select *, case when leverage < 1 - 1e-9 then residual * residual / ((nk + 1) * mse) * leverage / pow(1 - leverage, 2) end as cooks from (select r.*, g.nk, avg(residual * residual) over (partition by r.month) as mse from resid r join (select month, count(distinct ggroup) as nk from resid group by 1) g using (month)))"
 
 
-def cooks(spark, d):
-    r = residuals(spark, d)
-    k = r.groupBy("month").agg(F.countDistinct("ggroup").alias("nk"))
-    r = r.join(k, "month").withColumn("mse", F.avg(F.col("residual") * F.col("residual")).over(Window.partitionBy("month")))
-    h = F.col("leverage")
-    return r.withColumn("cooks", F.when(h < 1 - 1e-9, ratio(F.col("residual") * F.col("residual"), (F.col("nk") + 1) * F.col("mse")) * h / F.pow(1 - h, F.lit(2))))
-
-
 @query("cooks_distance", f"with {RESID}, {COOK} select permno, month, round(cooks, 6) as cooks from cook", "returns_monthly", "fundamentals")
 def q_cooks(spark, d):
-    return R(cooks(spark, d).select("permno", "month", "cooks"))
+    return R(inference.group_influence(residuals(spark, d)).select("permno", "month", "cooks"))
+
+
+#: Breusch-Pagan of the same regressions: squared residuals within groups, less their slope on size.
+BP = """bq as (select *, residual * residual as q, residual * residual - avg(residual * residual) over c as qy, ls - avg(ls) over c as qs from resid window c as (partition by month, ggroup)),
+br as (select *, sum(qs * qs) over m as bxx, sum(qy * qs) over m as bxy from bq window m as (partition by month)),
+bs as (select month, count(*) as n, count(distinct ggroup) + 1 as k, 1 - sum(pow(qy - case when bxx > 1e-12 then bxy / bxx else 0 end * qs, 2)) / nullif(var_pop(q) * count(*), 0) as r2 from br group by 1),
+bp as (select *, n * r2 as lm, (r2 / (k - 1)) / nullif((1 - r2) / (n - k), 0) as f from bs)"""
+DIAGNOSED = f"""cw as (select *, count(*) over (partition by month) as nn from cook), dg as (select month, count(*) as n_obs, cast(any_value(nk) + 1 as int) as n_params, count(*) filter (where leverage > 0.99) as n_degenerate, 1 - var_pop(residual) / nullif(var_pop(ret), 0) as r2,
+max(leverage) as max_leverage, avg(leverage) as mean_leverage, count(*) filter (where leverage > 2.0::double * (nk + 1) / nn) as n_high_leverage, max(cooks) as max_cooks, max(cooks) filter (where leverage <= 0.99) as max_cooks_clean, count(*) filter (where cooks > 4.0::double / nn and leverage <= 0.99) as n_high_cooks, skewness(residual) as skew, kurtosis(residual) as kurt from cw group by month)"""
 
 
-@query("resmom_diagnostics", f"with {RESID}, {COOK} select month, count(*) as n, any_value(nk) + 1 as n_params, round(1 - sum(residual * residual) / nullif(sum(pow(ret, 2)) - count(*) * pow(avg(ret), 2), 0), 5) as r2, round(max(leverage), 6) as max_leverage, round(avg(leverage), 6) as mean_leverage, count(*) filter (where cooks > 4.0 / n_names) as n_high_cook from cook group by month", "returns_monthly", "fundamentals")
+@query("resmom_diagnostics", f"with {RESID}, {COOK}, {BP}, {DIAGNOSED} select dg.month, n_obs, n_params, n_degenerate, round(dg.r2, 6) + 0.0::double as r2, round(max_leverage, 6) as max_leverage, round(mean_leverage, 6) as mean_leverage, n_high_leverage, round(max_cooks, 6) as max_cooks, round(max_cooks_clean, 6) as max_cooks_clean, n_high_cooks, round(skew, 6) + 0.0::double as skew, round(kurt, 6) + 0.0::double as kurt, round(lm, 6) + 0.0::double as lm, round({chi2_tail('lm', '(k - 1)')}, 6) as lm_p, round(f, 6) + 0.0::double as f, round({f_tail('f', '(k - 1)', '(n - k)')}, 6) as f_p from dg join bp using (month)", "returns_monthly", "fundamentals")
 def q_resdiag(spark, d):
-    c = cooks(spark, d)
-    g = c.groupBy("month").agg(
-        F.count(F.lit(1)).alias("n"), (F.any_value("nk") + 1).alias("n_params"), F.round(1 - ratio(F.sum(F.col("residual") * F.col("residual")), F.sum(F.col("ret") * F.col("ret")) - F.count(F.lit(1)) * F.pow(F.avg("ret"), F.lit(2))), 5).alias("r2"),
-        F.max("leverage").alias("max_leverage"), F.avg("leverage").alias("mean_leverage"), F.count_if(F.col("cooks") > 4.0 / F.col("n_names")).alias("n_high_cook"),
-    )
-    return R(g, "max_leverage", "mean_leverage")
+    return R(inference.month_diagnostics(residuals(spark, d)))
 
 
 @query("sig_resmom", f"with {RESID} select permno, month, round(raw_signal, 6) + 0.0::double as raw_signal from (select permno, month, sum(residual) over (partition by permno order by month rows between 12 preceding and 2 preceding) as raw_signal, row_number() over (partition by permno order by month) as k from resid) where k > 12", "returns_monthly", "fundamentals")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_cdf
+from ..functions.distributions import normal_cdf as spark_normal_cdf
 from ..operators import costs, inference, portfolio, regression, series, signals
 from ..operators.asof import asof_by_key
 from ..schemas import r6 as R, ratio
 from . import adapters as a
 from .q_core import BETA, IC, LIMITS, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, dykstra_sql, period_ic, weighted
-from .q_panel import EPS, EXCESS, RESID, RESID_ASOF, ols3_sql, residuals, residuals_as_of
+from .q_panel import BP, EPS, EXCESS, RESID, RESID_ASOF, ols3_sql, residuals, residuals_as_of
 from .registry import query
+from .sql_functions import chi2_tail, f_tail, normal_cdf, normal_ppf, normal_two_sided
 
 SER = "ser as (select cast(s_nationkey as varchar) as series_id, date, round(avg(ret), 13) as ret from returns_monthly join supplier on s_suppkey = permno group by 1, 2)"
 
@@ -82,11 +86,11 @@ def q_episodes(spark, d):
     return R(series.drawdown_episodes(monthly_series(spark, d)), "depth")
 
 
-@query("worst_drawdowns", f"with {SER}, {CURVE}, {EPISODES} select series_id, peak_date, depth, rk from (select *, row_number() over (partition by series_id order by depth, peak_date) as rk from ep) where rk <= 3", "returns_monthly")
+@query("worst_drawdowns", f"with {SER}, {CURVE}, {EPISODES} select series_id, peak_date, depth, rk from (select *, row_number() over (partition by series_id order by depth, peak_date) as rk from ep) where rk <= 10", "returns_monthly")
 def q_worst(spark, d):
     e = R(series.drawdown_episodes(monthly_series(spark, d)), "depth")
     rk = F.row_number().over(Window.partitionBy("series_id").orderBy("depth", "peak_date"))
-    return e.select("series_id", "peak_date", "depth", rk.cast("long").alias("rk")).filter("rk <= 3")
+    return e.select("series_id", "peak_date", "depth", rk.cast("long").alias("rk")).filter("rk <= 10")
 
 
 @query("max_drawdown", f"with {SER}, {CURVE} select series_id, round(least(min(drawdown), 0), 6) + 0.0::double as max_drawdown from dd group by 1", "returns_monthly")
@@ -315,11 +319,27 @@ def q_variants(spark, d):
     return R(held(spark, d, out, "variant").withColumn("part", part).select("variant", "part", "date", "realized_return", "n_names"))
 
 
-@query("period_inputs", f"with {BETA}, n as (select u.date, count(*) as n_universe, count(b.beta) as n_beta from universe u left join beta b on b.date = u.date and b.permno = u.permno group by 1) select date, n_universe, n_beta, case when n_universe < 5 then 'small universe' when n_beta < 5 then 'too few betas' end as skip_reason from n", "returns_daily", "factors_daily", "universe")
+COV_DAYS, HOLDING, COMMON = 500, 21, 75
+#: A calendar that begins and ends before and after the data, so that every reason to skip a period occurs.
+CALENDAR = "cal as (select cast(m - cast(greatest(0, isodow(m) - 5) as int) as date) as date from (select last_day(cast(unnest(generate_series(date_trunc('month', min(date)) - interval 3 month, max(date) + interval 2 month, interval 1 month)) as date)) as m from returns_daily))"
+INPUTS = f"""pu as (select distinct date, permno from universe), pd as (select u.date, count(distinct r.date) filter (where r.date <= u.date) as n_days, count(distinct r.date) filter (where r.date > u.date) as n_holding from pu u join returns_daily r on r.permno = u.permno group by 1),
+pe as (select permno, min(date) as f, max(date) as l from returns_daily group by 1),
+pn as (select u.date, u.permno, c.composite_z as alpha, c.permno is not null as a, b.permno is not null as b, s.permno is not null as c, coalesce(e.f <= u.date, false) as p, coalesce(e.l > u.date, false) as q
+  from pu u left join pe e on e.permno = u.permno left join comp_all c on c.date = u.date and c.permno = u.permno left join (select * from beta where beta is not null) b on b.date = u.date and b.permno = u.permno left join (select * from sec where sector is not null) s on s.date = u.date and s.permno = u.permno),
+pg as (select date, count(*) as n_universe, count(*) filter (where a) as n_composite, count(*) filter (where b) as n_beta, count(*) filter (where c) as n_sector, count(*) filter (where p) as n_past, count(*) filter (where q) as n_future, count(*) filter (where a and b and c and p and q) as n_common, count(*) filter (where a and b and c and p and q and alpha is not null) as n_alpha from pn group by 1),
+pi as (select cal.date, {', '.join(f'coalesce({c}, 0) as {c}' for c in ('n_universe', 'n_composite', 'n_beta', 'n_sector', 'n_past', 'n_future', 'n_common', 'n_alpha', 'n_days', 'n_holding'))} from cal left join pg on pg.date = cal.date left join pd on pd.date = cal.date)"""
+
+
+@query("period_inputs", f"with {SIGNALS_SQL}, {_composite_sql('all', SIGNALS)}, {BETA.replace('win as', 'bwin as').replace('from win join', 'from bwin join')}, {SECTOR}, {CALENDAR}, {INPUTS} select *, case when n_universe = 0 then 'no universe' when n_days = 0 then 'no returns up to the date' when n_holding = 0 then 'no returns after the date' when n_composite = 0 then 'no composite' when n_days < {COV_DAYS} then 'short covariance window' when n_holding < {HOLDING} then 'short holding period' when n_common < {COMMON} then 'few common names' end as skip_reason from pi", *SPANELS)
 def q_inputs(spark, d):
-    b = beta_panel(spark, d).select("date", "permno", "beta")
-    g = a.universe(spark, d).join(b, ["date", "permno"], "left").groupBy("date").agg(F.count(F.lit(1)).alias("n_universe"), F.count("beta").alias("n_beta"))
-    return g.withColumn("skip_reason", F.when(F.col("n_universe") < 5, "small universe").when(F.col("n_beta") < 5, "too few betas"))
+    from ..operators import xs as cross
+    from ..operators.calendar import rebalance_dates
+
+    r = a.returns_daily(spark, d)
+    span = r.agg(F.add_months(F.min("date"), -3).alias("start"), F.add_months(F.max("date"), 2).alias("end"))
+    s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
+    c = cross.composite(signal_panels(spark, d))
+    return portfolio.period_inputs(rebalance_dates(span), a.universe(spark, d), r, c, beta_panel(spark, d), s, COV_DAYS, HOLDING, COMMON)
 
 
 # diagnostics and inference ----------------------------------------------------------------------------------------------
@@ -346,12 +366,12 @@ def q_dw_panel(spark, d):
     return R(dw.groupBy(label.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg("dw").alias("mean_dw")))
 
 
-@query("qq_points")
+@query("qq_points", f"with {RESID}, qr as (select month, residual, row_number() over (partition by month order by residual) as i, count(*) over (partition by month) as n from resid), qd as (select i, n, case when i = 1 then 1 - pow(0.5::double, 1.0::double / n) when i = n then pow(0.5::double, 1.0::double / n) else (i - 0.3175::double) / (n + 0.365::double) end as p from (select distinct i, n from qr)), qt as (select *, {normal_ppf('p')} as t from qd) select month, round(residual, 6) + 0.0::double as observed, cast(i as int) as i, n, round(p, 6) as p, round(t, 6) + 0.0::double as theoretical from qr join qt using (i, n)", "returns_monthly", "fundamentals")
 def q_qq(spark, d):
     return R(inference.qq_points(residuals(spark, d), ["month"]))
 
 
-@query("breusch_pagan")
+@query("breusch_pagan", f"with {RESID}, {BP} select month, n, cast(k as int) as k, round(r2, 6) + 0.0::double as r2, round(lm, 6) + 0.0::double as lm, round(f, 6) + 0.0::double as f, round({chi2_tail('lm', '(k - 1)')}, 6) as lm_p, round({f_tail('f', '(k - 1)', '(n - k)')}, 6) as f_p from bp", "returns_monthly", "fundamentals")
 def q_bp(spark, d):
     return R(inference.breusch_pagan(residuals(spark, d)))
 
@@ -415,9 +435,38 @@ def q_supf_regression(spark, d):
     return R(regression.sup_f(design(spark, d), "series_id", "ret", DESIGN))
 
 
-@query("spanning_regression")
+FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom")
+SIX = "sm as (select series_id, date, ret, " + ", ".join(FACTORS) + " from ser join factors_monthly using (date))"
+SPAN_LAGS = (4, 6, 8)
+
+
+def spanning_sql() -> str:
+    """CTE spans: coefficient and HAC error of each term, from the part of it that the other terms leave."""
+    terms = ["one", *FACTORS]
+    out, ends = ["s0 as (select *, 1.0::double as one from sm)"], []
+    for t, term in enumerate(terms):
+        order = [x for x in terms if x != term]
+        last = "s0"
+        for i, f in enumerate(order):
+            rest = [*order[i + 1 :], term, "y"]
+            cols = ", ".join(f"{'ret' if c == 'y' and i == 0 else c} - coalesce(sum({'ret' if c == 'y' and i == 0 else c} * {f}) over w / nullif(sum({f} * {f}) over w, 0), 0) * {f} as {c}" for c in rest)
+            out.append(f"o{t}_{i} as (select series_id, date, ret, {cols} from {last} window w as (partition by series_id))")
+            last = f"o{t}_{i}"
+        out.append(f"e{t} as (select series_id, date, ret, {term} as x, sum(y * {term}) over w / sum({term} * {term}) over w as coef, y - sum(y * {term}) over w / sum({term} * {term}) over w * {term} as e from {last} window w as (partition by series_id))")
+        lagged = ", ".join(f"lag(x * e, {j}) over (partition by series_id order by date) as u{j}" for j in range(max(SPAN_LAGS) + 1))
+        out.append(f"u{t} as (select *, {lagged} from e{t})")
+        sums = ", ".join(f"coalesce(sum(u0 * u{j}), 0) as g{j}" for j in range(max(SPAN_LAGS) + 1))
+        out.append(f"m{t} as (select series_id, any_value(coef) as coef, sum(x * x) as xx, sum(e * e) as sse, var_pop(ret) * count(*) as sst, count(*) as n, {sums} from u{t} group by 1)")
+        name = "alpha" if term == "one" else term
+        for lag in SPAN_LAGS:
+            s2 = " + ".join(["g0", *[f"2 * (1 - {j} / {lag + 1}.0::double) * g{j}" for j in range(1, lag + 1)]])
+            ends.append(f"select series_id, {lag} as lag, '{name}' as term, coef, sqrt({s2}) / xx as se, 1 - sse / sst as r2, n from m{t}")
+    return ", ".join(out) + f", spans as ({' union all '.join(ends)})"
+
+
+@query("spanning_regression", f"with {SER}, {SIX}, {spanning_sql()}, sa as (select *, max(coef) filter (where term = 'alpha') over (partition by series_id, lag) * 12 as ann_alpha from spans where n >= 30) select series_id, lag, term, round(coef, 6) + 0.0::double as coef, round(se, 6) as se, round(coef / se, 6) + 0.0::double as t_stat, round(r2, 6) as r2, round(1 - (1 - r2) * (n - 1) / (n - 7), 6) + 0.0::double as adj_r2, round(ann_alpha, 6) + 0.0::double as ann_alpha, n from sa", "returns_monthly", "factors_monthly")
 def q_spanning(spark, d):
-    return R(inference.spanning_regression(with_market(spark, d), ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"], [4, 6, 8]))
+    return R(inference.spanning_regression(with_market(spark, d), list(FACTORS), list(SPAN_LAGS)))
 
 
 CUTOFFS = ("1997-01-01", "1999-07-01")
@@ -451,9 +500,24 @@ def q_boot(spark, d):
 BLOCKS = (3, 4, 6, 8)
 
 
-@query("bootstrap_alpha", f"with {SER}, {MKT}, sm as (select series_id, date, ret, x from ser join mk using (date)), {draws_sql(BLOCKS, 'sm')}, ax as (select series_id, block, replicate, avg(ret) - covar_pop(ret, x) / nullif(var_pop(x), 0) * avg(x) as v from rw group by 1, 2, 3) select series_id, block, round(quantile_cont(v, 0.025) * 12, 6) + 0.0::double as low, round(quantile_cont(v, 0.975) * 12, 6) + 0.0::double as high, round(least(1.0::double, 2 * least(avg(case when v <= 0 then 1.0::double else 0 end), avg(case when v >= 0 then 1.0::double else 0 end))), 6) as p_value from ax group by 1, 2", "returns_monthly")
+def alpha_sql(source: str, keys: str) -> str:
+    """CTE al (keys, alpha, sharpe) of groups of rows: the constant's part that no factor explains, by successive orthogonalisation."""
+    cols = [*FACTORS, "one"]
+    steps = [f"g0 as (select {keys}, ret, {', '.join(FACTORS)}, 1.0::double as one from {source})"]
+    for i, f in enumerate(FACTORS):
+        rest = ", ".join(f"{c} - coalesce(sum({c} * {f}) over w / nullif(sum({f} * {f}) over w, 0), 0) * {f} as {c}" for c in cols[i + 1 :])
+        steps.append(f"g{i + 1} as (select {keys}, ret, {rest} from g{i} window w as (partition by {keys}))")
+    return ", ".join(steps) + f", al as (select {keys}, sum(ret * one) / sum(one * one) as alpha, avg(ret) / stddev_samp(ret) as sharpe, count(*) as n from g{len(FACTORS)} group by {keys})"
+
+
+def _interval(c: str, scale: str) -> str:
+    two = f"least(1.0::double, 2 * least(avg(case when {c} <= 0 then 1.0::double else 0 end), avg(case when {c} >= 0 then 1.0::double else 0 end)))"
+    return f"round(quantile_cont({c}, 0.025) * {scale}, 6) + 0.0::double as {c}_low, round(quantile_cont({c}, 0.975) * {scale}, 6) + 0.0::double as {c}_high, round({two}, 6) as {c}_p"
+
+
+@query("bootstrap_alpha", f"with {SER}, {SIX}, {draws_sql(BLOCKS, 'sm')}, {alpha_sql('rw', 'series_id, block, replicate')}, pt as (select * from ({alpha_sql('sm', 'series_id').replace('al as', 'point as').join(('with ', ' select * from point'))})), bt as (select series_id, block, any_value(n) as n, cast(count(*) as int) as n_replicates, {_interval('sharpe', 'sqrt(12)')}, {_interval('alpha', '12')} from al group by 1, 2) select bt.*, round(pt.sharpe * sqrt(12), 6) + 0.0::double as sharpe, round(pt.alpha * 12, 6) + 0.0::double as alpha from bt join pt using (series_id)", "returns_monthly", "factors_monthly")
 def q_boot_alpha(spark, d):
-    return R(inference.bootstrap_alpha(with_market(spark, d), BLOCKS, replicates=100, factor="mkt_rf"))
+    return R(inference.bootstrap_joint(with_market(spark, d), FACTORS, BLOCKS, replicates=100))
 
 
 @query("sharpe_ci_compare", f"with {SER}, {SHARPE}, {BOOT} select series_id, {SHARPE_CI}, round(low, 6) + 0.0::double as boot_low, round(high, 6) + 0.0::double as boot_high from sc join bs using (series_id)", "returns_monthly")
@@ -463,28 +527,45 @@ def q_compare(spark, d):
     return R(series.sharpe_ci(s).select("series_id", "sharpe", "ci_low", "ci_high").join(b, "series_id"))
 
 
-@query("series_significance")
+SIG_LAGS, SIG_BLOCKS = (3, 6, 12), (3, 6, 12)
+
+
+@query("series_significance", f"with {SER}, sx as (select series_id, date, ret as x from ser), {hac_sql('sx', 'series_id', SIG_LAGS)}, {draws_sql(SIG_BLOCKS)}, bx as (select series_id, block, replicate, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as x from rw group by 1, 2, 3), bs as (select series_id, block, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high from bx group by 1, 2), {POINT}, hp as (select *, mean / nullif(hac_se, 0) as hac_t from hac) select series_id, n, lag, block, round(mean, 6) + 0.0::double as mean, round(hac_se, 6) as hac_se, round(mean / nullif(sd / sqrt(n), 0), 6) + 0.0::double as naive_t, round(hac_t, 6) + 0.0::double as hac_t, round({normal_two_sided('hac_t')}, 6) as p_value, round(sharpe, 6) + 0.0::double as sharpe, round(low, 6) + 0.0::double as low, round(high, 6) + 0.0::double as high, low > 0 or high < 0 as excludes_zero from hp join bs using (series_id) join pt using (series_id)", "returns_monthly")
 def q_significance(spark, d):
+    """HAC and bootstrap of each series' mean, over several lags and block lengths."""
     s = monthly_series(spark, d)
-    h = inference.hac_mean(s, (4,)).withColumn("p_value", inference.normal_two_sided(F.col("hac_t")))
-    b = inference.bootstrap_sharpe(s, replicates=100)
+    h = inference.hac_mean(s, SIG_LAGS).withColumn("p_value", inference.normal_two_sided(F.col("hac_t")))
+    b = functools.reduce(DataFrame.unionByName, [inference.bootstrap_sharpe(s, block, replicates=100).withColumn("block", F.lit(block)) for block in SIG_BLOCKS])
     both = h.join(b.drop("n_replicates"), "series_id").withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
     return R(both)
 
 
-
-
 def trials(spark, d):
+    """Moments of each nation's series; the nations of a region are a family of trials."""
     t = inference.trial_moments(monthly_series(spark, d))
-    return t.withColumnsRenamed({"sr": "sharpe"}).withColumn("family", (F.col("series_id").cast("int") % 3).cast("string"))
+    region = a.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("series_id"), F.col("n_regionkey").cast("string").alias("family"))
+    return t.withColumnsRenamed({"sr": "sharpe"}).join(region, "series_id")
+
+
+TRIALS = "tr as (select s.series_id, cast(n_regionkey as varchar) as family, count(ret) as n, avg(ret) / nullif(stddev_samp(ret), 0) as sharpe, skewness(ret) as skew, kurtosis(ret) + 3 as kurt from ser s join nation on cast(n_nationkey as varchar) = s.series_id group by 1, 2)"
+
+
+def expected_sql(source: str, keys: str, name: str) -> str:
+    """CTE of the expected best Sharpe ratio of each group of trials."""
+    best = f"sd * ((1 - {inference.EULER}) * {normal_ppf('(1 - 1.0::double / n)')} + {inference.EULER} * {normal_ppf(f'(1 - 1.0::double / (n * {math.e}))')})"
+    return f"{name}_g as (select {keys}, stddev_samp(sharpe) as sd, count(*) as n from {source} group by all), {name} as (select *, case when n >= 2 and sd * sd >= 1e-12 then {best} end as expected_max from {name}_g)"
 
 
-@query("expected_max_sharpe")
+def dsr_sql() -> str:
+    return normal_cdf("((sharpe - expected_max) * sqrt(n - 1) / sqrt(case when 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe > 0 then 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe end))")
+
+
+@query("expected_max_sharpe", f"with {SER}, {TRIALS}, {expected_sql('tr', 'family', 'ex')} select family, round(sd, 6) as sd, n, round(expected_max, 6) + 0.0::double as expected_max from ex", "returns_monthly")
 def q_expected(spark, d):
     return R(inference.expected_max_sharpe(trials(spark, d)))
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", f"with {SER}, {TRIALS}, {expected_sql('tr', 'family', 'ex')} select series_id, family, round(sharpe, 6) + 0.0::double as sharpe, round(expected_max, 6) + 0.0::double as expected_max, round({dsr_sql()}, 6) as dsr from tr join (select family, expected_max from ex) using (family)", "returns_monthly")
 def q_deflated(spark, d):
     t = trials(spark, d)
     e = inference.expected_max_sharpe(t).select("family", "expected_max")
@@ -492,13 +573,19 @@ def q_deflated(spark, d):
     return R(own.select("series_id", "family", "sharpe", "expected_max", inference.deflated_sharpe(F.col("sharpe"), F.col("expected_max"), F.col("n"), F.col("skew"), F.col("kurt")).alias("dsr")))
 
 
-@query("synthetic_trials")
+COUNTS = (3, 7, 20)
+SYNTHETIC = f"""fm as (select family, avg(sharpe) as mean, stddev_samp(sharpe) as sd from tr group by 1),
+zi as (select trials, i, 0.05::double + 0.9::double * i / (trials - 1) as p from (select unnest([{', '.join(map(str, COUNTS))}]) as trials), (select unnest(generate_series(0, {max(COUNTS) - 1})) as i) where i < trials), zq as (select *, {normal_ppf('p')} as z from zi),
+sy as (select family, trials, mean + sd * (z - avg(z) over w) / stddev_samp(z) over w as sharpe from fm, zq window w as (partition by family, trials))"""
+
+
+@query("synthetic_trials", f"with {SER}, {TRIALS}, {SYNTHETIC}, {expected_sql('sy', 'family, trials', 'ex')} select series_id, family, cast(trials as int) as trials, round(sharpe, 6) + 0.0::double as sharpe, round(expected_max, 6) + 0.0::double as expected_max, round({dsr_sql()}, 6) as dsr from tr join (select family, trials, expected_max from ex) using (family)", "returns_monthly")
 def q_synthetic(spark, d):
     """Deflated ratios of each series against 3, 7 and 20 pseudo-trials of its family."""
     t = trials(spark, d)
     g = t.groupBy("family").agg(F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("sd"))
     out = None
-    for n in (3, 7, 20):
+    for n in COUNTS:
         e = inference.expected_max_sharpe(inference.synthetic_trials(g, n)).select("family", F.lit(n).alias("trials"), "expected_max")
         out = e if out is None else out.unionByName(e)
     dsr = inference.deflated_sharpe(F.col("sharpe"), F.col("expected_max"), F.col("n"), F.col("skew"), F.col("kurt"))
@@ -516,7 +603,10 @@ def q_supf(spark, d):
     return R(R(inference.sup_f(monthly_series(spark, d)), "sup_f", digits=4), "pre_mean", "post_mean")
 
 
-@query("break_table")
+BREAK = ", bk as (select *, count(*) over () as tests from pb), bv as (select *, -0.99::double + 1.02::double * f as hx from bk), bw as (select *, case when hx <= 0 then 1.0::double else " + chi2_tail("hx", "3.0::double") + " end as p_value from bv)"
+
+
+@query("break_table", f"with {SER}, {SUPF}{BREAK} select series_id, round(f, 6) as sup_f, date as break_date, round(s1 / k, 6) + 0.0::double as pre_mean, round((s - s1) / (n - k), 6) + 0.0::double as post_mean, k as n_pre, n - k as n_post, round(p_value, 6) as p_value, p_value < 0.05 as rejects, p_value * tests < 0.05 as rejects_bonferroni from bw", "returns_monthly")
 def q_breaks(spark, d):
     b = inference.sup_f(monthly_series(spark, d))
     n = b.agg(F.count(F.lit(1)).alias("tests"))
@@ -524,13 +614,13 @@ def q_breaks(spark, d):
     return R(b.withColumns({"rejects": F.col("p_value") < 0.05, "rejects_bonferroni": F.col("p_value") * F.col("tests") < 0.05}).drop("tests"))
 
 
-@query("hansen_pvalue")
+@query("hansen_pvalue", f"with {SER}, {SUPF}{BREAK} select series_id, round(f, 6) as sup_f, round(p_value, 6) as p_value from bw", "returns_monthly")
 def q_hansen(spark, d):
     return R(inference.sup_f(monthly_series(spark, d)).select("series_id", "sup_f", inference.hansen_pvalue(F.col("sup_f")).alias("p_value")))
 
 
-@query("normal_scores")
+@query("normal_scores", f"with {SER}, sx as (select series_id, date, ret as x from ser), {hac_sql('sx', 'series_id', (3,))}, ns as (select series_id, mean / nullif(hac_se, 0) as hac_t from hac) select series_id, round(hac_t, 6) + 0.0::double as hac_t, round({normal_cdf('hac_t')}, 6) as p from ns", "returns_monthly")
 def q_scores(spark, d):
-    return R(inference.hac_mean(monthly_series(spark, d), (3,)).select("series_id", "hac_t", normal_cdf("hac_t").alias("p")))
+    return R(inference.hac_mean(monthly_series(spark, d), (3,)).select("series_id", "hac_t", spark_normal_cdf("hac_t").alias("p")))
 
 
