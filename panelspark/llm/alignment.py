@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import gc
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain, compress, count
+from itertools import accumulate, chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +41,8 @@ CACHE_RUNS, CACHED_LENGTH = 250_000, 40
 #: Runs that are aligned in one go.
 TOGETHER = 20_000
 BLANK_MARK = "▁"
+#: A blank that does not end a run: after white space, or at either end of a text.
+OPEN = re.compile(r"\s |^ | \Z")
 ASKED, KEPT = 1, 2
 
 SUMMARY = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -93,6 +97,7 @@ class Aligner:
         self.bytes_a = [bytes(of_name.get(c, ord(c) & 0xFF) for c in n) for n in names]
         pieces = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.blank = self.pieces.encode("x ")[len(self.pieces.encode("x")) :]
         self.length_a, self.length_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
         self.decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         #: Where a piece has its mark inside, runs are not independent and texts are taken as one run.
@@ -102,19 +107,30 @@ class Aligner:
 
     def tokens(self, runs: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids on both sides of runs, which come without their first blank."""
-        return [e.ids for e in self.bytewise.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], self.pieces.encode(list(runs), num_threads=1)
-
-    def _gives_back(self, run: str, a: Sequence[int], b: Sequence[int]) -> bool:
-        raw = (" " + run).encode()
-        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+        of_b = self.pieces.encode(list(runs), num_threads=1)
+        if "" in runs:  # a blank at the end of a text; the library encodes no text to no pieces
+            of_b = [b if r else self.blank for r, b in zip(runs, of_b, strict=True)]
+        return [e.ids for e in self.bytewise.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)], of_b
+
+    def _ends(self, runs: Sequence[str], each: Sequence[Sequence[int]], table: Sequence[bytes], length: Sequence[int]) -> tuple[list[int], list[int]] | None:
+        """All ids of one side and their cumulative ends along the runs' bytes; None where some run's tokens are not its bytes."""
+        ids = list(chain.from_iterable(each))
+        if b"".join([table[i] for i in ids]) != "".join([" " + r for r in runs]).encode():
+            return None
+        ends = list(accumulate([length[i] for i in ids]))
+        last = [ends[i - 1] for i in accumulate(map(len, each))]
+        return (ids, ends) if last == list(accumulate([len(r.encode()) + 1 for r in runs])) else None
 
     def aligned(self, runs: Sequence[str]) -> list[Run | None]:
         """Runs aligned together, one after another along their bytes; None where tokens do not give back a run's bytes."""
         each_a, each_b = self.tokens(runs)
-        sound = [self._gives_back(r, a, b) for r, a, b in zip(runs, each_a, each_b, strict=True)]
-        each_a, each_b = list(compress(each_a, sound)), list(compress(each_b, sound))
-        ids_a, ids_b = list(chain.from_iterable(each_a)), list(chain.from_iterable(each_b))
-        ends_a, ends_b = list(accumulate(map(self.length_a.__getitem__, ids_a))), list(accumulate(map(self.length_b.__getitem__, ids_b)))
+        side_a, side_b = self._ends(runs, each_a, self.bytes_a, self.length_a), self._ends(runs, each_b, self.bytes_b, self.length_b)
+        if side_a is None or side_b is None:
+            if len(runs) == 1:
+                return [None]
+            half = len(runs) // 2  # the others are aligned without the runs that do not hold
+            return self.aligned(runs[:half]) + self.aligned(runs[half:])
+        (ids_a, ends_a), (ids_b, ends_b) = side_a, side_b
         sizes = zip(accumulate(map(len, each_a)), map(len, each_a), map(len, each_b), strict=True)
         done, texts, pairs, decimal = [], [], [], self.decimal
         now = next(sizes, None)
@@ -128,13 +144,14 @@ class Aligner:
             if to_a == now[0]:  # the run ends on both sides
                 done.append(Run(now[1], now[2], ";".join(texts), len(texts), array("q", pairs).tobytes()))
                 texts, pairs, now = [], [], next(sizes, None)
-        found = iter(done)
-        return [next(found) if ok else None for ok in sound]
+        return done
 
     def parts(self, text: str) -> list[str]:
         """The runs of a text, each without its first blank."""
         if not self.parted:
             return [text]
+        if not OPEN.search(text):
+            return text.split(" ")
         out, open_part = [], None
         for part in text.split(" "):
             if open_part is not None:
@@ -147,6 +164,14 @@ class Aligner:
     def align(self, texts: Sequence[str | None]) -> Iterator[list[Run] | None]:
         """The runs of each text; None for a text without tokens."""
         parts = [self.parts(t) if t else [] for t in texts]
+        self._learn(parts, long := {})
+        own = self.runs
+        for p in parts:
+            runs = [own[r] if r in own else long[r] for r in p]
+            yield runs if runs and None not in runs else None
+
+    def _learn(self, parts: Sequence[Sequence[str]], long: dict[str, Run | None]) -> None:
+        """All runs of the texts into the cache, or into ``long`` where they are too long for it."""
         if len(self.runs) >= CACHE_RUNS:
             self.runs, self.older = {}, self.runs
         own, older, new = self.runs, self.older, []
@@ -156,14 +181,14 @@ class Aligner:
                     own[r] = older[r]
                 else:
                     new.append(r)
-        long = {}
+        collecting = gc.isenabled()
+        gc.disable()  # many small tuples, and no cycles among them
         for i in range(0, len(new), TOGETHER):
             some = new[i : i + TOGETHER]
             for r, run in zip(some, self.aligned(some), strict=True):
                 (own if len(r) <= CACHED_LENGTH else long)[r] = run
-        for p in parts:
-            runs = [own[r] if r in own else long[r] for r in p]
-            yield runs if runs and None not in runs else None
+        if collecting:
+            gc.enable()
 
 
 @functools.lru_cache(maxsize=1)
