@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .shared import written
+from .shared import whole_row, written
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -50,9 +50,7 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         "rid", "doc_id", "n_points", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
     again = probed.filter("maybe").drop("maybe")
-    # the least of these stays; ~x falls where x grows, at every 64-bit integer
-    best = F.struct(F.bitwise_not("n_points").alias("long"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
-    groups = written(again.groupBy("sha").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = written(again.groupBy("sha").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = again.join(groups, "sha").select(
         "rid", "doc_id", "n_points", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept")
     )
@@ -60,21 +58,21 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    made = written(decide(docs, text, doc_id).select("doc_id", "n_points", "sha", "kept"), "decided")
-    key = ["doc_id", "n_points", "sha"]
-    fate = made.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.max("kept").alias("stays"))
-    # only keys that lose a row are looked up; all others pass
-    touched = written(fate.filter(~F.col("stays") | (F.col("copies") > 1)), "touched")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows whose hash is not repeated pass where they are. Only those that the filter holds are written with a number and
+    grouped by hash, without their texts; the numbers that stay then pick the rows.
+    """
     t = F.coalesce(docs[text], F.lit(""))
-    own = docs.withColumns({
-        "__id": docs[doc_id].cast("long"), "__n": F.char_length(t).cast("long"),
-        "__sha": F.unhex(F.sha2(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", ""), 256)),
-    })
-    hit = own["__id"].eqNullSafe(touched["doc_id"]) & (own["__n"] == touched["n_points"]) & (own["__sha"] == touched["sha"])
-    # what loses a row grows with the table, so it is never broadcast
-    passed = own.join(touched.hint("merge"), hit, "left_anti").select(*docs.columns)
-    repeated = touched.filter("stays")
-    hit = own["__id"].eqNullSafe(repeated["doc_id"]) & (own["__n"] == repeated["n_points"]) & (own["__sha"] == repeated["sha"])
-    one = own.join(repeated.hint("merge"), hit, "left_semi").dropDuplicates(["__id", "__n", "__sha"]).select(*docs.columns)
-    return passed.unionByName(one)
+    sha = F.unhex(F.sha2(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", ""), 256))
+    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.char_length(t).cast("long").alias("n_points"), sha.alias("sha"), whole_row(docs).alias("whole"))
+    bloom = repeats.build(own.select("sha"), lambda b: halves(b.column(0)), docs.count())
+    probed = own.withColumn("maybe", repeats.probe(bloom, halves)("sha"))
+    again = written(probed.filter("maybe").drop("maybe").withColumn("rid", F.monotonically_increasing_id()), "again")
+    stay = again.groupBy("sha").agg(F.min(_best()).alias("best")).select(F.col("best.rid").alias("rid"))
+    return probed.filter(~F.col("maybe")).select("whole.*").unionByName(again.join(stay, "rid", "left_semi").select("whole.*"))
+
+
+def _best() -> Column:
+    """Of equal texts the row with the least value stays; ~x falls where x grows, at every 64-bit integer."""
+    return F.struct(F.bitwise_not("n_points").alias("long"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")

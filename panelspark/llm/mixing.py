@@ -8,8 +8,8 @@ rows per source), the sums are accumulated over the ranges, and only the rows of
 number of ranges grows with the number of rows.
 
 Sizes are words; a null or empty text has size 0 and is taken 0 times. A null source is a source of its own, last in
-order. Repeated rows have the same key and follow each other in any order, so the taken words of the repeats do not
-depend on it as a set. An empty table gives an empty result. The sources themselves (names and sizes) are expected to
+order. Rows that repeat id and text have the same key and go through the sums as one, so it does not matter how many
+there are. An empty table gives an empty result. The sources themselves (names and sizes) are expected to
 fit one task; their documents are not.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, words, written
+from .shared import n_words, whole_row, words, written
 
 #: Fixed weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -55,22 +55,22 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return s.withColumn("target", F.when((F.col("level") < F.col("water")) | F.col("water").isNull(), F.col("cap")).otherwise(F.col("water") * F.col("weight")))
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """Of id and text, so that rows without an id do not share one."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted)."""
-    sized = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")).withColumn("key", random_key(F.col("doc_id"), seed)),
-        "sized",
-    )
-    rows = sized.count()
+def _placed(docs: DataFrame, seed: int, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """source, key, doc_id, size, rows (that are equal in these), source_size, target, before (words before them in their source's order)."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"], n_words(docs["text"]).alias("size"), random_key(docs["doc_id"], docs["text"], seed).alias("key"))
+    # equal rows go as one from here on, so no number of them meets in a task
+    sized = written(rows.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows")), "sized")
     digits = 1
-    while HEX**digits < rows / ROWS_PER_RANGE and digits < 6:
+    while HEX**digits < sized.count() / ROWS_PER_RANGE and digits < 6:
         digits += 1
-    ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranged = sized.withColumns({"range": F.substring("key", 1, digits), "words": F.col("size") * F.col("rows")})
+    sums = ranged.groupBy("source", "range").agg(F.sum("words").alias("range_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most).select("source", "source_size", "target")
     along = Window.partitionBy("s.source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -79,43 +79,68 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, shar
     )
     base = written(base, "bases")
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = (
+    inside = ranged.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
+    return (
         inside.alias("d").join(base.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.range") == F.col("b.range")))
-        .select("doc_id", "d.source", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("before"))
+        .select("d.source", "key", "doc_id", "size", "rows", "source_size", "target", (F.col("base") + F.col("inside")).alias("before"))
     )
+
+
+def _budget() -> tuple[Column, Column]:
+    """Whole epochs of a source, and the words that its last, cut epoch takes."""
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size")
-    cut = F.least(F.greatest(left - F.col("before"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return epochs, budget - epochs * F.col("source_size")
 
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+    epochs, left = _budget()
+    each = _placed(docs, seed, weights, share, most).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    cut = F.least(F.greatest(left - F.col("before") - F.col("i") * F.col("size"), F.lit(0)), F.col("size"))
+    return each.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """``docs`` as the mix takes them: a row for each epoch, and the first words, joined by blanks, of a document that the cut divides.
 
-    Documents of size 0 hold no words to mix and are left out. Rows with the same doc_id, source and size are
-    interchangeable here: they are numbered, and so are their shares.
+    A source's budget ends at one key: rows with a smaller key are taken once more than whole epochs say, rows with a
+    greater one are not, so documents meet their source's line and are neither looked up nor shuffled. Rows that share the
+    key at the cut are equal in id and text: they are numbered, by partition and place, and the first ones are taken.
+    Documents of size 0 hold no words to mix and are left out.
     """
-    taken = mix(docs, **how).filter(F.col("taken") > 0)
-    share = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
-    share = written(share, "shares")
-    sized = docs.withColumn("__size", n_words(docs["text"]))
-    hit = sized["doc_id"].cast("long").eqNullSafe(share["doc_id"]) & sized["source"].eqNullSafe(share["source"]) & (sized["__size"] == share["size"])
-    both = sized.join(share.select("doc_id", "source", "size", F.col("taken").alias("__taken"), F.col("n").alias("__n")).hint("merge"), hit).select(
-        *[sized[c] for c in docs.columns], "__size", "__taken", "__n"
-    )
-    # rows that repeat share what their key takes; the first ones get the larger part
-    alone = both.filter("__n = 1").withColumn("__i", F.lit(0))
-    again = both.filter("__n > 1").withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")) - 1)
-    each = alone.unionByName(again).withColumn("__own", F.expr("__taken div __n + cast(__i < __taken % __n as long)"))
-    part = F.expr("__own % __size").cast("int")
-    pieces = F.expr("if(__own >= __size, array_repeat(0, cast(__own div __size as int)), array())")
-    pieces = F.concat(pieces.cast("array<int>"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = each.withColumn("__part", F.explode(pieces))
-    first_words = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__part")), " ")
-    cut = F.when(F.col("__part") > 0, first_words).otherwise(F.col("text"))
-    out = rows.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__part") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    epochs, left = _budget()
+    placed = _placed(docs, seed, weights, share, most).withColumns({"epochs": epochs, "left": left})
+    line = F.max_by(F.struct("key", "size", (F.col("left") - F.col("before")).alias("rest")), F.when((F.col("before") < F.col("left")) & (F.col("size") > 0), F.col("key")))
+    lines = placed.groupBy("source").agg(F.max("epochs").alias("epochs"), line.alias("cut")).select(F.col("source").alias("of"), "epochs", "cut.*")
+    lines = written(lines, "lines")  # a row for each source
+    text = F.coalesce(docs["text"], F.lit(""))
+    solid = text.rlike("[^\\x20\\x09-\\x0D]")
+    own = docs.filter(solid).select(docs["source"].alias("source"), random_key(docs["doc_id"], docs["text"], seed).alias("own_key"), whole_row(docs).alias("whole"))
+    met = own.join(lines, own["source"].eqNullSafe(lines["of"])).select("own_key", "epochs", "key", "size", "rest", "whole")
+    once_more = F.coalesce(F.col("own_key") < F.col("key"), F.lit(False)).cast("int")
+    times = F.col("epochs").cast("int") + once_more
+    full = met.select(F.explode(F.array_repeat(F.lit(0), times)).alias("part"), "whole")
+    tied = written(met.filter("own_key = key").select("own_key", "size", "rest", "whole").withColumn("row", F.monotonically_increasing_id()), "tied")
+    place = F.shiftright("row", 33).alias("place")  # the partition that the number was given in
+    counts = tied.groupBy("own_key", place).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("own_key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("own_key").alias("tied_key"), F.col("place").alias("tied_place"), before.alias("n_before"), "low")
+    # a partition's rows of one key need not be neighbours, so they are numbered among themselves
+    inside = F.row_number().over(Window.partitionBy("own_key", place).orderBy("row")) - 1
+    numbered = tied.withColumns({"place": F.shiftright("row", 33), "inside": inside}).join(counts, (F.col("own_key") == F.col("tied_key")) & (F.col("place") == F.col("tied_place")))
+    part = F.least(F.greatest(F.col("rest") - (F.col("n_before") + F.col("inside")) * F.col("size"), F.lit(0)), F.col("size"))
+    # a document that is taken as a whole keeps its text
+    parts = numbered.select(F.when(part == F.col("size"), F.lit(0)).otherwise(part).cast("int").alias("part"), "whole", part.alias("own")).filter("own > 0").drop("own")
+    out = full.unionByName(parts)
+    first_words = F.array_join(F.slice(words(F.col("whole.text")), F.lit(1), F.col("part")), " ")
+    cut_text = F.when(F.col("part") > 0, first_words).otherwise(F.col("whole.text"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("whole").getField(c)
+        if c == "text":
+            value = cut_text
+        elif c == "n_chars":
+            value = F.when(F.col("part") > 0, F.char_length(cut_text).cast(docs.schema["n_chars"].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return out.select(*columns)

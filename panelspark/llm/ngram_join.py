@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import partenum, repeats, tally
 from .components import components
-from .shared import partitions, written
+from .shared import partitions, whole_row, written
 from .shingles import class_keys, mixed, shingle_sets
 from .tokens import slices
 
@@ -409,13 +409,16 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Exactly one row of ``docs`` of each component, with the smallest doc_id (null last); documents with empty sets stay.
 
-    A row is known by its doc_id and text, so rows that repeat a doc_id, or have none, stay or go as their texts say.
+    A row is known by its doc_id and text, so rows that repeat a doc_id, or have none, stay or go as their texts say. Rows
+    that are alone in their component pass where they are; only those that a Bloom filter holds of the others' keys are
+    written and looked up.
     """
-    marked = docs.withColumn("__key", F.xxhash64(docs[doc_id].cast("long"), docs[text]))
-    source = _keyed(marked, text, F.col("__key"))
+    number = docs[doc_id].cast("long")
+    marked = docs.select(F.xxhash64(number, docs[text]).alias("key"), number.alias("id"), docs[text].cast("string").alias("text"), whole_row(docs).alias("whole"))
+    source = _keyed(marked, "text", F.col("key"))
     seen = _seen(source, max(partitions(docs.sparkSession), 1))
     labels = components(linked_classes(source, seen))
-    ids = marked.select(F.col("__key").alias("key"), marked[doc_id].cast("long").alias("id")).distinct()
+    ids = marked.select("key", "id").distinct()
     rows = seen.filter((F.col("kind") == tally.PASS) & (F.col("n") > 0)).groupBy(F.col("doc_id").alias("key"), "cls").agg(F.count(F.lit(1)).alias("times"))
     rows = written(rows.join(ids, "key"), "rows")
     firsts = rows.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
@@ -423,13 +426,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     tops = named.groupBy("component").agg(F.min("first").alias("top"))
     top = named.join(tops, "component").select("cls", F.col("top.key").alias("top"), F.col("top.id").alias("top_id"))
     decided = rows.join(top, "cls").withColumn("stays", (F.col("key") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id")))
-    gone = written(decided.filter("not stays").select("key", "id"), "near")
-    # rows equal in doc_id and text, of which one is to stay
-    again = written(decided.filter("stays and times > 1").select("key", "id"), "again")
-
-    def hit(other: DataFrame):
-        return (marked["__key"] == other["key"]) & marked[doc_id].cast("long").eqNullSafe(other["id"])
-
-    left = marked.join(gone, hit(gone), "left_anti")
-    once = marked.join(again, hit(again), "left_semi").dropDuplicates(["__key"])
-    return left.join(again, hit(again), "left_anti").unionByName(once).select(*docs.columns)
+    # rows that go, and those equal in doc_id and text of which one is to stay
+    touched = written(decided.filter("not stays or times > 1").select("key", "id", "stays"), "near")
+    hit = repeats.probe(_members(touched.select("key")), lambda k: _two(k.to_numpy(zero_copy_only=False)))
+    probed = marked.select("key", "id", "whole").withColumn("maybe", hit("key"))
+    held = written(probed.filter("maybe").drop("maybe").withColumn("rid", F.monotonically_increasing_id()), "held")
+    other = touched.select(F.col("key").alias("other_key"), F.col("id").alias("other_id"), "stays")
+    met = held.select("key", "id", "rid").join(other, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
+    once = met.filter("stays").groupBy("key", "id").agg(F.min("rid").alias("rid")).select("rid")
+    stay = met.filter("stays is null").select("rid").unionByName(once)
+    return probed.filter(~F.col("maybe")).select("whole.*").unionByName(held.join(stay, "rid", "left_semi").select("whole.*"))

@@ -20,7 +20,7 @@ SQL = {
     "op7_mixing": rf"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')) as key
+         md5('{SEED}:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BITS_PER_KEY = 16
 HASHES = 4
@@ -91,3 +92,14 @@ def build(df: DataFrame, keys: Keys, n_keys: int, least: int = 2) -> tuple[objec
 def maybe_repeated(bitmap: np.ndarray, bits: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     at = positions(hi, lo, bits)
     return ((bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+
+
+def probe(bloom: tuple[object, int], keys: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[..., Column]:
+    """A column function: whether a row's key may be in the filter; the row's other columns stay where they are."""
+    bitmap, bits = bloom
+
+    @F.arrow_udf("boolean")
+    def found(column: pa.Array) -> pa.Array:
+        return pa.array(maybe_repeated(bitmap.value, bits, *keys(column)) if len(column) else np.zeros(0, bool))
+
+    return found

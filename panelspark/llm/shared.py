@@ -52,3 +52,8 @@ def partitions(spark: SparkSession) -> int:
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system that a URI names, and the path within it."""
     return fs.FileSystem.from_uri(path)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])
