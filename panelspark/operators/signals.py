@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.stop_words import ENGLISH
 from ..functions.windows import trailing_sums
 from ..schemas import mean_of, ratio, require_columns
 
@@ -165,31 +169,73 @@ def latest_filing(sections: DataFrame) -> DataFrame:
     return own.join(best, ["permno", "year", "accession_no"], "left_semi")
 
 
-def term_weights(docs: DataFrame, stop: Sequence[str] = (), min_df: int = 2) -> DataFrame:
-    """doc_id, section_id, term, weight: tf-idf with smooth idf, per section corpus, each document of length 1.
+#: Terms in more than one of so many documents of a corpus are common: a document holds few of them, so there are at most
+#: this many times as many as a document has terms on average, and they are broadcast.
+COMMON = 1000
 
-    Terms are runs of two or more ASCII letters between non-word characters, in lower case.
+
+def dictionary(docs: DataFrame, stop: Sequence[str] = ENGLISH, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(section_id, doc_id, term, tf of every document; section_id, term, idf, common) with smooth idf, per section corpus.
+
+    Terms are runs of two or more ASCII letters between non-word characters, in lower case, without the stop words.
     """
     words = F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+")).alias("term")
-    t = docs.select("doc_id", "section_id", words).filter(F.col("term").rlike("^[a-z]{2,}$") & ~F.col("term").isin(*stop) if stop else F.col("term").rlike("^[a-z]{2,}$"))
+    t = docs.select("doc_id", "section_id", words).filter(F.col("term").rlike("^[a-z]{2,}$"))
+    t = t.filter(~F.col("term").isin(*stop)) if stop else t
     tf = t.groupBy("section_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("section_id", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     n = docs.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
-    idf = df.join(F.broadcast(n), "section_id").select("section_id", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, ["section_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("section_id", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["section_id", "doc_id"]).select("doc_id", "section_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    idf = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    return tf, df.join(F.broadcast(n), "section_id").select("section_id", "term", idf.alias("idf"), (F.col("df") * COMMON > F.col("n")).alias("common"))
+
+
+def _raw_weights(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """tf with the columns of its term and w = tf * idf: common terms are broadcast, so no key of the shuffled join is hot."""
+    often, seldom = terms.filter("common").drop("common"), terms.filter(~F.col("common")).drop("common")
+    key = ["section_id", "term"]
+    hot = tf.join(F.broadcast(often), key)
+    rest = tf.join(F.broadcast(often.select(*key)), key, "left_anti").join(seldom, key)
+    return hot.unionByName(rest).withColumn("w", F.col("tf") * F.col("idf"))
 
 
-def yearly_cosine(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """permno, section_id, year, similarity of each filing to the firm's filing one year before."""
+def term_weights(docs: DataFrame, stop: Sequence[str] = ENGLISH, min_df: int = 2) -> DataFrame:
+    """doc_id, section_id, term, weight: tf-idf, each document of length 1."""
+    w = Window.partitionBy("section_id", "doc_id")
+    return _raw_weights(*dictionary(docs, stop, min_df)).select("doc_id", "section_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).alias("weight"))
+
+
+def term_vectors(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop: Sequence[str] = ENGLISH, min_df: int = 2) -> DataFrame:
+    """doc_id, section_id, ids, weights: one sparse vector per document, sorted by id and of length 1.
+
+    Ids come from the dictionary of all sections, numbered where it is kept: ``keep`` writes a table and reads it back.
+    """
+    tf, terms = dictionary(docs, stop, min_df)
+    numbered = keep(terms.withColumn("id", F.monotonically_increasing_id()))
+    each = _raw_weights(tf, numbered).groupBy("section_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    each = each.withColumn("norm", norm)
+    return each.select("doc_id", "section_id", F.transform("v", lambda x: x["id"]).alias("ids"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
+
+
+@F.arrow_udf(T.DoubleType())
+def sparse_dot(ids: pa.Array, weights: pa.Array, other_ids: pa.Array, other_weights: pa.Array) -> pa.Array:
+    """Dot products of sparse vectors with ascending ids; NULL where a vector is."""
+    out = []
+    for a, x, b, y in zip(ids, weights, other_ids, other_weights, strict=True):
+        if not (a.is_valid and b.is_valid):
+            out.append(None)
+            continue
+        _, i, j = np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True, return_indices=True)
+        out.append(float(x.values.to_numpy()[i] @ y.values.to_numpy()[j]))
+    return pa.array(out, pa.float64())
+
+
+def yearly_cosine(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """permno, section_id, year, similarity of each filing to the firm's filing one year before; 0 without a term in common."""
     w = Window.partitionBy("permno", "section_id").orderBy("year")
-    own = docs.select("permno", "section_id", "year", "doc_id", F.lag("doc_id").over(w).alias("prior"), F.lag("year").over(w).alias("prior_year"))
-    pairs = own.filter(F.col("year") == F.col("prior_year") + 1).select("permno", "section_id", "year", "doc_id", "prior")
-    a = weights.select("doc_id", "term", F.col("weight").alias("wa"))
-    b = weights.select(F.col("doc_id").alias("prior"), "term", F.col("weight").alias("wb"))
-    dot = pairs.join(a, "doc_id").join(b, ["prior", "term"]).groupBy("doc_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return pairs.join(dot, "doc_id", "left").select("permno", "section_id", "year", F.coalesce("dot", F.lit(0.0)).alias("similarity"))
+    own = docs.select("permno", "section_id", "year", "doc_id").join(vectors.drop("section_id"), "doc_id", "left")
+    own = own.withColumns({"p_ids": F.lag("ids").over(w), "p_weights": F.lag("weights").over(w), "p_year": F.lag("year").over(w)}).filter(F.col("year") == F.col("p_year") + 1)
+    return own.select("permno", "section_id", "year", F.coalesce(sparse_dot("ids", "weights", "p_ids", "p_weights"), F.lit(0.0)).alias("similarity"))
 
 
 SECTIONS = {"Item 1": "sim_item1", "Item 1A": "sim_item1a", "Item 7": "sim_item7"}

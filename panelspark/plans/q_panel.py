@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stop_words import ENGLISH
 from ..operators import inference, panel, signals
 from ..schemas import nan_to_null, r6 as R, ratio
 from ..sources import io
@@ -26,6 +27,12 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back, so that it is computed once."""
+    path = io.save_parquet(df, scratch(df.sparkSession, kind), "zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # sources and sinks ----------------------------------------------------------------------------------------------------
 
 
@@ -93,7 +100,9 @@ def q_filings(spark, d):
 @query("ticker_cik_map", "select 'T' || s_suppkey as ticker, case when s_suppkey % 3 > 0 then lpad(cast(s_suppkey * 7 as varchar), 10, '0') end as cik from supplier")
 def q_ticker(spark, d):
     s = a.table(spark, d, "supplier")
-    raw = s.filter("s_suppkey % 3 > 0").select(F.to_json(F.map_from_arrays(F.array(F.col("s_suppkey").cast("string")), F.array(F.struct(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("ticker"), (F.col("s_suppkey") * 7).alias("cik_str"))))).alias("value"))
+    # the map has all suppliers, a third of them under a ticker that no name has
+    known = F.concat(F.when(F.col("s_suppkey") % 3 > 0, "").otherwise("none"), F.col("s_suppkey").cast("string"))
+    raw = s.select(F.to_json(F.map_from_arrays(F.array(F.col("s_suppkey").cast("string")), F.array(F.struct(F.concat(F.lit("t"), known).alias("ticker"), (F.col("s_suppkey") * 7).alias("cik_str"))))).alias("value"))
     return io.resolve_tickers(s.select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker")), io.ticker_map(raw))
 
 
@@ -205,13 +214,15 @@ def q_latest(spark, d):
     return panel.latest_name(a.names(spark, d)).select("permno", "ncusip", "namedt")
 
 
-COMPANIES = "co as (select distinct gvkey, lpad(cast(permno as varchar), 8, '0') || '10' as cusip from fundamentals where permno % 5 > 0 union all select distinct gvkey || 'B', lpad(cast(permno as varchar), 8, '0') || '20' from fundamentals where permno % 7 = 0), lk as (select distinct n.permno, c.gvkey from (select distinct permno, upper(substr(ncusip, 1, 8)) as k from names) n left join co c on upper(substr(c.cusip, 1, 8)) = n.k)"
+COMPANIES = "co as (select distinct gvkey, lpad(cast(case when permno % 5 > 0 then permno else -permno end as varchar), 8, '0') || '10' as cusip from fundamentals union all select distinct gvkey || 'B', lpad(cast(permno as varchar), 8, '0') || '20' from fundamentals where permno % 7 = 0), lk as (select distinct n.permno, c.gvkey from (select distinct permno, upper(substr(ncusip, 1, 8)) as k from names) n left join co c on upper(substr(c.cusip, 1, 8)) = n.k)"
 
 
 def links(spark, d):
     f = a.fundamentals(spark, d)
     key = F.lpad(F.col("permno").cast("string"), 8, "0")
-    one = f.filter("permno % 5 > 0").select("gvkey", F.concat(key, F.lit("10")).alias("cusip"))
+    # a fifth of the companies has an identifier that no name has
+    other = F.lpad(F.when(F.col("permno") % 5 > 0, F.col("permno")).otherwise(-F.col("permno")).cast("string"), 8, "0")
+    one = f.select("gvkey", F.concat(other, F.lit("10")).alias("cusip"))
     two = f.filter("permno % 7 = 0").select(F.concat("gvkey", F.lit("B")).alias("gvkey"), F.concat(key, F.lit("20")).alias("cusip"))
     return panel.link_table(a.names(spark, d), one.unionByName(two).distinct())
 
@@ -434,13 +445,13 @@ def q_pead(spark, d):
 
 LATEST = "lat as (select s.*, year(filing_date) as yr from sections s where not is_cross_reference and accession_no = (select arg_max(x.accession_no, x.filing_date) from sections x where not x.is_cross_reference and x.permno = s.permno and year(x.filing_date) = year(s.filing_date)))"
 TFIDF = r"""tok as (select doc_id, section_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) as term from lat),
-tf as (select section_id, doc_id, term, count(*) as tf from tok where regexp_full_match(term, '[a-z]{2,}') group by 1, 2, 3),
+tf as (select section_id, doc_id, term, count(*) as tf from tok where regexp_full_match(term, '[a-z]{2,}') and term not in ('STOPPED') group by 1, 2, 3),
 df as (select section_id, term, count(*) as df from tf group by 1, 2 having count(*) >= 2),
 nd as (select section_id, count(*) as n from lat group by 1),
 wt as (select tf.doc_id, section_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (section_id, term) join nd using (section_id)),
 wn as (select doc_id, section_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from wt),
 pr as (select permno, section_id, yr, doc_id, lag(doc_id) over p as prior, lag(yr) over p as prior_yr from lat window p as (partition by permno, section_id order by yr)),
-sim as (select p.permno, p.section_id, p.yr as year, coalesce(sum(a.weight * b.weight), 0) as similarity from pr p left join wn a on a.doc_id = p.doc_id left join wn b on b.doc_id = p.prior and b.term = a.term where p.yr = p.prior_yr + 1 group by p.permno, p.section_id, p.yr)"""
+sim as (select p.permno, p.section_id, p.yr as year, coalesce(sum(a.weight * b.weight), 0) as similarity from pr p left join wn a on a.doc_id = p.doc_id left join wn b on b.doc_id = p.prior and b.term = a.term where p.yr = p.prior_yr + 1 group by p.permno, p.section_id, p.yr)""".replace("STOPPED", "', '".join(ENGLISH))
 
 
 @query("filing_latest_per_year", f"with {LATEST} select permno, doc_id, section_id, cast(yr as int) as year from lat", "sections")
@@ -450,13 +461,12 @@ def q_filing(spark, d):
 
 def similarity(spark, d):
     docs = signals.latest_filing(a.sections(spark, d))
-    return signals.yearly_cosine(docs, signals.term_weights(docs))
+    return signals.yearly_cosine(docs, signals.term_vectors(docs, lambda df: kept(df, "dictionary")))
 
 
-@query("text_tfidf", f"with {LATEST}, {TFIDF} select section_id, doc_id, count(*) as n_terms, round(sum(weight), 5) as total, round(max(weight), 6) as top from wn group by 1, 2", "sections")
+@query("text_tfidf", f"with {LATEST}, {TFIDF} select section_id, doc_id, term, round(weight, 9) as weight from wn", "sections")
 def q_tfidf(spark, d):
-    w = signals.term_weights(signals.latest_filing(a.sections(spark, d)))
-    return w.groupBy("section_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+    return R(signals.term_weights(signals.latest_filing(a.sections(spark, d))), digits=9)
 
 
 @query("text_yoy_cosine", f"with {LATEST}, {TFIDF} select permno, section_id, cast(year as int) as year, round(similarity, 6) as similarity from sim", "sections")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -347,3 +349,34 @@ def test_csv_parquet_and_factor_files(spark, tmp_path):
     (tmp_path / "mom.txt").write_text("202001, 7\n")
     row = io.read_factors(spark, f"{tmp_path}/ff.txt", f"{tmp_path}/mom.txt").collect()
     assert len(row) == 1 and row[0].date == D(2020, 1, 31) and (row[0].mkt_rf, row[0].rf, row[0].mom) == (1, 0.1, 7)
+
+
+def test_sparse_vectors_equal_explicit_weights(spark, tmp_path, monkeypatch):
+    """Vectors, rows and yearly cosines of three corpora against counters; every split of common and rare terms gives the same."""
+    texts = ["Alpha beta beta, the gamma2 x alpha-delta", "beta of gamma", "", "the of and", "alpha gamma gamma delta epsilon", "Delta beta alpha", None]
+    rows = [(k, "Item 1" if k % 2 else "Item 7", t) for k, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, section_id string, text string").withColumns({"permno": F.lit(1).cast("long"), "year": (F.col("doc_id") + 2000).cast("int")})
+    want = {}
+    for section in ("Item 1", "Item 7"):
+        own = {k: Counter(w for w in re.split(r"[^\w]+", (t or "").lower()) if re.fullmatch("[a-z]{2,}", w) and w not in ("the", "of", "and")) for k, s, t in rows if s == section}
+        df = Counter(w for c in own.values() for w in c)
+        for k, c in own.items():
+            v = {w: n * (math.log((1 + len(own)) / (1 + df[w])) + 1) for w, n in c.items() if df[w] >= 2}
+            size = math.sqrt(sum(x * x for x in v.values()))
+            want |= {(k, w): x / size for w, x in v.items()}
+
+    def keep(df):
+        path = f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    for common in (1, 3, 1000):
+        monkeypatch.setattr(signals, "COMMON", common)
+        got = {(g.doc_id, g.term): g.weight for g in signals.term_weights(docs).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+        vectors = signals.term_vectors(docs, keep)
+        for g in vectors.collect():
+            assert g.ids == sorted(g.ids) and sorted(g.weights) == pytest.approx(sorted(v for (k, _), v in want.items() if k == g.doc_id))
+        for g in signals.yearly_cosine(docs.withColumn("year", (F.col("doc_id") / 2).cast("int")), vectors).collect():
+            k = 2 * g.year + (g.section_id == "Item 1")
+            assert g.similarity == pytest.approx(sum(v * want.get((k - 2, w), 0) for (d, w), v in want.items() if d == k), abs=1e-12)
