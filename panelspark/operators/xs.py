@@ -85,7 +85,7 @@ def neutral_weights(
 
     Constraints: weights add up to zero in each sector (and so in dollars), have no beta, are at most ``cap`` in size, and
     their sizes add up to ``gross`` at most. The target is alpha, neutral to sectors and beta, scaled to ``strength`` times
-    ``gross``; with equal variances and no covariances this is the mean-variance optimum. Dykstra's alternating
+    ``gross``, or times what the caps of all names add up to where that is less; with equal variances and no covariances this is the mean-variance optimum. Dykstra's alternating
     projections (box, gross ball, neutral subspace) run until a cross-section no longer moves and all its constraints hold
     to 1e-10; one that does not get there in ``most`` rounds is an error. A cross-section is one group in one task: a
     universe of names on a date. Names without alpha, beta or sector have weight 0.
@@ -123,7 +123,7 @@ def nearest_neutral(alpha: np.ndarray, beta: np.ndarray, group: np.ndarray, gros
     size = np.abs(target).sum()
     if size <= 1e-15:
         return np.zeros(len(alpha))
-    x = target * (strength * gross / size)
+    x = target * (strength * min(gross, cap * len(alpha)) / size)
     off_box, off_ball, count = np.zeros_like(x), np.zeros_like(x), np.arange(1, len(x) + 1)
     for _ in range(most):
         before = x

@@ -352,29 +352,31 @@ def weighted(spark, d):
 
 #: Constraints of the test portfolios; all of them bind on some dates.
 LIMITS = {"gross": 1.0, "cap": 0.03, "strength": 1.5}
-ROUNDS = 600
+ROUNDS = 50_000
 
 
 def dykstra_sql(keys: str) -> str:
-    """CTE k3 with weight w of the rows of w0 (keys, permno, alpha, beta, sector): ROUNDS rounds of the projections."""
+    """CTE k3 with weight w of the rows of w0 (keys, permno, alpha, beta, sector): rounds of the projections until a date no longer moves."""
     g, cap, st = (f"{LIMITS[c]!r}::double" for c in ("gross", "cap", "strength"))
     return f"""kb as (select *, beta - avg(beta) over s as b, alpha - avg(alpha) over s as am from w0 window s as (partition by {keys}, sector)),
 kc as (select *, sum(b * b) over d as bb, sum(am * b) over d as ab from kb window d as (partition by {keys})),
 ke as (select *, am - case when bb > 1e-18 then ab / bb else 0 end * b as an from kc),
-k0 as (select {keys}, permno, alpha, beta, sector, b, bb, coalesce(an * {st} * {g} / nullif(sum(abs(an)) over (partition by {keys}), 0), 0) as x from ke),
+k0 as (select {keys}, permno, alpha, beta, sector, b, bb, coalesce(an * {st} * least({g}, {cap} * count(*) over (partition by {keys})) / nullif(sum(abs(an)) over (partition by {keys}), 0), 0) as x from ke),
 dyk as (
-  select *, 0.0::double as p, 0.0::double as q, 0 as it from k0
+  select *, 0.0::double as p, 0.0::double as q, 0 as it, false as done from k0
   union all
-  select {keys}, permno, alpha, beta, sector, b, bb, m - case when bb > 1e-18 then sum(m * b) over (partition by {keys}) / bb else 0 end * b as x, p, q, it
+  select {keys}, permno, alpha, beta, sector, b, bb, x, p, q, it,
+         max(abs(x - x0)) over (partition by {keys}) < 1e-13 and max(abs(x)) over (partition by {keys}) <= {cap} + 1e-10 and sum(abs(x)) over (partition by {keys}) <= {g} + 1e-10 as done
+  from (select *, m - case when bb > 1e-18 then sum(m * b) over (partition by {keys}) / bb else 0 end * b as x
   from (select * exclude (z), z - avg(z) over (partition by {keys}, sector) as m
   from (select * exclude (v, level), z, v - z as q
   from (select *, sign(v) * greatest(abs(v) - greatest(level, 0), 0) as z
   from (select * exclude (c), max(c) over (partition by {keys}) as level
   from (select *, (sum(abs(v)) over (partition by {keys} order by abs(v) desc, permno rows unbounded preceding) - {g}) / row_number() over (partition by {keys} order by abs(v) desc, permno) as c
-  from (select {keys}, permno, alpha, beta, sector, b, bb, x + p - y as p, y + q as v, it + 1 as it
-  from (select *, greatest(least(x + p, {cap}), -{cap}) as y from dyk where it < {ROUNDS})))))))
+  from (select {keys}, permno, alpha, beta, sector, b, bb, x as x0, x + p - y as p, y + q as v, it + 1 as it
+  from (select *, greatest(least(x + p, {cap}), -{cap}) as y from dyk where it < {ROUNDS} and not done))))))))
 ),
-k3 as (select {keys}, permno, alpha, beta, sector, x as w from dyk where it = {ROUNDS})"""
+k3 as (select {keys}, permno, alpha, beta, sector, x as w from dyk qualify it = max(it) over (partition by {keys}))"""
 
 
 def weights_sql() -> str:

@@ -226,7 +226,7 @@ def test_neutral_weights_are_the_nearest_allowed(spark, gross, cap, strength):
         w = np.array([g.weight for g in sorted(got, key=lambda g: g.permno) if g.date == at and g.permno < 100])
         assert np.abs(np.bincount(group, w)).max() < 1e-8 and abs(w @ beta) < 1e-8 and np.abs(w).max() <= cap + 1e-8 and np.abs(w).sum() <= gross + 1e-8
         free = _inside(alpha, group, beta, 1e9, 1e9)
-        target = free * strength * gross / np.abs(free).sum()
+        target = free * strength * min(gross, 60 * cap) / np.abs(free).sum()
         others = [_inside(target + s * r.normal(size=60), group, beta, gross, cap) for s in (0.0, 0.001, 0.01, 0.05) for _ in range(50)] + [w + t * (_inside(r.normal(size=60), group, beta, gross, cap) - w) for t in (0.01, 0.1) for _ in range(50)]
         assert max((target - w) @ (o - w) for o in others) < 1e-9
 
