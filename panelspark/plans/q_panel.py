@@ -59,8 +59,17 @@ def q_src_part(spark, d):
 
 @query("src_warehouse", "select permno, date, ret from returns_daily where date between date '1995-01-01' and date '1996-12-31' and permno in (select s_suppkey from supplier where s_nationkey < 12)", "returns_daily")
 def q_warehouse(spark, d):
+    """From a database, where all tasks run in one process and so see an embedded one; from the table itself on a cluster."""
     ids = a.table(spark, d, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("permno"))
-    return io.read_warehouse(a.returns_daily(spark, d), ids, "1995-01-01", "1996-12-31").select("permno", "date", "ret")
+    rows, columns = a.returns_daily(spark, d).select("permno", "date", F.col("ret").cast("decimal(18,8)").alias("ret")), ["permno", "date", "ret"]
+    if spark.sparkContext.master.split("[")[0] != "local":
+        return R(io.read_warehouse(rows, ids, "1995-01-01", "1996-12-31").select(*columns), digits=8)
+    url = f"jdbc:derby:memory:warehouse{uuid.uuid4().hex};create=true"
+    rows.write.jdbc(url, "returns", properties={"driver": DERBY, "batchsize": "10000"})
+    return R(io.read_jdbc(spark, url, "returns", columns, ids, "1995-01-01", "1996-12-31", driver=DERBY).select(*columns), digits=8)
+
+
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 @query("src_csv", "select o_orderkey, cast(o_orderdate as date) as o_orderdate, o_orderpriority from orders")

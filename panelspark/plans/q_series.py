@@ -14,7 +14,7 @@ from ..operators.asof import asof_by_key
 from ..schemas import r6 as R, ratio
 from . import adapters as a
 from .q_core import BETA, IC, LIMITS, PANELS, REAL, SECTOR, WEIGHTS, WPANELS, beta_panel, dykstra_sql, period_ic, weighted
-from .q_panel import BP, EPS, EXCESS, RESID, RESID_ASOF, ols3_sql, residuals, residuals_as_of
+from .q_panel import BP, EPS, EXCESS, RESID, RESID_ASOF, kept, ols3_sql, residuals, residuals_as_of
 from .registry import query
 from .sql_functions import chi2_tail, f_tail, normal_cdf, normal_ppf, normal_two_sided
 
@@ -167,17 +167,22 @@ pc as (select date, sum(commission + half_spread + impact + borrow) / 1e6 * 1e4
 CPANELS = (*WPANELS,)
 
 
-def weights8(spark, d):
-    return weighted(spark, d).select("date", "permno", F.round("weight", 8).alias("weight"))
+def weights_once(spark, d):
+    """The portfolios' weights, written: trades, costs and returns read them several times."""
+    return kept(weighted(spark, d).select("date", "permno", "weight"), "weights")
 
 
-def costed(spark, d):
-    return costs.name_costs(costs.trades(weights8(spark, d)), costs.name_stats(a.returns_daily(spark, d), a.month_ends(spark, d)))
+def trades8(w):
+    return costs.trades(w.withColumn("weight", F.round("weight", 8)))
+
+
+def costed(spark, d, w=None):
+    return costs.name_costs(trades8(weights_once(spark, d) if w is None else w), costs.name_stats(a.returns_daily(spark, d), a.month_ends(spark, d)))
 
 
 @query("trade_delta", f"with {WEIGHTS}, {COSTS} select date, permno, round(weight - prior, 8) + 0.0::double as delta from tr", *CPANELS)
 def q_trades(spark, d):
-    return R(costs.trades(weights8(spark, d)).select("date", "permno", "delta"), digits=8)
+    return R(trades8(weights_once(spark, d)).select("date", "permno", "delta"), digits=8)
 
 
 @query("name_cost", f"with {WEIGHTS}, {COSTS} select date, permno, round(commission, 7) as commission, round(half_spread, 7) as half_spread, round(impact, 7) as impact, round(borrow, 7) as borrow from nc", *CPANELS)
@@ -194,8 +199,8 @@ NET = "nt as (select g.date, g.rr as realized_return, coalesce(pc.cost_bps / 1e4
 
 
 def net(spark, d):
-    gross = portfolio.realized_returns(weighted(spark, d).select("date", "permno", "weight"), a.returns_daily(spark, d))
-    return costs.net_returns(gross, costs.period_costs(costed(spark, d)))
+    w = weights_once(spark, d)
+    return costs.net_returns(portfolio.realized_returns(w, a.returns_daily(spark, d)), costs.period_costs(costed(spark, d, w)))
 
 
 @query("net_returns", f"with {WEIGHTS}, {COSTS}, {REAL.format(w='k3', keys='date')}, {NET} select date, round(realized_return, 6) + 0.0::double as realized_return, round(drag, 6) as drag, round(realized_return - drag, 6) + 0.0::double as net_return from nt", *CPANELS)
@@ -275,7 +280,7 @@ def held(spark, d, alphas, key: str):
     b = R(beta_panel(spark, d), "beta", digits=9).filter("beta is not null").select("date", "permno", "beta")
     s = portfolio.sector_last(a.fundamentals(spark, d), a.month_ends(spark, d))
     w = cross.neutral_weights(alphas.join(b, ["date", "permno"]).join(s, ["date", "permno"]), by=(key, "date"), **LIMITS)
-    return portfolio.realized_returns(w.select(key, "date", "permno", "weight"), a.returns_daily(spark, d), keys=(key, "date"))
+    return portfolio.realized_returns(kept(w.select(key, "date", "permno", "weight"), "weights"), a.returns_daily(spark, d), keys=(key, "date"))
 
 
 def held_sql(key: str, alphas: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,32 @@ def read_warehouse(df: DataFrame, ids: DataFrame, start: str, end: str, key: str
     return rows.withColumns({f.name: F.col(f.name).cast("double") for f in rows.schema.fields if f.dataType.typeName() == "decimal"})
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+#: Ids that are written into the query of each partition; longer lists are joined after reading.
+PUSHED_IDS = 1000
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, columns: Sequence[str], ids: DataFrame, start: str, end: str, key: str = "permno", date: str = "date", parts: int = 8, **options: str) -> DataFrame:
+    """``read_warehouse`` of a database table: one query per slice of the date window, with the columns, the slice and the ids in it.
+
+    Slices are half-open but for the last, so each row is read once. The list of ids goes into the queries as long as it
+    has ``PUSHED_IDS`` entries at most; beyond that its least and greatest entry do, and the list is joined.
+    """
+    known = sorted(r[0] for r in ids.select(key).distinct().limit(PUSHED_IDS + 1).collect() if r[0] is not None)
+    if len(known) <= PUSHED_IDS:
+        wanted = f'"{key}" IN ({", ".join(map(_literal, known))})' if known else "1 = 0"
+    else:
+        least, most = ids.agg(F.min(key), F.max(key)).first()
+        wanted = f'"{key}" BETWEEN {_literal(least)} AND {_literal(most)}'
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    days = (last - first).days
+    edges = [first + dt.timedelta(days * i // parts) for i in range(parts)] if days >= parts else [first]
+    tests = [f"\"{date}\" >= {{d '{x}'}} AND \"{date}\" < {{d '{y}'}}" for x, y in zip(edges, edges[1:], strict=False)] + [f"\"{date}\" >= {{d '{edges[-1]}'}} AND \"{date}\" <= {{d '{last}'}}"]
+    rows = spark.read.jdbc(url, table, predicates=[f"{t} AND {wanted}" for t in tests], properties=dict(options)).select(*columns)
+    return read_warehouse(rows, ids, start, end, key, date)
+
+
+def _literal(value: object) -> str:
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
 
 
 def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

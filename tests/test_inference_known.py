@@ -380,3 +380,17 @@ def test_sparse_vectors_equal_explicit_weights(spark, tmp_path, monkeypatch):
         for g in signals.yearly_cosine(docs.withColumn("year", (F.col("doc_id") / 2).cast("int")), vectors).collect():
             k = 2 * g.year + (g.section_id == "Item 1")
             assert g.similarity == pytest.approx(sum(v * want.get((k - 2, w), 0) for (d, w), v in want.items() if d == k), abs=1e-12)
+
+
+@pytest.mark.parametrize("pushed", [2, 1000])
+def test_warehouse_reads_each_row_once(spark, monkeypatch, pushed):
+    """Slices of the window, their edges and ids, short and long lists, decimals as doubles."""
+    monkeypatch.setattr(io, "PUSHED_IDS", pushed)
+    url, driver = f"jdbc:derby:memory:test{pushed};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [(k, D(2020, 1, 1) + dt.timedelta(i), f"{k}.{i:03d}") for k in range(6) for i in range(40)]
+    spark.createDataFrame(rows, "permno long, date date, x string").withColumn("ret", F.col("x").cast("decimal(9,3)")).write.jdbc(url, "facts", properties={"driver": driver})
+    for ids, start, end in (([1, 3, 4, 9], "2020-01-05", "2020-02-03"), ([2], "2020-01-07", "2020-01-07"), ([], "2020-01-01", "2020-03-01"), ([0, 5, 5], "2020-01-30", "2021-01-01")):
+        want = spark.createDataFrame([(i,) for i in ids], "permno long")
+        got = io.read_jdbc(spark, url, "facts", ["permno", "date", "ret"], want, start, end, parts=7, driver=driver)
+        assert got.schema["ret"].dataType.typeName() == "double"
+        assert sorted(map(tuple, got.collect())) == sorted((k, d, float(x)) for k, d, x in rows if k in ids and start <= str(d) <= end)
