@@ -174,15 +174,17 @@ def latest_filing(sections: DataFrame) -> DataFrame:
 COMMON = 1000
 
 
-def dictionary(docs: DataFrame, stop: Sequence[str] = ENGLISH, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+def dictionary(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop: Sequence[str] = ENGLISH, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
     """(section_id, doc_id, term, tf of every document; section_id, term, idf, common) with smooth idf, per section corpus.
 
+    Term counts are read several times, so they are kept.
+
     Terms are runs of two or more ASCII letters between non-word characters, in lower case, without the stop words.
     """
     words = F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+")).alias("term")
     t = docs.select("doc_id", "section_id", words).filter(F.col("term").rlike("^[a-z]{2,}$"))
     t = t.filter(~F.col("term").isin(*stop)) if stop else t
-    tf = t.groupBy("section_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = keep(t.groupBy("section_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("section_id", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     n = docs.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
     idf = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
@@ -198,10 +200,11 @@ def _raw_weights(tf: DataFrame, terms: DataFrame) -> DataFrame:
     return hot.unionByName(rest).withColumn("w", F.col("tf") * F.col("idf"))
 
 
-def term_weights(docs: DataFrame, stop: Sequence[str] = ENGLISH, min_df: int = 2) -> DataFrame:
-    """doc_id, section_id, term, weight: tf-idf, each document of length 1."""
+def term_weights(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop: Sequence[str] = ENGLISH, min_df: int = 2) -> DataFrame:
+    """doc_id, section_id, term, weight: tf-idf, each document of length 1. ``keep`` writes a table and reads it back."""
     w = Window.partitionBy("section_id", "doc_id")
-    return _raw_weights(*dictionary(docs, stop, min_df)).select("doc_id", "section_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).alias("weight"))
+    tf, terms = dictionary(docs, keep, stop, min_df)
+    return _raw_weights(tf, terms).select("doc_id", "section_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).alias("weight"))
 
 
 def term_vectors(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop: Sequence[str] = ENGLISH, min_df: int = 2) -> DataFrame:
@@ -209,7 +212,7 @@ def term_vectors(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop:
 
     Ids come from the dictionary of all sections, numbered where it is kept: ``keep`` writes a table and reads it back.
     """
-    tf, terms = dictionary(docs, stop, min_df)
+    tf, terms = dictionary(docs, keep, stop, min_df)
     numbered = keep(terms.withColumn("id", F.monotonically_increasing_id()))
     each = _raw_weights(tf, numbered).groupBy("section_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))

@@ -470,12 +470,12 @@ def q_filing(spark, d):
 
 def similarity(spark, d):
     docs = signals.latest_filing(a.sections(spark, d))
-    return signals.yearly_cosine(docs, signals.term_vectors(docs, lambda df: kept(df, "dictionary")))
+    return signals.yearly_cosine(docs, signals.term_vectors(docs, lambda df: kept(df, "terms")))
 
 
 @query("text_tfidf", f"with {LATEST}, {TFIDF} select section_id, doc_id, term, round(weight, 9) as weight from wn", "sections")
 def q_tfidf(spark, d):
-    return R(signals.term_weights(signals.latest_filing(a.sections(spark, d))), digits=9)
+    return R(signals.term_weights(signals.latest_filing(a.sections(spark, d)), lambda df: kept(df, "terms")), digits=9)
 
 
 @query("text_yoy_cosine", f"with {LATEST}, {TFIDF} select permno, section_id, cast(year as int) as year, round(similarity, 6) as similarity from sim", "sections")

@@ -372,7 +372,7 @@ def test_sparse_vectors_equal_explicit_weights(spark, tmp_path, monkeypatch):
 
     for common in (1, 3, 1000):
         monkeypatch.setattr(signals, "COMMON", common)
-        got = {(g.doc_id, g.term): g.weight for g in signals.term_weights(docs).collect()}
+        got = {(g.doc_id, g.term): g.weight for g in signals.term_weights(docs, keep).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
         vectors = signals.term_vectors(docs, keep)
         for g in vectors.collect():
