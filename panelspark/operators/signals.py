@@ -214,9 +214,7 @@ def term_vectors(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], stop:
     """
     tf, terms = dictionary(docs, keep, stop, min_df)
     numbered = keep(terms.withColumn("id", F.monotonically_increasing_id()))
-    each = _raw_weights(tf, numbered).groupBy("section_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    each = each.withColumn("norm", norm)
+    each = _raw_weights(tf, numbered).groupBy("section_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return each.select("doc_id", "section_id", F.transform("v", lambda x: x["id"]).alias("ids"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
