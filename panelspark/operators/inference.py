@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -263,11 +263,14 @@ HANSEN = {
 }
 
 
-def hansen_pvalue(f: Column, m: int = 1, trim: float = 0.15) -> Column:
-    """Approximate p-value of a sup F statistic; ValueError for what is not tabulated."""
-    if m not in HANSEN or trim not in HANSEN_TRIMS:
+def hansen_pvalue(f: Column, m: int = 1, trim: float = 0.15, table: Mapping[int, Sequence[tuple[float, float, float]]] = HANSEN) -> Column:
+    """Approximate p-value of a sup F statistic; ValueError for what is not tabulated.
+
+    ``table`` holds, by number of parameters, the coefficients for each of HANSEN_TRIMS; a table of one's own goes beyond ten.
+    """
+    if m not in table or trim not in HANSEN_TRIMS:
         raise ValueError(f"not tabulated: m={m}, trimming={trim}")
-    t0, t1, eta = HANSEN[m][HANSEN_TRIMS.index(trim)]
+    t0, t1, eta = table[m][HANSEN_TRIMS.index(trim)]
     x = t0 + t1 * f
     return F.when(x <= 0, F.lit(1.0)).otherwise(chi2_tail(x, F.lit(eta)))
 

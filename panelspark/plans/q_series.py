@@ -434,7 +434,20 @@ def q_hac_cov(spark, d):
     return R(regression.hac_covariance(design(spark, d), "series_id", "ret", DESIGN, [4]), digits=9)
 
 
-@query("sup_f_regression")
+def _sse(p: str) -> str:
+    """Squared errors of y on a constant and x, from the sums with this prefix."""
+    return f"greatest(({p}yy - {p}y * {p}y / {p}n) - pow({p}xy - {p}x * {p}y / {p}n, 2) / nullif({p}xx - {p}x * {p}x / {p}n, 0), 0)"
+
+
+_SUMS = {"n": "1.0::double", "x": "dx", "y": "dy", "xx": "dx * dx", "xy": "dx * dy", "yy": "dy * dy"}
+#: A break in constant and slope: sums before each row, of all rows, and of what is left.
+CHOW = f"""cs as (select series_id, date, row_number() over w - 1 as t, n, {', '.join(f'coalesce(sum({e}) over (w rows between unbounded preceding and 1 preceding), 0) as p{c}, sum({e}) over s as a{c}' for c, e in _SUMS.items())} from ln window w as (partition by series_id order by date), s as (partition by series_id)),
+cd as (select *, {', '.join(f'a{c} - p{c} as r{c}' for c in _SUMS)} from cs where t >= greatest(ceil(n * 0.15), 3) and t <= least(floor(n * 0.85), n - 3)),
+ce as (select *, {_sse('p')} + {_sse('r')} as apart, {_sse('a')} as whole from cd), cf as (select *, greatest(((whole - apart) / 2) / (apart / (n - 4)), 0) as f from ce where apart > 0),
+cb as (select *, -1.65::double + 1.06::double * f as hx from cf qualify row_number() over (partition by series_id order by f desc, t) = 1)"""
+
+
+@query("sup_f_regression", f"with {LINE}, {CHOW} select series_id, round(f, 6) as sup_f, t as n_pre, date as break_at, round(case when hx <= 0 then 1.0::double else {chi2_tail('hx', '4.7::double')} end, 6) as p_value from cb", "returns_monthly")
 def q_supf_regression(spark, d):
     """A break in constant and market slope of each series; tested against numpy."""
     return R(regression.sup_f(design(spark, d), "series_id", "ret", DESIGN))
