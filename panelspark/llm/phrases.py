@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ GATHERED = 1_500_000
 #: Odd multipliers of the byte and word polynomials, one pair for each of the two hashes.
 BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
+MARKS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 WORD_AT = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+")
 RAW = "n int, fp long, check long, f long, text_key long, at int, lang string"
 
@@ -84,7 +86,8 @@ def _classes() -> np.ndarray:
 class Slice:
     """The words of some texts, each by its place, piece and text, and hashes of their n-grams."""
 
-    def __init__(self, texts: Sequence[bytes], langs: Sequence[str]):
+    def __init__(self, parts: Sequence[Part]):
+        texts, langs = [p.text for p in parts], [p.lang for p in parts]
         joined = b"\n".join(texts).lower()  # of bytes: A-Z only
         self.raw, self.langs = joined, langs
         self.bytes = np.frombuffer(joined, np.uint8)
@@ -116,10 +119,42 @@ class Slice:
         return b" ".join(self.raw[self.begin[i] : self.end[i]] for i in range(first, first + n)).decode()
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[str]]]:
+class Part(NamedTuple):
+    """A text, or a run of whole pieces of a long one, with its place there and the long text's key."""
+
+    text: bytes
+    lang: str
+    offset: int
+    key: int | None
+
+
+def _parts(text: bytes, lang: str) -> Iterator[Part]:
+    """A long text is cut behind marks, as no n-gram spans one: a task holds no more of it than a slice and a piece."""
+    if len(text) <= 2 * SLICE_BYTES:
+        yield Part(text, lang, 0, None)
+        return
+    key, begin = _key(lang, text), 0
+    while begin < len(text):
+        cut = MARKS.search(text, begin + SLICE_BYTES)
+        end = cut.end() if cut else len(text)
+        yield Part(text[begin:end], lang, begin, key)
+        begin = end
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Part]]:
+    held, size = [], 0
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
-            yield batch, [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()], pc.fill_null(batch.column("lang"), UNKNOWN).to_pylist()
+            langs = pc.fill_null(batch.column("lang"), UNKNOWN).to_pylist()
+            for text, lang in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), langs, strict=True):
+                for part in _parts(text or b"", lang):
+                    held.append(part)
+                    size += len(part.text)
+                    if size >= SLICE_BYTES:
+                        yield held
+                        held, size = [], 0
+    if held:
+        yield held
 
 
 def _key(lang: str, text: bytes) -> int:
@@ -164,8 +199,8 @@ def _may_be_frequent(docs: DataFrame, lengths: Sequence[int], pairs, least: int,
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held, size = [], 0
-        for _, texts, langs in _sliced(batches):
-            s = Slice(texts, langs)
+        for parts in _sliced(batches):
+            s = Slice(parts)
             for n in lengths:
                 held.append(_cut_off(s.hashes(n, _held(s, n, pairs, level)), level))
                 size += len(held[-1])
@@ -232,9 +267,10 @@ def _count(docs: DataFrame, longest: int, may, level: int, bits: int) -> DataFra
     names = ["n", "fp", "check", "f", "text_key", "at", "lang"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, langs in _sliced(batches):
-            s = Slice(texts, langs)
-            keys = np.array([_key(g, t) for g, t in zip(langs, texts, strict=True)], np.int64)
+        for parts in _sliced(batches):
+            s, langs = Slice(parts), [p.lang for p in parts]
+            keys = np.array([_key(p.lang, p.text) if p.key is None else p.key for p in parts], np.int64)
+            base = s.starts - np.array([p.offset for p in parts], np.int64)
             for n in range(1, longest + 1):
                 at = s.places(n)
                 fp = s.hashes(n, at)
@@ -250,7 +286,7 @@ def _count(docs: DataFrame, longest: int, may, level: int, bits: int) -> DataFra
                 doc, rows = s.text[where], len(first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(rows, n, np.int32)), _signed(fp[first]), _signed(check[first]), pa.array(np.diff(np.append(first, len(fp)))), pa.array(keys[doc]),
-                     pa.array((s.begin[where] - s.starts[doc]).astype(np.int32)), pa.nulls(rows, pa.string())], names=names,
+                     pa.array((s.begin[where] - base[doc]).astype(np.int32)), pa.nulls(rows, pa.string())], names=names,
                 )
             words = np.bincount(s.text, minlength=len(langs))
             kinds = sorted(set(langs))
@@ -268,8 +304,8 @@ def _recounted(docs: DataFrame, collided: DataFrame, n_keys: int, bits: int) ->
     bloom = _bloom(collided.select("fp"), n_keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, langs in _sliced(batches):
-            s = Slice(texts, langs)
+        for parts in _sliced(batches):
+            s, langs = Slice(parts), [p.lang for p in parts]
             for n in range(1, LONGEST + 1):
                 at = s.places(n)
                 at = at[_among(bloom, _shortened(s.hashes(n, at), bits))] if len(at) else at
@@ -290,7 +326,7 @@ def _recounted(docs: DataFrame, collided: DataFrame, n_keys: int, bits: int) ->
 
 def _fingerprints(phrases: Sequence[str], langs: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Both hashes of phrases of n words."""
-    s = Slice([p.encode() for p in phrases], langs)
+    s = Slice([Part(p.encode(), g, 0, None) for p, g in zip(phrases, langs, strict=True)])
     at = s.places(n)
     return s.hashes(n, at), s.hashes(n, at, 1)
 
@@ -301,8 +337,9 @@ def _materialised(docs: DataFrame, frequent: DataFrame, n_keys: int, bits: int)
     bloom = _bloom(frequent.select("text_key"), n_keys)
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, langs in _sliced(batches):
-            keys = np.array([_key(g, t) for g, t in zip(langs, texts, strict=True)], np.int64)
+        for batch in (b for whole in batches for b in slices(whole, SLICE_BYTES)):
+            langs = pc.fill_null(batch.column("lang"), UNKNOWN).to_pylist()
+            keys = np.array([_key(g, t or b"") for g, t in zip(langs, batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True)], np.int64)
             held = np.flatnonzero(_among(bloom, keys.view(np.uint64)))
             _, once = np.unique(keys[held], return_index=True)
             take = pa.array(held[once])

@@ -67,6 +67,15 @@ def test_equal_to_brute_force(spark, rows, bits, monkeypatch):
     assert [tuple(g) for g in got] == want and len(want) > 100
 
 
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 50)
+    text = b"One two, three\n" * 40 + b"x" * 300 + b" end"
+    parts = list(phrases._parts(text, "en"))
+    assert b"".join(p.text for p in parts) == text and len(parts) > 8 and len({p.key for p in parts}) == 1
+    assert all(text[p.offset :].startswith(p.text) and (p.text[-1:] in (b",", b"\n") or p is parts[-1]) for p in parts)
+    assert [p.text for p in phrases._parts(b"a, b" * 20, "en")] == [b"a, b" * 20]
+
+
 def test_other_limits(spark, rows):
     got = phrases.collocations(spread(spark, rows), least=20, longest=3, share=60, top=7).orderBy("lang", "rank").collect()
     assert [tuple(g) for g in got] == brute(rows, 20, 3, 60, 7)
