@@ -351,7 +351,7 @@ def weighted(spark, d):
 
 
 #: Constraints of the test portfolios; all of them bind on some dates.
-LIMITS = {"gross": 1.0, "cap": 0.03, "strength": 1.5}
+LIMITS = {"gross": 1.0, "cap": 0.03, "strength": 1.0}
 ROUNDS = 50_000
 
 
