@@ -35,3 +35,14 @@ def test_betas_and_rolling_regressions_shuffle_no_day_of_a_security_again(spark)
     ivol = signals.idiosyncratic_volatility(adapters.returns_daily(spark, SF), adapters.factors_daily(spark, SF))
     for df in (q_core.beta_panel(spark, SF), ivol):
         assert sum("Exchange hashpartitioning(" in line and ("permno#" in line or "l_suppkey#" in line) for line in plan(df)) == 1
+
+
+def test_trailing_sums_sort_once(spark):
+    rows, df = some_prices(spark)
+    got = trailing_sums(df, {"a": F.col("ret"), "b": F.col("ret") * F.col("vol")}, 7)
+    assert sum("Sort [" in line for line in plan(got)) == 1
+    for i in range(5):
+        own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == i)
+        want = [(sum(x[1] for x in own[max(0, k - 6) : k + 1]), sum(x[1] * x[2] for x in own[max(0, k - 6) : k + 1])) for k in range(len(own))]
+        have = [(r.a, r.b) for r in got.filter(F.col("permno") == i).orderBy("date").collect()]
+        assert [v for w in have for v in w] == pytest.approx([v for w in want for v in w], abs=1e-12)
