@@ -46,3 +46,24 @@ def test_trailing_sums_sort_once(spark):
         want = [(sum(x[1] for x in own[max(0, k - 6) : k + 1]), sum(x[1] * x[2] for x in own[max(0, k - 6) : k + 1])) for k in range(len(own))]
         have = [(r.a, r.b) for r in got.filter(F.col("permno") == i).orderBy("date").collect()]
         assert [v for w in have for v in w] == pytest.approx([v for w in want for v in w], abs=1e-12)
+
+
+def test_realized_returns_repeat_no_weight_per_day(spark):
+    rows, df = some_prices(spark)
+    weights = [(D(2020, 1, 10), i, 0.1 * i) for i in range(7)] + [(D(2020, 2, 10), i, -0.2 * i) for i in range(4)] + [(D(2021, 1, 1), 0, 1.0)]
+    got = portfolio.realized_returns(spark.createDataFrame(weights, "date date, permno long, weight double"), df, 5)
+    assert not dealt_by(got, "permno", "day")
+    days = sorted({r[1] for r in rows})
+    ret = {(r[0], r[1]): r[2] for r in rows}
+    want = {}
+    for date in {w[0] for w in weights}:
+        held = [d for d in days if d > date][:5]
+        if held:
+            total = 0.0
+            for _, i, w in (x for x in weights if x[0] == date):
+                g = 1.0
+                for d in held:
+                    g *= 1 + ret.get((i, d), 0.0)
+                total += w * (g - 1)
+            want[date] = (pytest.approx(total), sum(x[0] == date for x in weights))
+    assert {r.date: (r.realized_return, r.n_names) for r in got.collect()} == want
