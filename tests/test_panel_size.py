@@ -67,3 +67,21 @@ def test_realized_returns_repeat_no_weight_per_day(spark):
                 total += w * (g - 1)
             want[date] = (pytest.approx(total), sum(x[0] == date for x in weights))
     assert {r.date: (r.realized_return, r.n_names) for r in got.collect()} == want
+
+
+def test_zero_volume_share_repeats_no_row_per_date(spark):
+    rows, df = some_prices(spark)
+    dates = [D(2019, 12, 31), D(2020, 1, 2), D(2020, 1, 31), D(2020, 2, 1), D(2020, 3, 20), D(2020, 6, 30)]
+    got = portfolio.zero_volume_share(df, spark.createDataFrame([(d,) for d in dates], "date date"), 9)
+    assert not dealt_by(got, "permno", "k")
+    want = {}
+    for i in range(5):
+        for date in dates:
+            last = sorted(r for r in rows if r[0] == i and r[1] <= date)[-9:]
+            if last:
+                top = now = 0
+                for r in last:
+                    now = now + 1 if r[2] == 0 else 0
+                    top = max(top, now)
+                want[date, i] = (pytest.approx(sum(r[3] == 0 for r in last) / len(last)), top, len(last))
+    assert {(r.date, r.permno): (r.zero_share, r.longest_run, r.n_rows) for r in got.collect()} == want
