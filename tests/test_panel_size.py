@@ -85,3 +85,16 @@ def test_zero_volume_share_repeats_no_row_per_date(spark):
                     top = max(top, now)
                 want[date, i] = (pytest.approx(sum(r[3] == 0 for r in last) / len(last)), top, len(last))
     assert {(r.date, r.permno): (r.zero_share, r.longest_run, r.n_rows) for r in got.collect()} == want
+
+
+def test_residuals_as_of_shuffle_no_member_and_month(spark):
+    months = spark.createDataFrame([(i, D(2020, m, 1), D(2020, m, 28), ((i * 7 + m * 3) % 11) / 100, 10.0 + i * i + m, "ab"[i % 2]) for i in range(8) for m in range(1, 7)], "permno long, month date, last_date date, ret double, marketcap double, ggroup string")
+    members = spark.createDataFrame([(D(2020, 5, 29), i) for i in range(7)] + [(D(2020, 6, 30), i) for i in range(2, 8)], "date date, permno long")
+    got = signals.cross_residual_as_of(months, members, 3)
+    assert not dealt_by(got, "permno", "month")
+    have = {(r.rebalance_date, r.month, r.permno): r.residual for r in got.collect()}
+    want = {}
+    for date, names in ((D(2020, 5, 29), range(7)), (D(2020, 6, 30), range(2, 8))):
+        near = months.filter(F.col("permno").isin(*names) & F.col("month").between(D(2020, date.month - 2, 1), D(2020, date.month, 1)))
+        want |= {(date, r.month, r.permno): r.residual for r in signals.cross_residual(near).collect()}
+    assert have == pytest.approx(want, abs=1e-12)
