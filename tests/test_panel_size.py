@@ -98,3 +98,17 @@ def test_residuals_as_of_shuffle_no_member_and_month(spark):
         near = months.filter(F.col("permno").isin(*names) & F.col("month").between(D(2020, date.month - 2, 1), D(2020, date.month, 1)))
         want |= {(date, r.month, r.permno): r.residual for r in signals.cross_residual(near).collect()}
     assert have == pytest.approx(want, abs=1e-12)
+
+
+def test_composites_read_each_panel_once(spark):
+    r = random.Random(5)
+    panel = lambda n: spark.createDataFrame([(D(2020, 1, 1 + k), i, r.random() if r.random() < 0.8 else None) for k in range(3) for i in range(n)], "date date, permno long, z_score double")
+    panels = {"gp": panel(9), "ivol": panel(8), "resmom": panel(9), "pead": panel(7)}
+    variants = {"3sig": ("gp", "ivol", "resmom"), "4sig": tuple(panels), "no_resmom": ("gp", "ivol", "pead")}
+    got = cross.composites(panels, variants)
+    assert sum("Union" in line for line in plan(got)) == 1
+    for v, use in variants.items():
+        cols = ["date", "permno", "n_signals", "composite_raw", "composite_z"]
+        one = cross.composite({n: panels[n] for n in use}).select(*cols)
+        have, want = ({(c, r.date, r.permno): r[c] for r in df.collect() for c in cols[2:]} for df in (got.filter(F.col("variant") == v), one))
+        assert have == pytest.approx(want)
