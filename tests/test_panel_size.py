@@ -10,7 +10,7 @@ from panelspark.functions.distributions import chi2_tail
 from panelspark.functions.windows import trailing_sums
 from panelspark.operators import portfolio, signals
 from panelspark.operators import xs as cross
-from panelspark.plans import adapters, q_core
+from panelspark.plans import adapters, q_core, q_panel
 
 SF = "/root/testdata/sf0.001"
 D = dt.date
@@ -114,6 +114,22 @@ def test_composites_read_each_panel_once(spark):
         assert have == pytest.approx(want)
 
 
+def test_texts_move_once_and_terms_stay_with_their_document(spark):
+    docs = q_panel.latest_texts(spark, SF, q_panel.latest(spark, SF))
+    words = docs.select("section_id", "doc_id", F.explode(F.split("text", " ")).alias("term")).groupBy("section_id", "doc_id", "term").count()
+    assert not dealt_by(words, "term")
+    want = signals.latest_filing(adapters.sections(spark, SF)).select("doc_id", "text")
+    assert sorted(map(tuple, docs.select("doc_id", "text").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_yearly_cosine_moves_vectors_to_pairs_only(spark):
+    docs = spark.createDataFrame([(1, "Item 1", y, 10 + y) for y in (0, 1, 2, 4)] + [(1, "Item 7", y, 20 + y) for y in (0, 1)] + [(2, "Item 1", 1, 31)], "permno long, section_id string, year int, doc_id long")
+    vectors = spark.createDataFrame([(10, "Item 1", [1, 2], [0.6, 0.8]), (11, "Item 1", [2, 5], [0.8, 0.6]), (14, "Item 1", [2], [1.0]), (20, "Item 7", [3], [1.0]), (21, "Item 7", [4], [1.0])], "doc_id long, section_id string, ids array<long>, weights array<double>")
+    got = signals.yearly_cosine(docs, vectors)
+    assert not dealt_by(got.select("similarity"), "permno", "section_id") or not any("Window" in line and "ids#" in line for line in plan(got))
+    assert {(r.permno, r.section_id, r.year): r.similarity for r in got.collect()} == {(1, "Item 1", 1): pytest.approx(0.64), (1, "Item 1", 2): 0.0, (1, "Item 7", 1): 0.0}
+
+
 def test_chi2_tail_of_a_large_statistic_is_zero(spark):
     """The case of breusch_pagan on six copies of sf0.1, where its SQL's series of 400 terms ends too early."""
     assert spark.range(1).select(chi2_tail(F.lit(920.415207), F.lit(5.0)).alias("p")).first().p == pytest.approx(0, abs=1e-12)
