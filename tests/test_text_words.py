@@ -32,3 +32,8 @@ def both(spark, d, name):
 def test_yearly_cosine_counts_words_that_the_reference_counts(spark, filed):
     want = [(1, "Item 1", 2001, 1.0), (1, "Item 1A", 2001, 0.0), (1, "Item 7", 2001, ITEM7)]
     assert both(spark, filed, "text_yoy_cosine") == (want, want)
+
+
+def test_text_change_averages_similarities_with_those_words(spark, filed):
+    want = [(1, 2001, 1.0, 0.0, ITEM7, round(1 - (1 + 3 / 10**0.5) / 3, 6))]
+    assert both(spark, filed, "sig_text_change") == (want, want)
