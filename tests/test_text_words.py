@@ -37,3 +37,8 @@ def test_yearly_cosine_counts_words_that_the_reference_counts(spark, filed):
 def test_text_change_averages_similarities_with_those_words(spark, filed):
     want = [(1, 2001, 1.0, 0.0, ITEM7, round(1 - (1 + 3 / 10**0.5) / 3, 6))]
     assert both(spark, filed, "sig_text_change") == (want, want)
+
+
+def test_similarity_profile_describes_similarities_with_those_words(spark, filed):
+    want = [(n, 1, *[x] * 5) for n, x in (("Item 1", 1.0), ("Item 1A", 0.0), ("Item 7", ITEM7))]
+    assert both(spark, filed, "text_similarity_profile") == (want, want)
